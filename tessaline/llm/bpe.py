@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -34,7 +35,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from .common import broadcast_checked, materialize
 
 BLOCK_CHARS = 8 << 20
-WORD_PARTS = 256
+WORD_PARTS = 64
 MEMO_WORDS = 1 << 20
 #: Characters on which normalisation is lower-casing and white space only.
 _PLAIN = regex.compile(r"[^\u0000-ɏ‐-‧]")
@@ -126,20 +127,19 @@ def _block_rows(block: int, ids: list, counts: list[int], numbers: _Numbers, seq
     known = np.array([i is not None for i in ids], np.uint32)
     values = np.array([0 if i is None else i for i in ids], np.int64)
     text = np.concatenate(sequence) if sequence else np.zeros(0, np.uint32)
-    yield "text", block, -1, _pack(known, values, np.array(counts, np.uint32), text)
-    parts: list[list[str]] = [[] for _ in range(WORD_PARTS)]
-    places: list[list[int]] = [[] for _ in range(WORD_PARTS)]
-    for word, n in numbers.items():
-        p = crc32(word.encode()) % WORD_PARTS
-        parts[p].append(word)
-        places[p].append(n)
-    compress = zstandard.ZstdCompressor(level=3).compress
-    for p, found in enumerate(parts):
-        if found:
-            order = sorted(range(len(found)), key=found.__getitem__)
-            head = np.array([places[p][i] for i in order], np.uint32)
-            # Words hold no white space, so spaces can part them.
-            yield "words", block, p, compress(np.array([len(head)], np.int64).tobytes() + head.tobytes() + " ".join([found[i] for i in order]).encode())
+    # Words are placed by part, then by themselves; texts count them by frequency, which packs better.
+    listed = list(numbers)
+    part_of = [crc32(w.encode()) % WORD_PARTS for w in listed]
+    placed = sorted(range(len(listed)), key=lambda n: (part_of[n], listed[n]))
+    place = np.zeros(len(listed), np.uint32)
+    place[placed] = np.arange(len(listed), dtype=np.uint32)
+    by_use = np.argsort(-np.bincount(text, minlength=len(listed)), kind="stable")
+    rank = np.zeros(len(listed), np.uint32)
+    rank[by_use] = np.arange(len(listed), dtype=np.uint32)
+    yield "text", block, -1, _pack(known, values, np.array(counts, np.uint32), place[by_use], rank[text])
+    compress = zstandard.ZstdCompressor(level=9).compress
+    for p, found in groupby(placed, key=part_of.__getitem__):
+        yield "words", block, p, compress(" ".join([listed[n] for n in found]).encode())  # words hold no white space
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,39 +190,31 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for pdf in batches:
             out = []
             for packed in pdf["payload"]:
-                raw = zstandard.ZstdDecompressor().decompress(packed)
-                n = int(np.frombuffer(raw, np.int64, 1)[0])
-                places = np.frombuffer(raw, np.uint32, n, 8)
                 lists = []
-                for word in raw[8 + 4 * n :].decode().split(" "):
+                for word in zstandard.ZstdDecompressor().decompress(packed).decode().split(" "):
                     if (found := memo.get(word)) is None:
                         found = memo[word] = np.array(bpe.encode_word(word), np.uint32)
                     lists.append(found)
-                out.append(_pack(places, np.fromiter(map(len, lists), np.uint32, n), np.concatenate(lists)))
+                out.append(_pack(np.fromiter(map(len, lists), np.uint32, len(lists)), np.concatenate(lists)))
                 if len(memo) > MEMO_WORDS:
                     memo.clear()
-            yield pd.DataFrame({"block": pdf["block"], "payload": out})
+            yield pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "payload": out})
 
     encoded = (
         blocks.filter("kind = 'words'")
         .select("part", "block", "payload")
         .repartition(F.col("part"))
-        .mapInPandas(encode_words, "block long, payload binary")
-        .withColumn("text", F.lit(False))
+        .mapInPandas(encode_words, "block long, part int, payload binary")
     )
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = [_unpack(x) for x in pdf.loc[~pdf["text"], "payload"]]
-        known, ids, counts, sequence = _unpack(pdf.loc[pdf["text"], "payload"].iloc[0])
-        n_words = sum(len(x[0]) for x in lists)
-        length, start = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
-        at = 0
-        for places, lengths, tokens in lists:
-            lengths = lengths.astype(np.int64)
-            length[places] = lengths
-            start[places] = at + np.cumsum(lengths) - lengths
-            at += len(tokens)
-        tokens = np.concatenate([x[2] for x in lists]) if lists else np.zeros(0, np.uint32)
+        pdf = pdf.sort_values("part")  # the texts' row has part -1
+        known, ids, counts, place, sequence = _unpack(pdf["payload"].iloc[0])
+        lists = [_unpack(x) for x in pdf["payload"].iloc[1:]]
+        length = np.concatenate([x[0] for x in lists]).astype(np.int64) if lists else np.zeros(0, np.int64)
+        tokens = np.concatenate([x[1] for x in lists]) if lists else np.zeros(0, np.uint32)
+        start = (np.cumsum(length) - length)[place]
+        length = length[place]
         ends = np.cumsum(counts.astype(np.int64))
         out_ids, out_n = [], []
         for begin, end in zip(ends - counts, ends):
@@ -236,7 +228,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         doc_ids[known == 0] = pd.NA
         return pd.DataFrame({"doc_id": doc_ids, "n_tokens": out_n, "ids": out_ids})
 
-    texts = blocks.filter("kind = 'text'").select("block", "payload", F.lit(True).alias("text"))
+    texts = blocks.filter("kind = 'text'").select("block", "part", "payload")
     return encoded.unionByName(texts).groupBy("block").applyInPandas(lambda pdf: place(pdf), "doc_id long, n_tokens long, ids binary")
 
 
