@@ -34,7 +34,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import broadcast_checked, materialize
 
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 14 << 20
 WORD_PARTS = 64
 MEMO_WORDS = 1 << 20
 #: Characters on which normalisation is lower-casing and white space only.
@@ -109,7 +109,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
         width = 8 if a.dtype.itemsize == 8 else 4
         planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, width).T.copy()
         parts += [np.array([len(a), width], np.int64).tobytes(), planes.tobytes()]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=7).compress(b"".join(parts))
 
 
 def _unpack(packed: bytes) -> list[np.ndarray]:
