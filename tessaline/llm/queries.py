@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality, sharding
+from . import bpe, chat, jaccard, mixing, quality, sharding, substring_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,6 +33,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "host_docs", "host_failed")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 24)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -42,5 +50,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.word_sizes(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat_format, op3_quality_rules, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat_format, op3_quality_rules, op5_substring_dedup, op6_ngram_jaccard, op9_sharding, op10_mixing)}
 ORACLES: dict[str, str] = {}

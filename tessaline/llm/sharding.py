@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BIN_BITS = 16
-#: Bins with more rows than 1/4096 of all are numbered in parts.
+#: Bins with more rows than 1/4096 of all (64 at least) are numbered in parts.
 PART_SHARE = 4096
 
 
@@ -76,7 +76,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     bins = rows.groupBy("bin").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("bin").collect()  # at most 2**16 rows
     total = sum(b["n"] for b in bins)
     _, ends = minimax_cuts([b["bytes"] for b in bins], shards)
-    share = max(1024, total // PART_SHARE)
+    share = max(64, total // PART_SHARE)
     plan, k = [], 0
     for i, b in enumerate(bins):
         while i >= ends[k]:
