@@ -156,25 +156,25 @@ def _candidate_sets(docs: DataFrame, candidates: DataFrame, k: int, text_col: st
                 sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    sets = docs.select(text_col).mapInArrow(make, "node long, set binary").join(candidates.select("node"), "node", "left_semi")
-    return sets.groupBy("node").agg(F.min("set").alias("set"))
+    return docs.select(text_col).mapInArrow(make, "node long, set binary").dropDuplicates(["node"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that link, with their overlap; exact on the whole sets.
+def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text_col: str, seed: int) -> DataFrame:
+    """The pairs ``a, b`` that link; exact on the whole sets.
 
     Pairs of one ``a`` go to groups of about ``VERIFY_ROWS``, each with ``a``'s set.
     """
     sizes = pairs.groupBy("a").agg(F.count("*").alias("_n"))
     dealt = pairs.join(sizes, "a").withColumn("slot", F.pmod(F.xxhash64("b"), F.ceil(F.col("_n") / VERIFY_ROWS)).cast("int")).drop("_n")
-    heads = dealt.select("a", "slot").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "slot", F.lit(None).cast("long").alias("b"), "set")
-    others = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "slot", "b", "set")
+    heads = dealt.select(F.col("a").alias("node"), "a", "slot", F.lit(True).alias("head")).distinct()
+    asked = materialize(heads.unionByName(dealt.select(F.col("b").alias("node"), "a", "slot", F.lit(False).alias("head"))), "jaccard-asked")
+    sets = _candidate_sets(docs, asked.select("node").distinct(), k, text_col, seed)
 
     def overlap(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        is_head = pdf["b"].isna()
+        is_head = pdf["head"].to_numpy(bool)
         head = np.frombuffer(pdf.loc[is_head, "set"].iloc[0], np.uint64)
         kept = []
-        for b, raw in zip(pdf.loc[~is_head, "key"], pdf.loc[~is_head, "set"]):
+        for b, raw in zip(pdf.loc[~is_head, "node"], pdf.loc[~is_head, "set"]):
             other = np.frombuffer(raw, np.uint64)
             at = np.searchsorted(head, other)
             at[at == len(head)] = 0
@@ -183,9 +183,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kept.append((int(key[0]), int(b)))
         return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
 
-    rows = heads.unionByName(others).withColumn("key", F.coalesce("b", F.lit(0)))  # b itself has nulls, which pandas would turn into floats
-    rows = rows.withColumn("b", F.when(F.col("b").isNotNull(), F.lit(1)).cast("int"))
-    return rows.groupBy("a", "slot").applyInPandas(overlap, "a long, b long")
+    return asked.join(sets, "node").groupBy("a", "slot").applyInPandas(overlap, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,10 +232,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
         .select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
     )
     pairs = materialize(pairs, "jaccard-pairs")
-    # Every member of a list whose position leaves room for any partner may be read later.
-    candidates = materialize(listed.select("node").distinct(), "jaccard-candidates")
-    sets = materialize(_candidate_sets(docs, candidates, k, "text", seed), "jaccard-sets")
-    links = materialize(_verify(pairs, sets, percent), "jaccard-links")
+    links = materialize(_verify(pairs, docs, k, percent, "text", seed), "jaccard-links")
     labels = connected_components(links)
 
     # Pairs of list members in different components; members of one need no answer.
@@ -253,9 +248,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
         .distinct()
     )
     seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(_verify(materialize(rest.join(seen, ["a", "b"], "left_anti"), "jaccard-rest-pairs"), sets, percent), "jaccard-rest-links")
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+    rest = materialize(rest.join(seen, ["a", "b"], "left_anti"), "jaccard-rest-pairs")
+    if not rest.isEmpty():
+        more = materialize(_verify(rest, docs, k, percent, "text", seed), "jaccard-rest-links")
+        if not more.isEmpty():
+            labels = connected_components(links.unionByName(more))
 
     classes = nodes.groupBy("node").agg(F.min("doc_id").alias("first_id")).filter("node is not null")
     classes = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
