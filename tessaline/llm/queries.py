@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, mixing, quality, sharding, substring_dedup
+from . import bpe, chat, jaccard, mixing, mtree, pii, quality, sharding, substring_dedup, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
+#: Stands for a secret that a deployment would pass in.
+PII_KEY = b"replace this key in production"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "host_docs", "host_failed")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size(F.coalesce("evidence", F.array())).alias("n_evidence"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,15 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = mtree.quantized(table(spark, sf_dir, "embeddings"))
+    return mtree.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 24)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -50,5 +67,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.word_sizes(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat_format, op3_quality_rules, op5_substring_dedup, op6_ngram_jaccard, op9_sharding, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_chat_format, op3_quality_rules, op4_toxicity, op5_substring_dedup,
+        op6_ngram_jaccard, op7_exact_top_k, op8_pii, op9_sharding, op10_mixing,
+    )
+}
 ORACLES: dict[str, str] = {}
