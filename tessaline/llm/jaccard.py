@@ -33,6 +33,8 @@ SKETCH_BITS = 18
 #: A shingle whose sketch count is above this has its list dealt in SALTS parts.
 HOT_COUNT = 20_000
 SALTS = 32
+#: Linked sets share so many shingles of prefixes that are that much longer (or all, if they need fewer).
+SHARED = 4
 #: Bits a candidate in the filter that spares the others a second reading.
 FILTER_BITS_EACH = 16
 FILTER_MAX_BYTES = 32 << 20
@@ -97,7 +99,8 @@ def _nodes(docs: DataFrame, sketch, k: int, percent: int, text_col: str, seed: i
                     continue
                 if len(met) < 1 << 20:
                     met.add(node)
-                head = ordered[offsets[i] : offsets[i] + n - (-(-percent * n // 100)) + 1]
+                least = -(-percent * n // 100)
+                head = ordered[offsets[i] : offsets[i] + n - least + min(SHARED, least)]
                 prefixes.append(head.view(np.int64))
                 hot = counts[(head >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > HOT_COUNT
                 salts.append(np.where(hot, 1 + node % SALTS, 0).astype(np.int32) if hot.any() else None)
@@ -115,6 +118,24 @@ def _may_link(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column, percent: i
     return 1 + F.least(a_n - a_pos - 1, b_n - b_pos - 1) >= needed
 
 
+def _needed(n: Column, percent: int) -> Column:
+    """Least overlap of a set of ``n`` with any set it links with."""
+    return F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9))
+
+
+def _sharing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose prefixes share as many shingles as linked sets must.
+
+    The first ``SHARED`` common shingles of linked sets all lie in both prefixes;
+    pairs that meet in one shingle by chance end here, before their sets are read.
+    """
+    heads = nodes.filter("prefix is not null").select("node", "n", "prefix").dropDuplicates(["node"])
+    a, b = (heads.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("prefix").alias(f"{s}_prefix")) for s in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    needed = F.least(F.lit(SHARED), _needed(F.col("a_n"), percent), _needed(F.col("b_n"), percent))
+    return both.filter(F.size(F.array_intersect("a_prefix", "b_prefix")) >= needed).select("a", "b")
+
+
 def _candidate_sets(docs: DataFrame, candidates: DataFrame, k: int, text_col: str, seed: int) -> DataFrame:
     """``node, set`` for the candidates, read in one pass that skips other texts.
 
@@ -210,7 +231,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
         seed += 2
 
     entries = nodes.filter("prefix is not null").select("node", "n", "salts", F.posexplode("prefix").alias("pos", "token"))
-    entries = entries.select("token", "node", "n", F.col("pos").cast("long").alias("pos"), F.coalesce(F.get("salts", F.col("pos")), F.lit(0)).alias("salt"))
+    entries = entries.filter(F.col("pos") < F.col("n") - _needed(F.col("n"), percent) + 1).select("token", "node", "n", F.col("pos").cast("long").alias("pos"), F.coalesce(F.get("salts", F.col("pos")), F.lit(0)).alias("salt"))
     by_list = W.partitionBy("token", "salt")
     listed = (
         entries.withColumn("pivot", F.min(F.struct("pos", "node", "n")).over(by_list))
@@ -232,7 +253,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
         .select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
     )
     pairs = materialize(pairs, "jaccard-pairs")
-    links = materialize(_verify(pairs, docs, k, percent, "text", seed), "jaccard-links")
+    close = materialize(_sharing(pairs, nodes, percent), "jaccard-close")
+    links = materialize(_verify(close, docs, k, percent, "text", seed), "jaccard-links")
     labels = connected_components(links)
 
     # Pairs of list members in different components; members of one need no answer.
@@ -248,7 +270,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
         .distinct()
     )
     seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(rest.join(seen, ["a", "b"], "left_anti"), "jaccard-rest-pairs")
+    rest = materialize(_sharing(rest.join(seen, ["a", "b"], "left_anti"), nodes, percent), "jaccard-rest-pairs")
     if not rest.isEmpty():
         more = materialize(_verify(rest, docs, k, percent, "text", seed), "jaccard-rest-links")
         if not more.isEmpty():
