@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-PAGE = 128
+PAGE = 1024
 FAN_OUT = 16
 TREE_ROWS = 16_384
 QUERY_ROWS = 1_024
@@ -50,9 +50,12 @@ class MTree:
         keep = place <= k
         self.ids, self.x = ids[keep], x[keep]
         length2 = (self.x * self.x).sum(axis=1)
+        # Inner products of small integers are exact in floats, which multiply faster.
+        self.small = not len(self.x) or int(np.abs(self.x).max()) ** 2 * max(1, self.x.shape[1]) < 2**50
         self.top2 = int(length2.max()) if len(length2) else 0
         # The completed vectors, in floats: bounds allow for rounding, scores are integers.
         self.y = np.concatenate([self.x, np.sqrt((self.top2 - length2).astype(float))[:, None]], axis=1).astype(float)
+        self.exact = self.y[:, :-1]
         self.centre: list[np.ndarray] = []
         self.radius: list[float] = []
         self.parent_distance: list[float] = []
@@ -99,6 +102,7 @@ class MTree:
         q2 = int((q * q).sum())
         full = np.append(q.astype(float), 0.0)
         offset = float(q2 + self.top2)  # distance**2 = offset - 2 * score
+        small = self.small and int(np.abs(q).max(initial=0)) ** 2 * max(1, len(q)) < 2**50
         slack = 1e-6 * (1.0 + offset**0.5)
 
         def reach() -> float:
@@ -126,7 +130,7 @@ class MTree:
                 continue
             rows = self.members[node]
             rows = rows[np.abs(self.member_distance[node] - d) <= reach()]
-            scores = self.x[rows] @ q
+            scores = (self.exact[rows] @ full[:-1]).astype(np.int64) if small else self.x[rows] @ q
             ids = self.ids[rows]
             if len(best) == k:
                 hopeful = scores >= best[0][0]
