@@ -1,16 +1,80 @@
-"""The corpus pipeline: stages of training-data operators over ``documents``."""
+"""The corpus pipeline: five stages of training-data operators over ``documents``.
+
+Every stage takes what its predecessor kept, whole; all but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessaline.llm import bpe, jaccard, mixing, pii, toxicity
+from tessaline.llm.common import materialize
+from tessaline.llm.queries import PII_KEY, TOKENIZER
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier doesn't call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs.select(*COLUMNS), labels)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity 0.8 or more.
+
+    The one with the smallest id stays, once; rows without id or words stay.
+    """
+    classes = jaccard.jaccard_components(docs, k=5, percent=80)
+    # Of a repeated id, one row stays; without words a row is no copy of any other.
+    gone = classes.filter("node is not null and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    repeats = materialize(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    if repeats.isEmpty():
+        return kept
+    several = kept.join(repeats, "doc_id", "left_semi").select(*COLUMNS)
+    return kept.join(repeats, "doc_id", "left_anti").select(*COLUMNS).unionByName(several.dropDuplicates(["doc_id"]))
+
+
+def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal values in texts become pseudonyms; ``n_chars`` is counted anew where known."""
+    return pii.pseudonymize_column(docs.select(*COLUMNS), PII_KEY).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mixture takes it."""
+    docs = docs.select(*COLUMNS)
+    copies = mixing.mix(mixing.word_sizes(docs)).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    copies = copies.filter("_copies > 0").withColumnRenamed("doc_id", "_id")
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    # Rows that share an id share its copies: each has the whole part, the rest by rank of text hash.
+    each = F.expr("cast(_copies div _rows as int)")
+    return joined.filter(each > 0).select(*COLUMNS, F.explode(F.sequence(F.lit(1), each)).alias("_copy")).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids, and the text they decode to."""
+    path = public_tokenizers.path(TOKENIZER)
+    return bpe.digests(bpe.decode(bpe.encode(docs, path), path))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("pii", pseudonymize),
+    ("mixing", mix_sources),
+    ("bpe", tokenize),
+]
+#: Learning, transitive grouping and tokenising aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of ``documents`` after all stages."""
+    """The rows of ``documents`` after all stages, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

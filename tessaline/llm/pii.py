@@ -216,22 +216,39 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1)
-            maybe = pc.fill_null(pc.match_substring_regex(texts, r"@|\d.{0,3}\d|[0-9a-f]{32}"), False).to_numpy(zero_copy_only=False)
-            n = np.zeros(b.num_rows, np.int32)
-            new, spans = {}, [None] * b.num_rows
-            for i in np.flatnonzero(maybe):
-                text, found = replace_text(texts[int(i)].as_py(), key)
-                if found:
-                    new[int(i)] = text
-                    n[i] = len(found)
-                    spans[i] = [{"start": s, "end": e, "kind": k} for s, e, k in found]
-            if new:
-                mask = np.zeros(b.num_rows, bool)
-                mask[list(new)] = True
-                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([new[i] for i in sorted(new)], texts.type))
+            texts, found = _replace_batch(b.column(1), key)
+            n = np.array([len(found.get(i, ())) for i in range(b.num_rows)], np.int32)
+            spans = [[{"start": s, "end": e, "kind": k} for s, e, k in found[i]] if i in found else None for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), texts, pa.array(n), pa.array(spans, span)], names=["doc_id", "text", "n_pii", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         replace, "doc_id long, text string, n_pii int, spans array<struct<start:int,end:int,kind:string>>"
     )
+
+
+def _replace_batch(texts: pa.Array, key: bytes) -> tuple[pa.Array, dict[int, list]]:
+    """The texts with pseudonyms, and the spans of those that changed."""
+    maybe = pc.fill_null(pc.match_substring_regex(texts, r"@|\d.{0,3}\d|[0-9a-fA-F]{32}"), False).to_numpy(zero_copy_only=False)
+    new, spans = {}, {}
+    for i in np.flatnonzero(maybe).tolist():
+        text, found = replace_text(texts[i].as_py(), key)
+        if found:
+            new[i], spans[i] = text, found
+    if new:
+        mask = np.zeros(len(texts), bool)
+        mask[list(new)] = True
+        texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([new[i] for i in sorted(new)], texts.type))
+    return texts, spans
+
+
+def pseudonymize_column(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """``docs`` with pseudonyms in ``text_col``; all rows and columns stay."""
+    at = docs.columns.index(text_col)
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = list(b.columns)
+            columns[at] = _replace_batch(columns[at], key)[0]
+            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+
+    return docs.mapInArrow(replace, docs.schema)
