@@ -131,9 +131,12 @@ def _sharing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """
     heads = nodes.filter("prefix is not null").select("node", "n", "prefix").dropDuplicates(["node"])
     a, b = (heads.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("prefix").alias(f"{s}_prefix")) for s in "ab")
-    both = pairs.join(a, "a").join(b, "b")
+    both = pairs.join(a, "a").join(b, "b").withColumn("_common", F.size(F.array_intersect("a_prefix", "b_prefix")))
     needed = F.least(F.lit(SHARED), _needed(F.col("a_n"), percent), _needed(F.col("b_n"), percent))
-    return both.filter(F.size(F.array_intersect("a_prefix", "b_prefix")) >= needed).select("a", "b")
+    # Of the prefix that ends first, all that isn't common is in one set only.
+    beyond = F.greatest(F.col("a_n") - F.size("a_prefix"), F.col("b_n") - F.size("b_prefix"))
+    whole = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / F.lit(float(100 + percent)) - F.lit(1e-9))
+    return both.filter((F.col("_common") >= needed) & (F.col("_common") + beyond >= whole)).select("a", "b")
 
 
 def _candidate_sets(docs: DataFrame, candidates: DataFrame, k: int, text_col: str, seed: int) -> DataFrame:
