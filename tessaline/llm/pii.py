@@ -243,12 +243,13 @@ def _replace_batch(texts: pa.Array, key: bytes) -> tuple[pa.Array, dict[int, lis
 
 def pseudonymize_column(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``; all rows and columns stay."""
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = list(b.columns)
             columns[at] = _replace_batch(columns[at], key)[0]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(replace, docs.schema)
