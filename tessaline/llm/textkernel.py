@@ -35,7 +35,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES * 2)
+        size = max(n, CHUNK_BYTES + 1024)
         for k, base in enumerate((_BASE, _BASE_INV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

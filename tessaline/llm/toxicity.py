@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_checked, materialize
-from .textkernel import chunks, prefix_sums, range_hash, row_of, runs
+from .textkernel import Chunk, chunks, prefix_sums, range_hash, row_of, runs
 
 #: The classifier is fitted to at most so many labelled rows, drawn by hash.
 SAMPLE_ROWS = 16_384
@@ -52,6 +53,14 @@ def _terms(c) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(hashes)
 
 
+def _lowered(texts: pa.Array) -> Iterator[Chunk]:
+    """Row chunks of the lower-case texts; only a part of the batch is held twice."""
+    for at in range(0, len(texts), 512):
+        for c in chunks(pc.utf8_lower(texts.slice(at, 512))):
+            c.first += at
+            yield c
+
+
 class Model:
     """Vocabulary, examples and the block-max index; bounded by its parameters."""
 
@@ -147,13 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     spark = docs.sparkSession
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
-    texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = docs.select("doc_id", "text")
     rows = materialize(texts.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "_toxic", "text").dropDuplicates(["_id"]), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             y = b.column(0).to_numpy(zero_copy_only=False)
-            for c in chunks(b.column(1)):
+            for c in _lowered(b.column(1)):
                 r, h = _terms(c)
                 order = np.lexsort((r, h))
                 r, h = r[order], h[order]
@@ -184,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in chunks(b.column(2)):
+            for c in _lowered(b.column(2)):
                 r, t, tf = shared.value.counts(c)
                 part = b.slice(c.first, c.n)
                 at = np.searchsorted(r, np.arange(c.n + 1))
@@ -218,7 +227,7 @@ def score(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
         model, known = shared.value, {}
         near_type = pa.list_(pa.struct([("example_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for b in batches:
-            for c in chunks(b.column(1)):
+            for c in _lowered(b.column(1)):
                 r, t, tf = model.counts(c)
                 at = np.searchsorted(r, np.arange(c.n + 1))
                 scores, nears = [], []
@@ -234,7 +243,7 @@ def score(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
                     nears.append([{"example_id": int(model.ids[j]), "label": int(model.labels[j]), "cosine": x} for x, j in near] if evidence else None)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.n), pa.array(scores, pa.float64()), pa.array(nears, near_type)], names=["doc_id", "score", "evidence"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
     scored = texts.mapInArrow(make, f"doc_id long, score double, evidence {kind}")
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
@@ -243,17 +252,15 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic; rows, columns and order of columns stay."""
     model = fit(docs, labels)
     shared = broadcast_checked(docs.sparkSession, model, model.n_bytes, "the examples' index")
+    at_text = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            passed = np.ones(b.num_rows, bool)
-            for c in chunks(b.column(b.num_columns - 1)):
+            for c in _lowered(b.column(at_text)):
                 r, t, tf = model.counts(c)
                 at = np.searchsorted(r, np.arange(c.n + 1))
-                for i in range(c.n):
-                    passed[c.first + i] = model.score(t[at[i] : at[i + 1]], tf[at[i] : at[i + 1]])[0] < 0.5
-            yield b.select(range(b.num_columns - 1)).filter(pa.array(passed))
+                passed = [model.score(t[at[i] : at[i + 1]], tf[at[i] : at[i + 1]])[0] < 0.5 for i in range(c.n)]
+                yield b.slice(c.first, c.n).filter(pa.array(passed, pa.bool_()))
 
-    with_text = docs.select("*", F.lower(F.coalesce("text", F.lit(""))).alias("_lower"))
-    return with_text.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
