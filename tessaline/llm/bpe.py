@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import broadcast_checked, materialize
+from .common import broadcast_checked, materialize, releasing
 
 BLOCK_CHARS = 14 << 20
 WORD_PARTS = 64
@@ -180,9 +180,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     ids, counts, numbers, sequence, size = [], [], _Numbers(), [], 0
         if ids:
             yield from flush()
+        _loaded.clear()
 
     blocks = materialize(
-        docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(split, "kind string, block long, part int, payload binary"), "bpe-blocks", "kind"
+        docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(releasing(split), "kind string, block long, part int, payload binary"), "bpe-blocks", "kind"
     )
 
     def encode_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,7 +205,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         blocks.filter("kind = 'words'")
         .select("part", "block", "payload")
         .repartition(F.col("part"))
-        .mapInPandas(encode_words, "block long, part int, payload binary")
+        .mapInPandas(releasing(encode_words), "block long, part int, payload binary")
     )
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -261,7 +262,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
                     texts.append(" ".join([p for p in found if p is not None]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(look_up, "doc_id long, n_tokens long, ids binary, decoded string")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(releasing(look_up), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

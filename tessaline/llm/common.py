@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Largest object, in bytes, that an operator may broadcast.
@@ -66,3 +71,23 @@ def broadcast_checked(spark: SparkSession, value, n_bytes: int, what: str):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def releasing(task: Callable) -> Callable:
+    """``task`` over batches, after which the worker gives its free memory back.
+
+    Workers outlive their tasks; without this each keeps its largest task's memory.
+    """
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return run

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_checked, materialize
+from .common import broadcast_checked, materialize, releasing
 from .components import connected_components
 from .textkernel import chunks, shingle_sets, words
 
@@ -63,7 +63,7 @@ def shingle_sketch(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarra
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["cell", "n"])
 
-    cells = docs.select(text_col).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = docs.select(text_col).mapInArrow(releasing(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for part in cells.toArrow().to_batches():  # at most 2**SKETCH_BITS rows
         total[part.column(0).to_numpy()] = part.column(1).to_numpy()
@@ -109,7 +109,7 @@ def _nodes(docs: DataFrame, sketch, k: int, percent: int, text_col: str, seed: i
                 names=["doc_id", "node", "proof", "n", "prefix", "salts"],
             )
 
-    return docs.select("doc_id", text_col).mapInArrow(make, "doc_id long, node long, proof long, n long, prefix array<long>, salts array<int>")
+    return docs.select("doc_id", text_col).mapInArrow(releasing(make), "doc_id long, node long, proof long, n long, prefix array<long>, salts array<int>")
 
 
 def _may_link(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column, percent: int) -> Column:
@@ -156,7 +156,7 @@ def _candidate_sets(docs: DataFrame, candidates: DataFrame, k: int, text_col: st
                 at = np.unique((h >> np.uint64(shift)).astype(np.int64) & (size * 8 - 1))
                 yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
 
-    found = candidates.select("node").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits"))
+    found = candidates.select("node").mapInArrow(releasing(bits), "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits"))
     mask = np.zeros(size // 8, np.int64)
     for part in found.toArrow().to_batches():  # at most FILTER_MAX_BYTES / 8 rows
         mask[part.column(0).to_numpy()] = part.column(1).to_numpy()
@@ -180,7 +180,7 @@ def _candidate_sets(docs: DataFrame, candidates: DataFrame, k: int, text_col: st
                 sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    return docs.select(text_col).mapInArrow(make, "node long, set binary").dropDuplicates(["node"])
+    return docs.select(text_col).mapInArrow(releasing(make), "node long, set binary").dropDuplicates(["node"])
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text_col: str, seed: int) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing
 from .textkernel import chunks, words
 
 BUCKET_ROWS = 4096
@@ -38,7 +38,7 @@ def word_sizes(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
                 sizes[c.first : c.first + c.n] = words(c).count
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(sizes)], names=[*keep, "size"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(count, schema)
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(releasing(count), schema)
 
 
 def water_fill(sizes: list[int], weights: list[float], ceiling: float = MAX_COPIES) -> list[float]:

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 ROUNDS = 10
 DIGITS = "0123456789"
 HEX = "0123456789abcdef"
@@ -222,7 +224,7 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), texts, pa.array(n), pa.array(spans, span)], names=["doc_id", "text", "n_pii", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        replace, "doc_id long, text string, n_pii int, spans array<struct<start:int,end:int,kind:string>>"
+        releasing(replace), "doc_id long, text string, n_pii int, spans array<struct<start:int,end:int,kind:string>>"
     )
 
 
@@ -252,4 +254,4 @@ def pseudonymize_column(docs: DataFrame, key: bytes, text_col: str = "text") ->
             columns[at] = _replace_batch(columns[at], key)[0]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(replace, docs.schema)
+    return docs.mapInArrow(releasing(replace), docs.schema)

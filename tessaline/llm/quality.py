@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing
 from .textkernel import IS_SPACE, chunks, grams, prefix_sums, range_hash, row_of, words
 
 SYMBOLS = "#*$%&|<>"
@@ -87,7 +87,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, out)], names=["doc_id", "host", *COUNTS])
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(host_col).cast("string"), F.col(text_col)).mapInArrow(
-        count, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS)
+        releasing(count), "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS)
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed)

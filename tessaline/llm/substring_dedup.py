@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing
 from .textkernel import COEF, IS_SPACE, LOWER, chunks, mix64, prefix_sums, range_hash, row_of, runs
 
 #: A run has at least so many sentences and so many words.
@@ -93,7 +93,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 ids = b.column(0).slice(c.first, c.n).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(h1), pa.array(h2), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "h1", "h2", "at", "n"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(make, "doc_id long, h1 long, h2 long, at int, n int")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(releasing(make), "doc_id long, h1 long, h2 long, at int, n int")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,4 +150,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 names=["doc_id", "text", "n_sentences", "n_removed", "removed_words"],
             )
 
-    return joined.mapInArrow(remove, "doc_id long, text string, n_sentences long, n_removed long, removed_words long")
+    return joined.mapInArrow(releasing(remove), "doc_id long, text string, n_sentences long, n_removed long, removed_words long")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_checked, materialize
+from .common import broadcast_checked, materialize, releasing
 from .textkernel import Chunk, chunks, prefix_sums, range_hash, row_of, runs
 
 #: The classifier is fitted to at most so many labelled rows, drawn by hash.
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         none = np.zeros(0, np.int64)
         return Model(none.astype(np.uint64), np.zeros(0), [], none, none, none, none, rate, rate)
     p = n_toxic / n
-    stats = rows.select("_toxic", "text").mapInArrow(count, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    stats = rows.select("_toxic", "text").mapInArrow(releasing(count), "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     z = (F.col("toxic") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
     chosen = stats.filter(F.col("n") >= MIN_DOCS).withColumn("z", z).filter((F.col("z") >= MIN_Z) & (F.col("toxic") >= MIN_LIFT * p * F.col("n")))
     chosen = chosen.orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()  # the vocabulary's bound
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
                     names=["id", "toxic", "terms", "tf"],
                 )
 
-    found = rows.select("_id", "_toxic", "text").mapInArrow(vectors, "id long, toxic int, terms array<int>, tf array<int>").toArrow()  # at most sample_rows rows
+    found = rows.select("_id", "_toxic", "text").mapInArrow(releasing(vectors), "id long, toxic int, terms array<int>, tf array<int>").toArrow()  # at most sample_rows rows
     ids, labels_ = found.column(0).to_numpy(), found.column(1).to_numpy()
     lengths = np.array([len(x) for x in found.column(2)], np.int64)
     empty = lengths == 0
@@ -244,7 +244,7 @@ def score(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.n), pa.array(scores, pa.float64()), pa.array(nears, near_type)], names=["doc_id", "score", "evidence"])
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    scored = texts.mapInArrow(make, f"doc_id long, score double, evidence {kind}")
+    scored = texts.mapInArrow(releasing(make), f"doc_id long, score double, evidence {kind}")
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
@@ -263,4 +263,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 passed = [model.score(t[at[i] : at[i + 1]], tf[at[i] : at[i + 1]])[0] < 0.5 for i in range(c.n)]
                 yield b.slice(c.first, c.n).filter(pa.array(passed, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(releasing(keep), docs.schema)
