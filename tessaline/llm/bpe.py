@@ -142,9 +142,11 @@ def _block_rows(block: int, ids: list, counts: list[int], numbers: _Numbers, seq
         yield "words", block, p, compress(" ".join([listed[n] for n in found]).encode())  # words hold no white space
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids`` with ids as little-endian unsigned 32-bit integers.
 
+    ``decoded`` adds what :func:`decode` would, looked up in the same worker.
+
     As ``Tokenizer.encode(text, add_special_tokens=False).ids``.  One row per row
     of ``docs``, repeated rows included; a null text is empty and has no ids, a
     null id stays null, texts of any length are encoded whole, an empty table
@@ -230,7 +232,17 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         return pd.DataFrame({"doc_id": doc_ids, "n_tokens": out_n, "ids": out_ids})
 
     texts = blocks.filter("kind = 'text'").select("block", "part", "payload")
-    return encoded.unionByName(texts).groupBy("block").applyInPandas(lambda pdf: place(pdf), "doc_id long, n_tokens long, ids binary")
+    rows = encoded.unionByName(texts).groupBy("block")
+    if not decoded:
+        return rows.applyInPandas(lambda pdf: place(pdf), "doc_id long, n_tokens long, ids binary")
+    shared = _shared_pieces(spark, tokenizer_path)
+
+    def place_and_decode(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = place(pdf)
+        get = shared.value.get
+        return out.assign(decoded=[_text(get, ids) for ids in out["ids"]])
+
+    return rows.applyInPandas(place_and_decode, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def pieces(tokenizer_path: str) -> dict[int, str]:
@@ -240,26 +252,32 @@ def pieces(tokenizer_path: str) -> dict[int, str]:
     return {n: piece for piece, n in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
 
 
+def _shared_pieces(spark, tokenizer_path: str):
+    """The id-to-piece table for all tasks; the vocabulary bounds it."""
+    table = pieces(tokenizer_path)
+    return broadcast_checked(spark, table, sum(len(p.encode()) + 64 for p in table.values()), "the id-to-piece table")
+
+
+def _text(get, ids: bytes | None) -> str:
+    found = map(get, np.frombuffer(ids or b"", "<u4").tolist())
+    return " ".join([p for p in found if p is not None])
+
+
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """Adds ``decoded``, as ``Tokenizer.decode(ids, skip_special_tokens=False)``.
 
-    ``encoded`` has ``doc_id, n_tokens, ids``.  The id-to-piece table goes to all
-    tasks, as the vocabulary bounds it.  This vocabulary has no decoder: pieces are
-    parted by spaces.  Ids without a piece are left out; null ids decode to "".
+    ``encoded`` has ``doc_id, n_tokens, ids``.  This vocabulary has no decoder:
+    pieces are parted by spaces.  Ids without a piece are left out; null ids decode
+    to "".
     """
-    table = pieces(tokenizer_path)
-    size = sum(len(p.encode()) + 64 for p in table.values())
-    shared = broadcast_checked(encoded.sparkSession, table, size, "the id-to-piece table")
+    shared = _shared_pieces(encoded.sparkSession, tokenizer_path)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                texts = []
-                for ids in part.column(2):
-                    found = map(get, np.frombuffer(ids.as_py() or b"", "<u4").tolist())
-                    texts.append(" ".join([p for p in found if p is not None]))
+                texts = [_text(get, ids.as_py()) for ids in part.column(2)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(releasing(look_up), "doc_id long, n_tokens long, ids binary, decoded string")
