@@ -32,6 +32,8 @@ def test_encode_decode_as_the_library(spark, library):
         ids, decoded = expected(library, text)
         want.append((doc_id is None, doc_id or 0, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
     assert got == sorted(want)
+    together = bpe.digests(bpe.encode(awkward(spark), PATH, decoded=True)).collect()
+    assert sorted(map(tuple, together), key=str) == sorted(map(tuple, rows), key=str)
 
 
 def test_empty_table(spark):
