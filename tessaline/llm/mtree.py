@@ -51,7 +51,7 @@ class MTree:
         self.ids, self.x = ids[keep], x[keep]
         length2 = (self.x * self.x).sum(axis=1)
         # Inner products of small integers are exact in floats, which multiply faster.
-        self.small = not len(self.x) or int(np.abs(self.x).max()) ** 2 * max(1, self.x.shape[1]) < 2**50
+        self.small = int(np.abs(self.x).max(initial=0)) ** 2 * max(1, self.x.shape[1]) < 2**50
         self.top2 = int(length2.max()) if len(length2) else 0
         # The completed vectors, in floats: bounds allow for rounding, scores are integers.
         self.y = np.concatenate([self.x, np.sqrt((self.top2 - length2).astype(float))[:, None]], axis=1).astype(float)
