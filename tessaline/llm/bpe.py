@@ -3,7 +3,9 @@
 1. Every task splits its documents into words and packs them in blocks of some
    megabytes: the block's distinct words, and each document as positions in it.
 2. The blocks' words meet in ``WORD_PARTS`` parts by word hash, where each
-   distinct word is encoded once; its ids go back to the blocks.
+   distinct word is encoded once; its ids go back to the blocks.  Every
+   ``GROUP_TASKS`` input tasks have parts of their own, so that the number of parts
+   grows with the input.
 3. A block's ids are joined to its documents' words by position.
 
 Decoding looks every id up in the vocabulary's id-to-piece table, whose size the
@@ -36,6 +38,9 @@ from .common import broadcast_checked, materialize, releasing
 
 BLOCK_CHARS = 14 << 20
 WORD_PARTS = 64
+GROUP_TASKS = 1024
+#: A task numbers its blocks from its own number, shifted by so many bits.
+BLOCK_BITS = 24
 MEMO_WORDS = 1 << 20
 #: Characters on which normalisation is lower-casing and white space only.
 _PLAIN = regex.compile(r"[^\u0000-ɏ‐-‧]")
@@ -160,7 +165,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec, key)
-        base = TaskContext.get().partitionId() << 24
+        base = TaskContext.get().partitionId() << BLOCK_BITS
         schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
         made = 0
         ids, counts, numbers, sequence, size = [], [], _Numbers(), [], 0
@@ -206,7 +211,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     encoded = (
         blocks.filter("kind = 'words'")
         .select("part", "block", "payload")
-        .repartition(F.col("part"))
+        .repartition("part", F.expr(f"block div {GROUP_TASKS << BLOCK_BITS}"))
         .mapInPandas(releasing(encode_words), "block long, part int, payload binary")
     )
 
