@@ -188,3 +188,23 @@ def skips_to_changes(skips: DataFrame) -> DataFrame:
 def clean_commands(db: DataFrame) -> DataFrame:
     """compilation commands without ``-H`` and without the excluded toolchain."""
     return db.filter(~F.col("command").contains("native_client")).withColumn("command", F.replace("command", F.lit(" -H "), F.lit(" ")))
+
+
+def set_edge_weights(
+    changes: DataFrame, weights: DataFrame, files: DataFrame, include_dirs: list[str], gen_prefix: str, sysroot: str, platform: str,
+    *, third_party: bool = False, ignores: DataFrame | None = None, mappings: DataFrame | None = None,
+) -> DataFrame:
+    """``change_type, line, includer, header, weight`` of the changes that remain.
+
+    ``weights``: ``src, dst, weight`` of :func:`metrics.edge_metric`.  Headers are
+    resolved for the lookup and stay as written in the output.  Additions and
+    removals of unknown edges have no weight.
+    """
+    c = filter_changes(changes, third_party=third_party, ignores=ignores, mappings=mappings)
+    removed = c.filter("change_type = 'remove'").select("includer", F.col("header").alias("include"))
+    paths = resolve_includes(removed, files, include_dirs, gen_prefix, sysroot, platform)
+    known = weights.groupBy(F.col("src").alias("_s"), F.col("dst").alias("_d")).agg(F.max("weight").alias("weight"))
+    known = paths.join(known, (F.col("includer") == F.col("_s")) & (F.col("resolved") == F.col("_d")))
+    known = known.select(F.lit("remove").alias("_type"), F.col("includer").alias("_i"), F.col("include").alias("_h"), "weight")
+    joined = c.join(known, (F.col("change_type") == F.col("_type")) & (F.col("includer") == F.col("_i")) & (F.col("header") == F.col("_h")), "left")
+    return joined.select("change_type", "line", "includer", "header", "weight")

@@ -232,6 +232,11 @@ def g15_indirect_cuts(spark, d):
     return cuts.indirect_cuts(graph, roots(spark, d), files(spark, d), TARGET, roots(spark, d).count())
 
 
+@query("g27_cut_report")
+def g27_cut_report(spark, d):
+    return cuts.cut_report(edges(spark, d), files(spark, d), roots(spark, d), TARGET, roots(spark, d).count(), top=10)[1]
+
+
 @query("g12_min_edge_cut")
 def g12_min_edge_cut(spark, d):
     return cuts.min_edge_cut(edges(spark, d), files(spark, d), "orders/1.cc", "nation/3.h", roots(spark, d).count())
@@ -407,6 +412,22 @@ def n1_resolve_includes(spark, d):
     return filters.resolve_includes(asked, files(spark, d), ["customer"], "out/Debug/gen/", "build/linux/x/", "y")
 
 
+_WEIGHED = f"select src, dst, esize as weight from ({model.EDGES}) x"
+
+
+@query(
+    "m11_set_edge_weights",
+    with_ctes(
+        "select change_type, line, includer, header, case when change_type = 'remove' then w.weight end as weight from c left join w on w.src = c.includer and w.dst = c.header "
+        "where change_type <> 'other' and not (regexp_matches(includer, '^third_party/') and not regexp_matches(includer, '^third_party/blink'))",
+        c=model.CHANGES, w=_WEIGHED,
+    ),
+)
+def m11_set_edge_weights(spark, d):
+    weights = metrics.edge_metric(edges(spark, d), files(spark, d), "input_size", 0, 0)
+    return filters.set_edge_weights(_changes(spark, d), weights, files(spark, d), [], "out/Debug/gen/", "build/linux/x/", "y", third_party=True)
+
+
 # Snapshots
 
 _NODE_DIFF = "select {p} as file, cast(sum(l_quantity) as bigint) as v from {{lineitem}} where l_shipdate < timestamp '{day}' group by l_partkey"
