@@ -191,7 +191,18 @@ def g21_entry_points(spark, d):
     return closure.entry_points(e, roots(spark, d), subset)
 
 
-@query("g24_adds_needed")
+@query(
+    "g24_adds_needed",
+    with_ctes(
+        "select distinct e.src as includer, e.dst as included from e where e.src like 'orders/%' and e.src in (select node from up) and e.dst in (select node from down)",
+        e=model.EDGES,
+        gone="select min(dst) as node from e where src = 'orders/1.cc' and dst like '%part/%'",
+        **{
+            "down(node)": "select node from gone union select e.dst from down join e on e.src = down.node",
+            "up(node)": "select cast('orders/1.cc' as varchar(50)) union select e.src from up join e on e.dst = up.node",
+        },
+    ),
+)
 def g24_adds_needed(spark, d):
     first = edges(spark, d).filter("src = 'orders/1.cc' and dst like '%part/%'").orderBy("dst").first()
     include = first["dst"] if first else "part/1.h"
@@ -202,7 +213,24 @@ def g24_adds_needed(spark, d):
 # Cuts
 
 
-@query("a11_floors")
+_FLOORS = ("original", "remaining", "direct_floor", "all_cuts_floor", "root_direct")
+
+
+@query(
+    "a11_floors",
+    with_ctes(
+        "select target, " + ", ".join([*_FLOORS, *(f"case when original = 0 then 0.0 else 100.0 * {n} / original::double end as {n}_of_original" for n in _FLOORS), *(f"100.0 * {n} / {N_ROOTS}::double as {n}_prevalence" for n in _FLOORS)]) + " from t",
+        e=f"select distinct src, dst, not ({' or '.join(f'starts_with(src, {chr(39)}{p}{chr(39)})' for p in cuts.UNCUTTABLE)}) as cuttable from ({model.EDGES}) x",
+        s=f"select kind, '{TARGET}' as node from (values {', '.join(f'({chr(39)}{n}{chr(39)})' for n in _FLOORS[:4])}) v(kind)",
+        **{
+            "r(kind, node)": "select kind, node from s union select r.kind, e.src from r join e on e.dst = r.node "
+            f"where not (r.kind = 'direct_floor' and e.dst = '{TARGET}' and e.cuttable) and not (r.kind = 'all_cuts_floor' and e.cuttable)",
+        },
+        t=f"select '{TARGET}' as target, "
+        + ", ".join(f"(select count(*) from r where kind = '{n}' and node <> '{TARGET}' and node in ({model.ROOTS})) as {n}" for n in _FLOORS[:4])
+        + f", (select count(*) from e where dst = '{TARGET}' and src in ({model.ROOTS})) as root_direct",
+    ),
+)
 def a11_floors(spark, d):
     return cuts.floors(edges(spark, d), roots(spark, d), TARGET)
 
