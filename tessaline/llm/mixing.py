@@ -24,6 +24,8 @@ from .textkernel import chunks, words
 BUCKET_ROWS = 4096
 FAN_IN = 64
 MAX_COPIES = 3
+#: Rows alike in id, source and size are numbered in runs of so many.
+REPEATS = 65_536
 
 
 def word_sizes(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
@@ -102,14 +104,16 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", se
     ``sized`` has a ``size`` per row.  Sources, in code point order with null
     last, weigh 1, 2, 3, repeating.  Every document gets the floor of its
     source's expected copies or one more, so at most ``MAX_COPIES``.  The draw
-    depends on id, size, source and ``seed`` alone, so reruns agree; repeated rows
-    are told apart by their order, in which they are alike.  Empty documents and
+    depends on id, size, source and ``seed`` alone, so reruns agree.  Repeated rows
+    are counted and numbered, so that they spread over the buckets even where one
+    id, or none, is on a third of all rows.  Empty documents and
     empty sources take 0 words.  An empty table gives no rows.  The driver holds
     one number per source (the mixture's own configuration), nothing per document.
     """
     spark = sized.sparkSession
-    rows = materialize(sized.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).alias("source"), F.col("size").cast("long")), "mix-sizes")
-    stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    rows = sized.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).alias("source"), F.col("size").cast("long"))
+    rows = materialize(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("alike")), "mix-sizes")
+    stats = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size"), F.sum("alike").alias("n")).collect()
     stats.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
     targets = water_fill([r["source_size"] for r in stats], [1 + i % 3 for i in range(len(stats))])
     table = [
@@ -118,11 +122,12 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", se
     goals = spark.createDataFrame(table, "g_source string, source_size long, target double, rate double, buckets long")
     goals = F.broadcast(goals) if len(table) <= 100_000 else goals
     rows = rows.join(goals, F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source")
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "source")).withColumn("whole", F.floor("rate").cast("int"))
+    rows = rows.withColumn("run", F.explode(F.expr(f"sequence(0L, (alike - 1) div {REPEATS})")))
+    rows = rows.withColumn("rank", F.explode(F.expr(f"sequence(run * {REPEATS}, least(alike, (run + 1) * {REPEATS}) - 1)"))).drop("run", "alike")
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "source", "rank")).withColumn("whole", F.floor("rate").cast("int"))
     unit = lambda level: F.pmod(F.xxhash64(F.lit(level), "h", "part"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    # A position-free part number tells equal rows apart; they are alike, so its order doesn't matter.
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("buckets")))
-    rows = rows.withColumn("p", F.col("rate") - F.col("whole")).withColumn("u", unit(0)).drop("rate", "buckets")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size", "rank"), F.col("buckets")))
+    rows = rows.withColumn("p", F.col("rate") - F.col("whole")).withColumn("u", unit(0)).drop("rate", "buckets", "rank")
     schema = rows.schema
     done = materialize(rows.groupBy("source", "part").applyInPandas(_round_group, schema), "mix-level")
     settled = done.filter("p = 0 or p = 1")
