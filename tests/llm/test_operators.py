@@ -59,6 +59,16 @@ def test_jaccard_components(spark, monkeypatch, k, percent):
     assert got == {i: (len(sets[i]), find(i)) for i in sets}
 
 
+@pytest.mark.parametrize("percent", [80, 85, 99, 100])
+def test_linked_sets_are_in_the_same_or_the_next_size_class(spark, percent):
+    from pyspark.sql import functions as F
+
+    got = {r["n"]: r["c"] for r in spark.range(1, 3001).select(F.col("id").alias("n")).withColumn("c", jaccard._size_class(F.col("n"), percent)).collect()}
+    for n, c in got.items():
+        most = min(3000, 100 * n // percent)  # the largest set that one of n can link with
+        assert all(0 <= got[m] - c <= 1 for m in range(n, most + 1))
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(30)] + [(rng.randrange(100, 140), rng.randrange(100, 140)) for _ in range(25)]
@@ -252,6 +262,12 @@ def test_mixing(spark, monkeypatch):
         total += size
         assert 0 <= copies <= 3 and words == copies * size
     assert abs(sum(target.values()) - total) < 1e-6 and all(abs(taken[s] - target[s]) <= 12 for s in target)
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    alike = spark.createDataFrame([(None, "a b", "s")] * 900 + [(7, "c", "s")] * 100 + [(i, "d e f", "t") for i in range(500)], "doc_id long, text string, source string")
+    once, twice = (sorted(map(tuple, mixing.mix(mixing.word_sizes(d)).collect()), key=str) for d in (alike, alike.repartition(5)))
+    assert once == twice and len(once) == 1500 and sum(r[0] is None for r in once) == 900
+    for source in "st":
+        assert abs(sum(r[6] for r in once if r[1] == source) - next(r[4] for r in once if r[1] == source)) <= 3
     assert mixing.mix(mixing.word_sizes(awkward(spark))).count() == len(AWKWARD) and mixing.mix(mixing.word_sizes(empty(spark))).count() == 0
 
 
