@@ -10,11 +10,14 @@ one node.  Candidates come from prefix lists under a global order of shingles
   shingles, is compared with the list's members first.  Members it links with share
   its component, so their answers follow from the pivot's and their mutual pairs
   are never made.  Only pairs of members that are still in different components
-  are compared afterwards, which loses no link between components.
+  are compared afterwards, which loses no link between components.  Lists are cut
+  in blocks of like set sizes for that, and a block meets itself and the next one;
+  sets further apart in size can't link.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,6 +126,14 @@ def _needed(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9))
 
 
+def _size_class(n: Column, percent: int) -> Column:
+    """A number of the set size in which linked sets differ by 1 at most."""
+    if percent >= 100:
+        return n.cast("long")
+    width = math.log(100 / percent) * (1 + 1e-6)  # the rounding of logarithms is well below that
+    return F.floor(F.log(n.cast("double")) / F.lit(width))
+
+
 def _sharing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose prefixes share as many shingles as linked sets must.
 
@@ -264,12 +275,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     member = listed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("token").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").select("token")
     member = member.join(mixed, "token", "left_semi").select("token", "node", "n", "pos", "component")
-    member = materialize(member, "jaccard-rest")
+    member = materialize(member.withColumn("size", _size_class(F.col("n"), percent)), "jaccard-rest")
     x, y = (member.select(*(F.col(c).alias(f"{side}_{c}") for c in member.columns)) for side in "xy")
+    x = x.withColumn("block", F.explode(F.array("x_size", F.col("x_size") + 1)))
+    once = (F.col("x_size") < F.col("y_size")) | (F.col("x_node") < F.col("y_node"))
     rest = (
-        x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component"))
+        x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("block") == F.col("y_size")) & once & (F.col("x_component") != F.col("y_component"))
                & _may_link(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), percent))
-        .select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+        .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
         .distinct()
     )
     seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
