@@ -42,6 +42,8 @@ GROUP_TASKS = 1024
 #: A task numbers its blocks from its own number, shifted by so many bits.
 BLOCK_BITS = 24
 MEMO_WORDS = 1 << 20
+#: A block's documents leave the task in slices of so many.
+SLICE_DOCS = 256
 #: Characters on which normalisation is lower-casing and white space only.
 _PLAIN = regex.compile(r"[^\u0000-ɏ‐-‧]")
 _SPACE = "\\t-\\r \\x85\\xa0"
@@ -215,39 +217,44 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         .mapInPandas(releasing(encode_words), "block long, part int, payload binary")
     )
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")  # the texts' row has part -1
-        known, ids, counts, place, sequence = _unpack(pdf["payload"].iloc[0])
-        lists = [_unpack(x) for x in pdf["payload"].iloc[1:]]
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = {}
+        for b in batches:
+            parts |= zip(b.column("part").to_pylist(), b.column("payload").to_pylist())
+        known, ids, counts, place, sequence = _unpack(parts.pop(-1))  # the texts' row
+        lists = [_unpack(parts.pop(p)) for p in sorted(parts)]
         length = np.concatenate([x[0] for x in lists]).astype(np.int64) if lists else np.zeros(0, np.int64)
         tokens = np.concatenate([x[1] for x in lists]) if lists else np.zeros(0, np.uint32)
+        del lists
         start = (np.cumsum(length) - length)[place]
         length = length[place]
         ends = np.cumsum(counts.astype(np.int64))
-        out_ids, out_n = [], []
-        for begin, end in zip(ends - counts, ends):
-            at_word = sequence[begin:end]
-            n = length[at_word]
-            total = int(n.sum())
-            index = np.repeat(start[at_word] - (np.cumsum(n) - n), n) + np.arange(total)
-            out_ids.append(tokens[index].astype("<u4").tobytes())
-            out_n.append(total)
-        doc_ids = pd.array(ids, dtype="Int64")
-        doc_ids[known == 0] = pd.NA
-        return pd.DataFrame({"doc_id": doc_ids, "n_tokens": out_n, "ids": out_ids})
+        begins = ends - counts
+        for low in range(0, len(ids), SLICE_DOCS):
+            at = slice(low, low + SLICE_DOCS)
+            out_ids = []
+            for begin, end in zip(begins[at], ends[at]):
+                at_word = sequence[begin:end]
+                n = length[at_word]
+                index = np.repeat(start[at_word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                out_ids.append(tokens[index].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[at], mask=known[at] == 0), pa.array([len(x) // 4 for x in out_ids], pa.int64()), pa.array(out_ids, pa.binary())], names=["doc_id", "n_tokens", "ids"]
+            )
 
     texts = blocks.filter("kind = 'text'").select("block", "part", "payload")
     rows = encoded.unionByName(texts).groupBy("block")
     if not decoded:
-        return rows.applyInPandas(lambda pdf: place(pdf), "doc_id long, n_tokens long, ids binary")
+        return rows.applyInArrow(releasing(place), "doc_id long, n_tokens long, ids binary")
     shared = _shared_pieces(spark, tokenizer_path)
 
-    def place_and_decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = place(pdf)
+    def place_and_decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
-        return out.assign(decoded=[_text(get, ids) for ids in out["ids"]])
+        for b in place(batches):
+            texts = [_text(get, ids.as_py()) for ids in b.column(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return rows.applyInPandas(place_and_decode, "doc_id long, n_tokens long, ids binary, decoded string")
+    return rows.applyInArrow(releasing(place_and_decode), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def pieces(tokenizer_path: str) -> dict[int, str]:
