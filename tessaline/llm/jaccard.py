@@ -293,8 +293,13 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
             labels = connected_components(links.unionByName(more))
 
     classes = nodes.groupBy("node").agg(F.min("doc_id").alias("first_id")).filter("node is not null")
-    classes = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = materialize(classes.join(least, "component").select(F.col("node").alias("_node"), "component_id"), "jaccard-classes")
+    # Large components are dealt in parts: each part that exists gets the component's answer.
+    classes = materialize(classes.join(labels, "node", "left").withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")), "jaccard-members")
+    linked = classes.filter("component is not null")
+    least = linked.groupBy("component", "deal").agg(F.min("first_id").alias("first_id"))
+    least = least.groupBy("component").agg(F.min("first_id").alias("component_id"), F.collect_list("deal").alias("deals")).select("component", "component_id", F.explode("deals").alias("deal"))
+    alone = classes.filter("component is null").select("node", F.col("first_id").alias("component_id"))
+    classes = linked.join(least, ["component", "deal"]).select("node", "component_id").unionByName(alone)
+    classes = materialize(classes.withColumnRenamed("node", "_node"), "jaccard-classes")
     out = nodes.select("doc_id", F.col("n").alias("n_shingles"), "node").join(classes, F.col("node") == F.col("_node"), "left").drop("_node")
     return out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
