@@ -87,11 +87,16 @@ def _digits(value: str, key: bytes, kind: str, back: bool) -> str:
     return _refill(value, _permute("".join(c for c in value if c.isdigit()), DIGITS, key, kind, back), str.isdigit)
 
 
+def _card_passes(value: str) -> bool:
+    digits = "".join(c for c in value if c.isdigit())
+    return 13 <= len(digits) <= 19 and _luhn_digit(digits[:-1]) == digits[-1]
+
+
 def card(value: str, key: bytes, back: bool = False) -> str | None:
     """Card numbers of 13 to 19 digits that pass the Luhn check keep passing it."""
-    digits = "".join(c for c in value if c.isdigit())
-    if not 13 <= len(digits) <= 19 or _luhn_digit(digits[:-1]) != digits[-1]:
+    if not _card_passes(value):
         return None
+    digits = "".join(c for c in value if c.isdigit())
     body = _permute(digits[:-1], DIGITS, key, "card", back)
     return _refill(value, body + _luhn_digit(body), str.isdigit)
 
@@ -138,16 +143,24 @@ def email(value: str, key: bytes, back: bool = False) -> str:
     return part(local, "mail") + "@" + part(name, "domain") + dot + last.lower()
 
 
+def _iban_check(country: str, body: str) -> str:
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
+
+
+def _iban_passes(value: str) -> bool:
+    plain = value.replace(" ", "")
+    return 15 <= len(plain) <= 34 and _iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
 def iban(value: str, key: bytes, back: bool = False) -> str | None:
     """IBANs with valid check digits keep their country and get new valid ones."""
+    if not _iban_passes(value):
+        return None
     plain = value.replace(" ", "")
-    check = lambda country, body: 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
     country, body = plain[:2], plain[4:]
-    if not 15 <= len(plain) <= 34 or f"{check(country, body):02d}" != plain[2:4]:
-        return None
     body = _refill(body, _permute("".join(c for c in body if c.isdigit()), DIGITS, key, "iban-digits" + country, back), str.isdigit)
     body = _refill(body, _permute("".join(c for c in body if c.isalpha()).lower(), LETTERS, key, "iban-letters" + country, back).upper(), str.isalpha)
-    return _refill(value, country + f"{check(country, body):02d}" + body, str.isalnum)
+    return _refill(value, country + _iban_check(country, body) + body, str.isalnum)
 
 
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -190,19 +203,80 @@ FOUND = re.compile(
 )
 
 
-def replace_text(text: str, key: bytes, kinds: dict[str, int] | None = None, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with pseudonyms, and (start, end, kind) of each in the new text."""
-    out, spans, at, length = [], [], 0, 0
-    for m in FOUND.finditer(text):
-        groups = m.groupdict()
-        kind = next(k for k in KINDS if groups[k] is not None)
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 "
+        "GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 "
+        "NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+_GROUP_END = re.compile(r"[A-Za-z0-9](?![A-Za-z0-9])")
+_STRETCH = {
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "card": re.compile(r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)"),
+}
+_PASSES = {"iban": _iban_passes, "card": _card_passes}
+#: How card numbers are usually written.
+_USUAL = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5}")
+
+
+def _windows(text: str, start: int, kind: str, known: dict) -> list[tuple[bool, int]]:
+    """``(usual, end)`` of the valid cards or IBANs at ``start`` that end where a group does.
+
+    Usual ones (an IBAN of its country's length, a card in usual groups) come first,
+    then longer ones.
+    """
+    if (kind, start) not in known:
+        found, m = [], _STRETCH[kind].match(text, start)
+        for end in [g.end() for g in _GROUP_END.finditer(text, start, m.end())] if m else ():
+            value = text[start:end]
+            if not value.isascii() or not _PASSES[kind](value):
+                continue
+            usual = len(value.replace(" ", "")) == IBAN_LENGTHS.get(value[:2]) if kind == "iban" else _USUAL.fullmatch(value) is not None
+            found.append((usual, end))
+        known[kind, start] = sorted(found, key=lambda x: (not x[0], -x[1]))
+    return known[kind, start]
+
+
+def _best(text: str, m: re.Match, kind: str, key: bytes, back: bool, known: dict) -> tuple[str, int, str] | None:
+    """Kind, end and pseudonym of the best value that starts where ``m`` does.
+
+    A match takes in groups that follow a value, so shorter ones count as well; an
+    unusual one gives way to a usual one that starts within it.
+    """
+    start, end = m.span(kind)
+    if kind not in _STRETCH:
         new = KINDS[kind](m[kind], key, back)
-        if new is None:
+        if new is not None:
+            return kind, end, new
+        kind = "card"  # the one kind that can start where a date, an address or a number failed
+    for usual, end in _windows(text, start, kind, known):
+        if usual or not any(w[0] for at in range(start + 1, end) for w in _windows(text, at, kind, known)):
+            return kind, end, KINDS[kind](text[start:end], key, back)
+    return None
+
+
+def replace_text(text: str, key: bytes, kinds: dict[str, int] | None = None, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with pseudonyms, and (start, end, kind) of each in the new text.
+
+    Where nothing that starts at a match is valid, the search goes on at the next group.
+    """
+    out, spans, at, length, known = [], [], 0, 0, {}
+    m = FOUND.search(text)
+    while m:
+        kind = next(k for k in KINDS if m[k] is not None)
+        start, value = m.start(kind), _best(text, m, kind, key, back, known)
+        if value is None:
+            m = FOUND.search(text, start + 1)
             continue
-        out += [text[at : m.start(kind)], new]
-        length += m.start(kind) - at + len(new)
+        kind, end, new = value
+        out += [text[at:start], new]
+        length += start - at + len(new)
         spans.append((length - len(new), length, kind))
-        at = m.end(kind)
+        at = end
+        m = FOUND.search(text, at)
     return "".join([*out, text[at:]]), spans
 
 
@@ -210,8 +284,8 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """``doc_id, text, n_pii, spans`` for every row.
 
     ``spans`` (start, end, kind; code points of the new text) tells what was
-    replaced.  Values that fail their validation stay, as does every other
-    character.  Null texts stay null, repeated rows are alike, an empty table gives
+    replaced.  Values that fail their validation stay, but for valid values within
+    them that start and end on group borders, as does every other character.  Null texts stay null, repeated rows are alike, an empty table gives
     no rows, and other columns aren't read.
     """
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))

@@ -151,6 +151,32 @@ def test_pii_round_trip_and_formats(spark):
     assert rows[1]["n_pii"] == 4 and all(v not in rows[1]["text"] for v in (values["email"], values["ip"], values["secret"], "4111111111111111"))
 
 
+def test_pii_beside_other_groups():
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    kept = {"card": (card, "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005"), "iban": (iban, "BE68539007547034", "NO93 8601 1117 947")}
+    around = {
+        "card": ("{} 123", "{} 12/25", "7 {}", "99 99 {}", "{} 1234 5678 9012", "2023-02-30 {}", "000-12-3456 {}", "{} {}"),
+        "iban": ("{} EUR", "{} PAID", "{} PAID BY ME 12 EUR", "EU12 {}", "{} {}", "SWIFT AB12 {} NOW"),
+    }
+    for kind, values in kept.items():
+        for value in values:
+            new = pii.KINDS[kind](value, KEY)
+            for frame in around[kind]:
+                text, spans = pii.replace_text(frame.format(value, value), KEY)
+                assert value not in text, (frame, value)
+                assert all(k == kind for *_, k in spans)
+                assert text == frame.format(new, new) or kind == "card" and value.count(" ") + value.count("-") != 3, (frame, text)
+    # No chance hit leaves a part of a usual card, and a stretch without a valid window stays.
+    rng = random.Random(5)
+    for _ in range(300):
+        lead = " ".join(str(rng.randint(0, 99)) for _ in range(rng.randint(1, 4)))
+        assert pii.KINDS["card"](card, KEY) in pii.replace_text(f"{lead} {card}", KEY)[0]
+    assert pii.replace_text("1 4111 1111 1111 111 BE68 5390 0754 7035 EUR", KEY)[1] == []
+    many = " ".join(str(rng.randint(0, 9)) for _ in range(3000))
+    text, spans = pii.replace_text(many, KEY)
+    assert len(text) == len(many) and all(k == "card" for *_, k in spans)
+
+
 def test_quality_counts(spark):
     got = [tuple(r[c] for c in quality.COUNTS) for r in quality.features(awkward(spark).coalesce(1)).collect()]
     want = []
