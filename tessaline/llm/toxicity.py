@@ -1,7 +1,9 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples by exact cosine of weighted TF-IDF vectors.
 
-Terms are lower-case letter runs and their first bytes.  Terms that mark the
-toxic examples make the vocabulary; examples are TF-IDF vectors over it.  The
+Terms are lower-case letter runs and their first bytes.  The vocabulary is all
+terms of the examples, those in one example too; beyond a bound it is the terms
+whose toxic share is furthest from the base rate, on either side.  That distance
+weighs a term besides TF-IDF.  The
 index is inverted with block maxima: examples are numbered in blocks, every term
 knows its largest weight in each block, and a query visits blocks by falling
 bound until no bound reaches its k-th best cosine.  Distance-weighted votes of
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +27,12 @@ from .textkernel import Chunk, chunks, prefix_sums, range_hash, row_of, runs
 
 #: The classifier is fitted to at most so many labelled rows, drawn by hash.
 SAMPLE_ROWS = 16_384
-MAX_TERMS = 4_096
-#: A term enters with so many standard deviations and so many times the base rate.
-MIN_Z, MIN_LIFT, MIN_DOCS = 5.0, 3.0, 5
+#: The index holds at most so many terms and postings, which keeps it below what may be broadcast.
+MAX_TERMS, MAX_POSTINGS = 1 << 18, 2_500_000
+#: A term weighs so much besides its standard deviations from the base rate, so that none weighs nothing.
+LEAST_WEIGHT = 0.1
+#: Bits of a term's hash by which unknown terms are told.
+FILTER_BITS = 22
 #: A word counts as itself and as its first bytes of these lengths.
 PREFIXES = (4, 5, 6, 7, 8)
 BLOCK = 64
@@ -61,14 +67,21 @@ def _lowered(texts: pa.Array) -> Iterator[Chunk]:
             yield c
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after another, and which range each is from."""
+    n = (end - start).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - (np.cumsum(n) - n - start)[of], of
+
+
 class Model:
     """Vocabulary, examples and the block-max index; bounded by its parameters."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list, labels: np.ndarray, example: np.ndarray, term: np.ndarray, tf: np.ndarray, base_rate: float, empty_rate: float):
         self.terms, self.idf = terms, idf
         self.base_rate, self.empty_rate = base_rate, empty_rate
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[terms >> np.uint64(48)] = True
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[terms >> np.uint64(64 - FILTER_BITS)] = True
         weight = (1 + np.log(tf)) * idf[term]
         norm = np.sqrt(np.bincount(example, weight * weight, minlength=len(ids)))
         weight /= np.maximum(norm[example], 1e-300)
@@ -83,19 +96,25 @@ class Model:
         self.ids, self.labels = ids[order], labels[order]
         example = number[example]
         by_term = np.lexsort((example, term))
-        self.post_example, self.post_weight = example[by_term], weight[by_term]
-        self.post_start = np.searchsorted(term[by_term], np.arange(len(terms) + 1))
+        self.post_example, self.post_weight = example[by_term].astype(np.int32), weight[by_term].astype(np.float32)
+        term = term[by_term]
+        self.post_start = np.searchsorted(term, np.arange(len(terms) + 1))
         self.blocks = -(-len(ids) // BLOCK)
-        self.block_max = np.zeros((len(terms), max(1, self.blocks)), np.float64)
-        np.maximum.at(self.block_max, (term, example // BLOCK), weight)
-        self.n_bytes = sum(a.nbytes for a in (terms, idf, self.filter, self.ids, self.labels, self.post_example, self.post_weight, self.block_max))
+        # An entry is a term's postings in one block.
+        block = self.post_example // BLOCK
+        first = np.ones(len(term), bool)
+        first[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.entry_post = np.append(np.flatnonzero(first), len(term)).astype(np.int32)
+        self.entry_max = np.maximum.reduceat(self.post_weight, self.entry_post[:-1]) if len(term) else self.post_weight
+        self.term_entry = np.searchsorted(self.entry_post[:-1], self.post_start).astype(np.int32)
+        self.n_bytes = sum(a.nbytes for a in vars(self).values() if isinstance(a, np.ndarray))
 
     def counts(self, c) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, vocabulary term and frequency, ordered by row, of a chunk's known terms."""
         rows, hashes = _terms(c)
         if not len(self.terms):
             rows, hashes = rows[:0], hashes[:0]
-        maybe = self.filter[hashes >> np.uint64(48)]
+        maybe = self.filter[hashes >> np.uint64(64 - FILTER_BITS)]
         rows, hashes = rows[maybe], hashes[maybe]
         at = np.searchsorted(self.terms, hashes)
         at[at == len(self.terms)] = 0
@@ -110,21 +129,31 @@ class Model:
         """
         q = (1 + np.log(tf)) * self.idf[terms]
         q = q / math.sqrt(float((q * q).sum()))
-        bounds = q @ self.block_max[terms]
+        entries, of = _ranges(self.term_entry[terms], self.term_entry[terms + 1])
+        block, q = self.post_example[self.entry_post[entries]] // BLOCK, q[of]
+        bounds = np.bincount(block, q * self.entry_max[entries], minlength=max(1, self.blocks))
+        order = np.argsort(-bounds, kind="stable")
+        order = order[: np.count_nonzero(bounds > 0)]
         best_score, best_at = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best_score) == k and bounds[b] + 1e-9 < best_score[-1]:
+        done, step = 0, 4
+        while done < len(order):
+            if len(best_score) == k and bounds[order[done]] + 1e-9 < best_score[-1]:
                 break
-            low = int(b) * BLOCK
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, q):
-                s, e = self.post_start[t], self.post_start[t + 1]
-                s, e = s + np.searchsorted(self.post_example[s:e], (low, low + BLOCK))
-                np.add.at(scores, self.post_example[s:e] - low, w * self.post_weight[s:e])
+            place = np.full(len(bounds), -1)
+            now = order[done : done + step]
+            place[now] = np.arange(len(now))
+            at = np.flatnonzero(place[block] >= 0) if len(now) < len(order) else np.arange(len(block))
+            posts, entry = _ranges(self.entry_post[entries[at]], self.entry_post[entries[at] + 1])
+            example = self.post_example[posts]
+            scores = np.bincount(place[example // BLOCK] * BLOCK + example % BLOCK, q[at][entry] * self.post_weight[posts], minlength=len(now) * BLOCK)
             found = np.flatnonzero(scores)
-            best_score, best_at = np.concatenate([best_score, scores[found]]), np.concatenate([best_at, found + low])
-            order = np.lexsort((best_at, -np.round(best_score, 12)))[:k]
-            best_score, best_at = best_score[order], best_at[order]
+            best_score, best_at = np.concatenate([best_score, scores[found]]), np.concatenate([best_at, now[found // BLOCK] * BLOCK + found % BLOCK])
+            if len(best_score) > k:
+                maybe = best_score >= np.partition(best_score, -k)[-k] - 1e-9
+                best_score, best_at = best_score[maybe], best_at[maybe]
+            first = np.lexsort((best_at, -np.round(best_score, 12)))[:k]
+            best_score, best_at = best_score[first], best_at[first]
+            done, step = done + step, step * 4
         return list(zip(best_score.tolist(), best_at.tolist()))
 
     def score(self, terms: np.ndarray, tf: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
@@ -150,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
     A row with several labels counts as toxic if one says so; null labels are no
     labels.  Without usable labels every score is 0.5.  Term counts are summed over
-    the sample on the executors; only the chosen terms and the examples' counts of
-    those, both bounded, come to the driver.
+    the sample on the executors; only ``MAX_TERMS`` terms and the examples' counts of
+    those, ``MAX_POSTINGS`` at most, come to the driver.
     """
     spark = docs.sparkSession
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
@@ -182,12 +211,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         return Model(none.astype(np.uint64), np.zeros(0), [], none, none, none, none, rate, rate)
     p = n_toxic / n
     stats = rows.select("_toxic", "text").mapInArrow(releasing(count), "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    z = (F.col("toxic") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-    chosen = stats.filter(F.col("n") >= MIN_DOCS).withColumn("z", z).filter((F.col("z") >= MIN_Z) & (F.col("toxic") >= MIN_LIFT * p * F.col("n")))
-    chosen = chosen.orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()  # the vocabulary's bound
-    terms = np.array([r["term"] for r in chosen], np.int64).view(np.uint64)
+    z = F.abs(F.col("toxic") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
+    chosen = stats.withColumn("z", z).orderBy(F.desc("z"), "n", "term").limit(MAX_TERMS).select("term", "n", "z").toArrow()  # the vocabulary's bound
+    term, seen, z = (chosen.column(i).to_numpy() for i in range(3))
+    by_z = np.lexsort((term, seen, -z))
+    by_z = by_z[np.cumsum(seen[by_z]) <= MAX_POSTINGS]
+    terms, seen, z = term[by_z].view(np.uint64), seen[by_z], z[by_z]
     order = np.argsort(terms)
-    idf = np.array([math.log((1 + n) / (1 + r["n"])) + 1 for r in chosen])[order]
+    idf = ((np.log((1 + n) / (1 + seen)) + 1) * (LEAST_WEIGHT + z))[order]
     vocabulary = Model(terms[order], idf, [], np.zeros(0, np.int64), *(np.zeros(0, np.int64) for _ in range(3)), p, p)
     shared = broadcast_checked(spark, vocabulary, vocabulary.n_bytes, "the vocabulary")
 
@@ -204,11 +235,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
     found = rows.select("_id", "_toxic", "text").mapInArrow(releasing(vectors), "id long, toxic int, terms array<int>, tf array<int>").toArrow()  # at most sample_rows rows
     ids, labels_ = found.column(0).to_numpy(), found.column(1).to_numpy()
-    lengths = np.array([len(x) for x in found.column(2)], np.int64)
+    lengths = pc.list_value_length(found.column(2)).to_numpy().astype(np.int64)
     empty = lengths == 0
     empty_rate = (float(labels_[empty].sum()) + p) / (int(empty.sum()) + 1)
     kept = np.flatnonzero(~empty)
-    flat = lambda k: np.array([v for x in found.column(k) for v in x.as_py()], np.int64)
+    flat = lambda k: pc.list_flatten(found.column(k)).to_numpy().astype(np.int64)
     example = np.repeat(np.arange(len(kept)), lengths[kept])
     return Model(terms[order], idf, ids[kept].tolist(), labels_[kept].astype(np.int64), example, flat(2), flat(3), p, empty_rate)
 
@@ -233,7 +264,7 @@ def score(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
                 scores, nears = [], []
                 for i in range(c.n):
                     terms, freq = t[at[i] : at[i + 1]], tf[at[i] : at[i + 1]]
-                    key = (terms.tobytes(), freq.tobytes())
+                    key = xxhash.xxh3_128_digest(terms.tobytes() + freq.tobytes())
                     if key not in known:
                         if len(known) >= 1 << 14:
                             known.clear()

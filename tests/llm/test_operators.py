@@ -221,6 +221,29 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(df, none).collect()} == {0.5}
 
 
+def test_toxicity_without_marking_words(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    fit_ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    common = [word() for _ in range(30)]
+    text = {i: " ".join([rng.choice(common) for _ in range(10)] + [word() for _ in range(20)]) for i in fit_ids}
+    # Every example's own words are in no other one; copies of examples find them.
+    toxic = {i: int(i % 8 == 0) for i in fit_ids}
+    docs = [(i, x) for i, x in text.items()] + [(1000 + i, x) for i, x in text.items()]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score(df, toxicity.fit(df, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))).collect()}
+    for i in fit_ids:
+        assert got[1000 + i]["predicted"] == toxic[i]
+        assert got[1000 + i]["evidence"][0]["example_id"] == i and abs(got[1000 + i]["evidence"][0]["cosine"] - 1) < 1e-6
+    # Most examples may be toxic: words mark either side.
+    for share in (4, 6, 9):
+        kind = {i: int(i % 10 < share) for i in range(300)}
+        docs = [(i, " ".join([rng.choice(common) for _ in range(20)] + ["vileword" if y else "kindword"] * (i % 3 + 1))) for i, y in kind.items()]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        labels = spark.createDataFrame(list(kind.items()), "doc_id long, toxic int")
+        assert {r["doc_id"]: r["predicted"] for r in toxicity.score(df, toxicity.fit(df, labels)).collect()} == kind
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     n, t = 500, 40
