@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessaline.llm import bpe, jaccard, mixing, pii, toxicity
@@ -46,13 +47,19 @@ def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture takes it."""
-    docs = docs.select(*COLUMNS)
-    copies = mixing.mix(mixing.word_sizes(docs)).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    copies = copies.filter("_copies > 0").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    # Rows that share an id share its copies: each has the whole part, the rest by rank of text hash.
-    each = F.expr("cast(_copies div _rows as int)")
-    return joined.filter(each > 0).select(*COLUMNS, F.explode(F.sequence(F.lit(1), each)).alias("_copy")).select(*COLUMNS)
+    sized = mixing.word_sizes(docs.select(*COLUMNS), keep=COLUMNS)
+    key = ("doc_id", "source", "size")
+    copies = mixing.mix(sized).groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
+    copies = copies.select(*(F.col(c).alias(f"_{c}") for c in key), F.expr("_copies div _rows").alias("_each"), F.expr("_copies % _rows").alias("_more"))
+    # Rows alike are one row with a number; of rows that share a key, the first by text hash take what remains.
+    hashes = sized.withColumn("_h", F.xxhash64("text")).withColumn("_g", F.xxhash64(F.lit(1), "text"))
+    alike = hashes.groupBy(*key, "lang", "n_chars", "_h", "_g").agg(F.first("text").alias("text"), F.count("*").alias("_alike"))
+    before = Window.partitionBy(*key).orderBy("_h", "_g", "lang", "n_chars").rowsBetween(Window.unboundedPreceding, -1)
+    alike = alike.withColumn("_before", F.coalesce(F.sum("_alike").over(before), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    taken = F.expr("int(_alike * _each + greatest(0, least(_alike, _more - _before)))")
+    joined = alike.join(copies, same[0] & same[1] & same[2]).withColumn("_taken", taken).filter("_taken > 0")
+    return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("_taken"))).alias("_copy")).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,6 +124,18 @@ def test_mixing_stage(passed):
     assert all(n <= 3 * had[row] for row, n in counts.items())
 
 
+def test_mixing_gives_rows_of_one_id_their_own_copies(spark):
+    rows = [(None, f"w{i} b c", "en", "s", 7) for i in range(300)] + [(7, "x " * (1 + i % 5), "en", "t", 9) for i in range(300)] + [(i, "d e f g", "en", "u", 7) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    after = [tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    words = lambda r: len(WORD.findall(r[1]))
+    sizes = [sum(words(r) for r in rows if r[3] == s) for s in "stu"]
+    for s, target in zip("stu", mixing.water_fill(sizes, [1, 2, 3])):
+        assert abs(sum(words(r) for r in after if r[3] == s) - target) <= 5
+    counts, had = Counter(after), Counter(rows)
+    assert set(counts) <= set(had) and all(n <= 3 * had[r] for r, n in counts.items())
+
+
 def test_bpe_stage(passed):
     before, after, columns = passed[0]["bpe"]
     library = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
