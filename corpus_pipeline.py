@@ -25,19 +25,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8 or more.
+    """One row of each group stays: five-word shingles, similarity 0.8 or more.
 
-    The one with the smallest id stays, once; rows without id or words stay.
+    The one with the smallest id (null last), then text hash, stays, once; rows
+    without words stay.
     """
-    classes = jaccard.jaccard_components(docs, k=5, percent=80)
-    # Of a repeated id, one row stays; without words a row is no copy of any other.
-    gone = classes.filter("node is not null and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    repeats = materialize(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
-    if repeats.isEmpty():
-        return kept
-    several = kept.join(repeats, "doc_id", "left_semi").select(*COLUMNS)
-    return kept.join(repeats, "doc_id", "left_anti").select(*COLUMNS).unionByName(several.dropDuplicates(["doc_id"]))
+    classes = materialize(jaccard.jaccard_components(docs, k=5, percent=80), "pipeline-classes")
+    worded = classes.filter("node is not null")
+    # The least row of each component; rows of one id may be in several components.
+    least = worded.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"), F.count("*").alias("n"))
+    least = least.select(F.col("r.doc_id").alias("_id"), F.col("r.text_hash").alias("_hash"), (F.col("n") > 1).alias("_several"))
+    wordless = classes.filter("node is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(False).alias("_several")).distinct()
+    rows = docs.select(*COLUMNS).withColumn("_h", F.xxhash64("text"))
+    kept = rows.join(least.unionByName(wordless), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    kept = materialize(kept.select(*COLUMNS, "_h", "_several"), "pipeline-kept")
+    # Rows alike in id and text: one stays.
+    once = kept.filter("_several").groupBy("doc_id", "_h").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("r"))
+    once = once.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars")
+    return kept.filter("not _several").select(*COLUMNS).unionByName(once)
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

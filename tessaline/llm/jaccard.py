@@ -74,7 +74,7 @@ def shingle_sketch(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarra
 
 
 def _nodes(docs: DataFrame, sketch, k: int, percent: int, text_col: str, seed: int) -> DataFrame:
-    """``doc_id, node, n, prefix, salts``; prefixes only where a task first meets a set."""
+    """``doc_id, text_hash, node, n, prefix, salts``; prefixes only where a task first meets a set."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -108,11 +108,11 @@ def _nodes(docs: DataFrame, sketch, k: int, percent: int, text_col: str, seed: i
                 hot = counts[(head >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > HOT_COUNT
                 salts.append(np.where(hot, 1 + node % SALTS, 0).astype(np.int32) if hot.any() else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(np.diff(offsets)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))],
-                names=["doc_id", "node", "proof", "n", "prefix", "salts"],
+                [part.column(0), part.column(2), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(np.diff(offsets)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))],
+                names=["doc_id", "text_hash", "node", "proof", "n", "prefix", "salts"],
             )
 
-    return docs.select("doc_id", text_col).mapInArrow(releasing(make), "doc_id long, node long, proof long, n long, prefix array<long>, salts array<int>")
+    return docs.select("doc_id", text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(releasing(make), "doc_id long, text_hash long, node long, proof long, n long, prefix array<long>, salts array<int>")
 
 
 def _may_link(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column, percent: int) -> Column:
@@ -222,7 +222,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text_col: s
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, node, component_id`` for every row of ``docs``.
+    """``doc_id, n_shingles, node, component_id, component, text_hash`` for every row of ``docs``.
 
     Texts are split into words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; two link
     when ``100 * intersection >= percent * union`` of their shingle sets.  A text of
@@ -230,7 +230,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     without words has no set, links with nothing and is its own component.
     ``component_id`` is the smallest id reachable by links.  Repeated rows share
     their set and so their component; null ids are left out of the minimum, and a
-    component without ids has a null id.  An empty table gives no rows, and other
+    component without ids has a null id.  ``component`` tells components apart where
+    ids repeat or are missing (null without words).  An empty table gives no rows, and other
     columns aren't read.
     """
     spark = docs.sparkSession
@@ -298,8 +299,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     linked = classes.filter("component is not null")
     least = linked.groupBy("component", "deal").agg(F.min("first_id").alias("first_id"))
     least = least.groupBy("component").agg(F.min("first_id").alias("component_id"), F.collect_list("deal").alias("deals")).select("component", "component_id", F.explode("deals").alias("deal"))
-    alone = classes.filter("component is null").select("node", F.col("first_id").alias("component_id"))
-    classes = linked.join(least, ["component", "deal"]).select("node", "component_id").unionByName(alone)
+    alone = classes.filter("component is null").select("node", F.col("first_id").alias("component_id"), F.col("node").alias("component"))
+    classes = linked.join(least, ["component", "deal"]).select("node", "component_id", "component").unionByName(alone)
     classes = materialize(classes.withColumnRenamed("node", "_node"), "jaccard-classes")
-    out = nodes.select("doc_id", F.col("n").alias("n_shingles"), "node").join(classes, F.col("node") == F.col("_node"), "left").drop("_node")
-    return out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    out = nodes.select("doc_id", F.col("n").alias("n_shingles"), "node", "text_hash").join(classes, F.col("node") == F.col("_node"), "left").drop("_node")
+    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "node", "component_id", "component", "text_hash")

@@ -96,6 +96,14 @@ def test_near_duplicate_stage(passed):
     assert len(kept) < len(before)
 
 
+def test_near_duplicates_by_row(spark):
+    a, b, c = ("a1 a2 a3 a4 a5 a6 a7", "b1 b2 b3 b4 b5 b6 b7", "c1 c2 c3 c4 c5 c6 c7")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, "d e f g h i"), (None, c), (None, "n o p q r s"), (None, "N o p q r s"), (4, ""), (4, ""), (4, "x y"), (4, "x y")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", 1) for n, (i, t) in enumerate(rows)], SCHEMA)
+    after = Counter((r[0], r[1].lower()) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert after == Counter([(1, a), (2, b), (3, c), (3, "d e f g h i"), (None, "n o p q r s"), (4, ""), (4, ""), (4, "x y")])
+
+
 def test_pii_stage(passed):
     before, after, _ = passed[0]["pii"]
     expected = []
