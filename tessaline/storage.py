@@ -9,18 +9,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset is a temporary folder made and set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessaline-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """``spark.checkpoint.dir``, or the checkpoint folder that the session has set.
 
+    A session on one machine (``local[...]``) that names neither gets a temporary
+    folder.  On a cluster that would be a different disk for every executor, so
+    there it is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessaline-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: cuts lineage and outlives any executor."""
+
+def _own_folder(spark: SparkSession):
+    """The application's own folder as a path of the JVM, and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tessaline-{spark.sparkContext.applicationId}")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` once and read it back: cuts lineage and outlives any executor.
+
+    The files go when the application ends, or at :func:`cleanup`.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessaline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    folder, files = _own_folder(spark)
+    path = f"{folder.toString()}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
+    files.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove every table that :func:`materialize` has written in this application.
+
+    For long-lived sessions: call it once results read from those tables are stored.
+    """
+    folder, files = _own_folder(spark)
+    files.delete(folder, True)
