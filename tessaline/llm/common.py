@@ -1,76 +1,72 @@
-"""Session helpers shared by the training-data operators."""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..storage import cleanup, materialize  # noqa: F401 (the operators' own name for them)
 
 #: Largest object, in bytes, that an operator may broadcast.
 BROADCAST_LIMIT = 64 * 1024 * 1024
+#: Bits a value in :func:`hash_filter`, and its largest size in bytes.
+FILTER_BITS_EACH = 16
+FILTER_MAX_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
+def broadcast_checked(spark: SparkSession, value, n_bytes: int, what: str):
+    """Broadcast ``value`` after checking the stated size bound."""
+    if n_bytes > BROADCAST_LIMIT:
+        raise ValueError(f"{what} has {n_bytes} bytes; at most {BROADCAST_LIMIT} may be broadcast")
+    return spark.sparkContext.broadcast(value)
 
-    Only where the session names none (tests, a laptop) is a temporary folder
-    created and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessaline-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size, from its plan alone."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tessaline-{spark.sparkContext.applicationId}"
 
+def _filter_places(hashes: np.ndarray, n_bits: int) -> list[np.ndarray]:
+    h = hashes.view(np.uint64)
+    return [(h >> np.uint64(shift)).astype(np.int64) & (n_bits - 1) for shift in (0, 21, 42)]
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage and survives the loss of any executor.  The files
-    stay until :func:`cleanup` or until the session's folder is removed.
-    """
-    spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def in_filter(mask: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the mask of :func:`hash_filter` may hold; none that it holds is missed."""
+    found = np.ones(len(hashes), bool)
+    for at in _filter_places(hashes, len(mask) * 64):
+        found &= (mask[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return found
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Remove every table that :func:`materialize` wrote in this session.
+def hash_filter(values: DataFrame):
+    """A Bloom filter over a column of 64-bit hashes, broadcast; bounded by ``FILTER_MAX_BYTES``.
 
-    Call it once results that were read from those tables have been stored.
+    Beyond that bound it holds ever more values that were never put in, so it only
+    spares work: what it lets through must be joined with ``values`` afterwards.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
-
-
-def broadcast_checked(spark: SparkSession, value, n_bytes: int, what: str):
-    """Broadcast ``value`` after checking the stated size bound."""
-    if n_bytes > BROADCAST_LIMIT:
-        raise ValueError(f"{what} has {n_bytes} bytes; at most {BROADCAST_LIMIT} may be broadcast")
-    return spark.sparkContext.broadcast(value)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark = values.sparkSession
+    n = values.count()
+    size = 1 << int(np.ceil(np.log2(max(64, min(FILTER_MAX_BYTES, FILTER_BITS_EACH * n // 8)))))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in _filter_places(b.column(0).to_numpy(zero_copy_only=False), size * 8):
+                at = np.unique(at)
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
+
+    found = values.mapInArrow(releasing(bits), "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits"))
+    mask = np.zeros(size // 8, np.int64)
+    for part in found.toArrow().to_batches():  # at most FILTER_MAX_BYTES / 8 rows
+        mask[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return broadcast_checked(spark, mask.view(np.uint64), mask.nbytes, "the filter")
 
 
 def releasing(task: Callable) -> Callable:

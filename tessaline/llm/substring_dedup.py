@@ -1,8 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences; every run of several consecutive sentences with
-enough words is hashed, hashes join globally, and sentences covered by any
-repeated run other than its first occurrence are removed.
+enough words is hashed (letters A-Z count as a-z, white space doesn't count), hashes
+join globally, and sentences covered by any repeated run other than its first
+occurrence are removed.
+
+Hashes are counted in one pass.  A second pass makes the runs again and keeps those
+whose hash repeats, with their places; of those few the first place is found and
+the others are cut.
 """
 
 from __future__ import annotations
@@ -14,20 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, releasing
+from .common import FILTER_MAX_BYTES, hash_filter, in_filter, materialize, releasing
 from .textkernel import COEF, IS_SPACE, LOWER, chunks, mix64, prefix_sums, range_hash, row_of, runs
 
 #: A run has at least so many sentences and so many words.
 MIN_SENTENCES = 3
-MIN_WORDS = 20
-#: Sentences end after a word with one of these at its end, and at line ends; a
-#: sentence of more words is cut after words whose hash has CUT_MASK's bits unset.
-ENDERS = ".!?,;:|"
-LONG_SENTENCE = 12
+MIN_WORDS = 30
+#: A sentence ends at a line end, after a word that ends in one of ENDERS (closing
+#: quotes and brackets may follow), and at a lone BAR, which parts the items of menus.
+ENDERS = ".!?"
+CLOSERS = "\"')]"
+BAR = "|"
+#: Text that goes on for more words without an end is cut after words whose hash has
+#: CUT_MASK's bits unset, so that its pieces are the same wherever it stands.
+LONG_SENTENCE = 40
 CUT_MASK = 3
 
-_ENDER = np.zeros(256, bool)
+_ENDER, _CLOSER = np.zeros(256, bool), np.zeros(256, bool)
 _ENDER[[ord(c) for c in ENDERS]] = True
+_CLOSER[[ord(c) for c in CLOSERS]] = True
 
 
 def _sentences(c):
@@ -40,7 +50,10 @@ def _sentences(c):
         return start, end, row, h, np.zeros(0, np.int64)
     lines = np.zeros(len(data) + 1, np.int64)
     np.cumsum(data == 10, out=lines[1:])
-    ends = _ENDER[data[end - 1]]
+    last = end - 1
+    while (closing := _CLOSER[data[last]] & (last > start)).any():
+        last = last - closing
+    ends = _ENDER[data[last]] | ((end - start == 1) & (data[start] == ord(BAR)))
     ends[:-1] |= (lines[start[1:]] > lines[end[:-1]]) | (row[1:] != row[:-1])
     ends[-1] = True
     sentence = np.cumsum(ends) - ends
@@ -56,7 +69,7 @@ def _spans(c):
     n = len(first)
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z, row, first
+        return z, z, z, z, z
     bounds = np.append(first, len(h))
     own_row = row[first]
     # The run ends with the first sentence that makes it long enough.
@@ -80,20 +93,46 @@ def _spans(c):
         np.cumsum(mix64(h * COEF[len(hashes)]) * power[:-1], out=sums[1:], dtype=np.uint64)
         hashes.append(mix64((sums[stop] - sums[begin]) * inverse[begin] + (stop - begin).astype(np.uint64)).view(np.int64))
     number = np.arange(n) - np.searchsorted(own_row, own_row, "left")
-    return own_row[at], number[at], last - at + 1, hashes[0], hashes[1], row, first
+    return own_row[at], number[at], last - at + 1, hashes[0], hashes[1]
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row, doc_id, text``: written once, so that row numbers stay what they are."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "span-rows")
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, h1, h2, at, n``: every run's 128-bit hash, first sentence and length."""
+def spans(rows: DataFrame, mask=None) -> DataFrame:
+    """``h1, h2, doc_id, row, at, n``: every run's 128-bit hash, place and length.
+
+    ``rows``: ``row, doc_id, text``.  With ``mask``, runs whose hash it can't hold
+    are left out.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in chunks(b.column(1)):
-                rows, at, n, h1, h2, _, _ = _spans(c)
-                ids = b.column(0).slice(c.first, c.n).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(h1), pa.array(h2), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "h1", "h2", "at", "n"])
+            for c in chunks(b.column(2)):
+                rows, at, n, h1, h2 = _spans(c)
+                if mask is not None:
+                    kept = in_filter(mask.value, h1)
+                    rows, at, n, h1, h2 = rows[kept], at[kept], n[kept], h1[kept], h2[kept]
+                own = b.slice(c.first, c.n).select(["doc_id", "row"]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), *own.columns, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h1", "h2", "doc_id", "row", "at", "n"])
+
+    return rows.select("row", "doc_id", "text").mapInArrow(releasing(make), "h1 long, h2 long, doc_id long, row long, at int, n int")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """``h1, h2`` of the runs that occur more than once; counted per task before the shuffle."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b.column(0)):
+                _, _, _, h1, h2 = _spans(c)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2)], names=["h1", "h2"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(releasing(make), "doc_id long, h1 long, h2 long, at int, n int")
+    found = rows.select("text").mapInArrow(releasing(make), "h1 long, h2 long")
+    return found.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,25 +140,29 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     ``text`` lacks the removed sentences; the others keep their bytes and the white
     space after them.  A run's first occurrence is the one with the smallest
-    ``(doc_id, sentence)``; it stays.  Repeats within a document count too.  A text
-    with too few sentences or words for a run is left alone, as are null texts and
-    rows with a null id.  Rows that repeat an id are cut alike, by that id's spans.
-    An empty table gives no rows, and other columns aren't read.
+    ``(doc_id, place of the row in the input, sentence)``, rows without an id last;
+    it stays, whatever else is cut.  Rows are told apart by their place, so rows
+    that repeat an id, or have none, are cut each by its own runs, and of exact
+    repeats the first stays.  Repeats within a row count too.  A text with too few
+    sentences or words for a run is left alone, as are null and empty texts.  Texts
+    of any length are cut whole.  An empty table gives no rows, and other columns
+    aren't read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = spans(rows.filter("doc_id is not null"))
-    # One row per repeated run and its first place; sums per task come before the shuffle.
-    repeated = (
-        found.groupBy("h1", "h2")
-        .agg(F.count("*").alias("_c"), F.min(F.struct("doc_id", "at")).alias("_first"))
-        .filter("_c > 1")
-        .select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "_first")
-    )
-    repeated = materialize(repeated, "span-repeats")
-    later = found.join(repeated, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).filter(F.struct("doc_id", "at") != F.col("_first"))
-    cut = later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("cut"))
-    cut = materialize(cut, "span-cuts").withColumnRenamed("doc_id", "_doc")
-    joined = rows.join(cut, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "cut")
+    rows = _numbered(docs, id_col, text_col)
+    repeated = materialize(_repeated(rows), "span-repeats")
+    if repeated.count() <= FILTER_MAX_BYTES * 2:  # four bits each at least
+        found = spans(rows, hash_filter(repeated.select("h1")))
+    else:
+        listed = repeated.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+        found = spans(rows).join(listed, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left_semi")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
+    # What the filter lets through besides is the only one of its kind, and so the first.
+    found = materialize(found, "span-places")
+    firsts = found.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min(place).alias("_first"))
+    later = found.join(firsts, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).filter(place != F.col("_first"))
+    cut = later.groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("at", "n")).alias("cut"))
+    cut = materialize(cut, "span-cuts")
+    joined = rows.join(cut, F.col("row") == F.col("_row"), "left").select("doc_id", "text", "cut")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,7 +170,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             cuts = b.column(2)
             n_sentences, n_removed, removed_words = (np.zeros(b.num_rows, np.int64) for _ in range(3))
             for c in chunks(b.column(1)):
-                start, end, row, _, first = _sentences(c)
+                start, _, row, _, first = _sentences(c)
                 bounds = np.append(first, len(start))
                 n_sentences[c.first : c.first + c.n] = np.bincount(row[first], minlength=c.n)
                 begin = np.searchsorted(row[first], np.arange(c.n + 1))
