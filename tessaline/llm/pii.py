@@ -3,6 +3,9 @@
 Found values are validated (checksums, octets, calendar) and their characters
 are permuted by a keyed Feistel network within the value's format, so equal
 values get equal pseudonyms in every document and the key gives them back.
+
+Decimal digits of every script count as digits: a text is searched with its digits
+read as 0 to 9, and a pseudonym is written in the script of the digits it replaces.
 """
 
 from __future__ import annotations
@@ -10,16 +13,20 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import releasing
 
+#: Where the key comes from, as hexadecimal digits; Spark redacts settings of such names.
+KEY_SETTING = "spark.tessaline.pii.secret"
 ROUNDS = 10
 DIGITS = "0123456789"
 HEX = "0123456789abcdef"
@@ -124,23 +131,25 @@ def ssn(value: str, key: bytes, back: bool = False) -> str | None:
 
 def phone(value: str, key: bytes, back: bool = False) -> str:
     """Phone numbers keep their country code and punctuation."""
-    cut = re.match(r"\+\d{1,3}[\s.-]?|1[\s.-]", value)
+    cut = re.match(r"\+[0-9]{1,3}[\s.-]?|1[\s.-]", value)
     head = cut[0] if cut else ""
     return head + _digits(value[len(head) :], key, "phone", back)
 
 
 def email(value: str, key: bytes, back: bool = False) -> str:
     """Letters become letters and digits digits, in the local part and the domain's name;
-    the last label and punctuation stay."""
+    the last label and punctuation stay, and capitals stay where they are, so that an
+    address and its capitalised form get pseudonyms that differ in capitals alone."""
     local, domain = value.rsplit("@", 1)
     name, dot, last = domain.rpartition(".")
 
     def part(text: str, kind: str) -> str:
         lower = text.lower()
-        text = _refill(lower, _permute("".join(c for c in lower if c in LETTERS), LETTERS, key, kind + "-letters", back), LETTERS.__contains__)
-        return _refill(text, _permute("".join(c for c in lower if c in DIGITS), DIGITS, key, kind + "-digits", back), DIGITS.__contains__)
+        new = _refill(lower, _permute("".join(c for c in lower if c in LETTERS), LETTERS, key, kind + "-letters", back), LETTERS.__contains__)
+        new = _refill(new, _permute("".join(c for c in lower if c in DIGITS), DIGITS, key, kind + "-digits", back), DIGITS.__contains__)
+        return "".join(n.upper() if c.isupper() else n for n, c in zip(new, text))
 
-    return part(local, "mail") + "@" + part(name, "domain") + dot + last.lower()
+    return part(local, "mail") + "@" + part(name, "domain") + dot + last
 
 
 def _iban_check(country: str, body: str) -> str:
@@ -168,7 +177,7 @@ _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 3
 
 def date(value: str, key: bytes, back: bool = False) -> str | None:
     """Calendar dates of 1900 to 2099 as YYYY-MM-DD, YYYY/MM/DD, DD.MM.YYYY or DD/MM/YYYY."""
-    sep = re.search(r"\D", value)[0]
+    sep = re.search(r"[^0-9]", value)[0]
     parts = value.split(sep)
     year_first = len(parts[0]) == 4
     y, m, d = parts if year_first else parts[::-1]
@@ -192,13 +201,13 @@ def secret(value: str, key: bytes, back: bool = False) -> str:
 KINDS: dict[str, Callable] = {"email": email, "iban": iban, "secret": secret, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
 FOUND = re.compile(
     r"""(?<![\w.+-])(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})(?![\w-])
-    |(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])
+    |(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])
     |(?<![A-Za-z])(?i:token|key|secret|passwd|password|apikey)["']?[ ]?[:=][ ]?["']?(?P<secret>[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])
-    |(?<![\w.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\w|\.\d)
-    |(?<![\w./-])(?P<date>\d{4}(?P<d1>[-/])\d{2}(?P=d1)\d{2}|\d{2}(?P<d2>[./])\d{2}(?P=d2)\d{4})(?!\w|[./-]\d)
-    |(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])
-    |(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}|(?:1[ .-])?(?:\(\d{3}\)[ ]?|\d{3}[.-])\d{3}[.-]\d{4})(?!\w)
-    |(?<!\w)(?P<card>\d(?:[ -]?\d){12,18})(?!\w)""",
+    |(?<![\w.])(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?!\w|\.[0-9])
+    |(?<![\w./-])(?P<date>[0-9]{4}(?P<d1>[-/])[0-9]{2}(?P=d1)[0-9]{2}|[0-9]{2}(?P<d2>[./])[0-9]{2}(?P=d2)[0-9]{4})(?!\w|[./-][0-9])
+    |(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])
+    |(?<![\w+])(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}|(?:1[ .-])?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?!\w)
+    |(?<!\w)(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?!\w)""",
     re.VERBOSE,
 )
 
@@ -214,12 +223,12 @@ IBAN_LENGTHS = {
 }
 _GROUP_END = re.compile(r"[A-Za-z0-9](?![A-Za-z0-9])")
 _STRETCH = {
-    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "card": re.compile(r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)"),
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "card": re.compile(r"(?<!\w)[0-9](?:[ -]?[0-9]){12,18}(?!\w)"),
 }
 _PASSES = {"iban": _iban_passes, "card": _card_passes}
 #: How card numbers are usually written.
-_USUAL = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5}")
+_USUAL = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}")
 
 
 def _windows(text: str, start: int, kind: str, known: dict) -> list[tuple[bool, int]]:
@@ -258,11 +267,27 @@ def _best(text: str, m: re.Match, kind: str, key: bytes, back: bool, known: dict
     return None
 
 
-def replace_text(text: str, key: bytes, kinds: dict[str, int] | None = None, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
+#: Decimal digits of all scripts but the first, as 0 to 9; none lies in higher planes.
+_READ = {n: str(unicodedata.decimal(chr(n))) for n in range(128, 1 << 17) if unicodedata.category(chr(n)) == "Nd"}
+_FOREIGN = re.compile(r"(?![0-9])\d")
+
+
+def _written(new: str, old: str) -> str:
+    """``new`` with its digits in the script of the first digit of ``old``."""
+    digit = next((c for c in old if c.isdecimal()), "0")
+    if digit.isascii():
+        return new
+    zero = ord(digit) - unicodedata.decimal(digit)
+    return "".join(chr(zero + int(c)) if c in DIGITS else c for c in new)
+
+
+def replace_text(original: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and (start, end, kind) of each in the new text.
 
     Where nothing that starts at a match is valid, the search goes on at the next group.
     """
+    foreign = not original.isascii() and _FOREIGN.search(original) is not None
+    text = original.translate(_READ) if foreign else original
     out, spans, at, length, known = [], [], 0, 0, {}
     m = FOUND.search(text)
     while m:
@@ -272,12 +297,23 @@ def replace_text(text: str, key: bytes, kinds: dict[str, int] | None = None, bac
             m = FOUND.search(text, start + 1)
             continue
         kind, end, new = value
-        out += [text[at:start], new]
+        out += [original[at:start], _written(new, original[start:end]) if foreign else new]
         length += start - at + len(new)
         spans.append((length - len(new), length, kind))
         at = end
         m = FOUND.search(text, at)
-    return "".join([*out, text[at:]]), spans
+    return "".join([*out, original[at:]]), spans
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key of ``KEY_SETTING``; where it is unset, a random one for this session.
+
+    Pseudonyms agree between sessions, and can be undone, only where the setting is
+    given.
+    """
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return bytes.fromhex(spark.conf.get(KEY_SETTING))
 
 
 def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,8 +321,10 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
     ``spans`` (start, end, kind; code points of the new text) tells what was
     replaced.  Values that fail their validation stay, but for valid values within
-    them that start and end on group borders, as does every other character.  Null texts stay null, repeated rows are alike, an empty table gives
-    no rows, and other columns aren't read.
+    them that start and end on group borders, as does every other character.  Null
+    texts stay null and empty ones empty, texts of any length are searched whole,
+    repeated rows are alike, an empty table gives no rows, and other columns aren't
+    read.
     """
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
@@ -304,7 +342,7 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
 def _replace_batch(texts: pa.Array, key: bytes) -> tuple[pa.Array, dict[int, list]]:
     """The texts with pseudonyms, and the spans of those that changed."""
-    maybe = pc.fill_null(pc.match_substring_regex(texts, r"@|\d.{0,3}\d|[0-9a-fA-F]{32}"), False).to_numpy(zero_copy_only=False)
+    maybe = pc.fill_null(pc.match_substring_regex(texts, r"@|\p{Nd}.{0,3}\p{Nd}|[0-9a-fA-F]{32}"), False).to_numpy(zero_copy_only=False)
     new, spans = {}, {}
     for i in np.flatnonzero(maybe).tolist():
         text, found = replace_text(texts[i].as_py(), key)
@@ -318,7 +356,10 @@ def _replace_batch(texts: pa.Array, key: bytes) -> tuple[pa.Array, dict[int, lis
 
 
 def pseudonymize_column(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """``docs`` with pseudonyms in ``text_col``; all rows and columns stay."""
+    """``docs`` with pseudonyms in ``text_col``; all rows, columns and other values stay.
+
+    Null texts stay null, repeated rows are alike, and an empty table stays empty.
+    """
     names = docs.columns
     at = names.index(text_col)
 
