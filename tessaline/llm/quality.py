@@ -16,8 +16,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
-#: A host is rejected when its shrunken failure rate is above this.
-MAX_HOST_FAILURE = 0.5
+#: A host's prior, fitted to the other hosts, counts as that many documents of it at most.
+MAX_STRENGTH = 100.0
+#: A host is rejected when its shrunken failure rate is above all of: this rate, so many
+#: times the other hosts' mean, and so many standard deviations of the prior above it.
+MIN_HOST_FAILURE, MEAN_FACTOR, DEVIATIONS = 0.2, 2.0, 3.0
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -94,28 +97,38 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def host_verdicts(rows: DataFrame) -> DataFrame:
-    """``host, host_docs, host_failed, host_rate, host_kept`` from rows of :func:`features`.
-
-    The beta prior is fitted to the hosts' own rates by moments: with mean ``m``
-    and variance ``v`` of the rates, ``a + b = m (1 - m) / v - 1``, held between 1
-    and 1e6 (all rates alike: 1e6).  A host's rate is shrunk to ``(failed + a) /
-    (docs + a + b)``, so that a host of few documents is judged like the others.
+    """``host, host_docs, host_failed, host_rate, host_limit, host_kept`` from rows of :func:`features`.
+
+    Each host's beta prior is fitted to the other hosts by moments, weighted by
+    documents: with mean ``m`` and variance ``v`` of their rates, its strength ``s``
+    is ``m (1 - m) / v - 1``, held between 1 and ``MAX_STRENGTH``.  The host's rate is
+    shrunk to ``(failed + m s) / (docs + s)``, so that a host of few documents is
+    judged like the others, and the host is kept unless that is above the limit
+    that the prior sets.  A host is left out of its own prior, so that one large bad
+    host doesn't hide itself; a single host has none and is kept.
     """
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
-    rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("_m"), F.var_pop(rate).alias("_v"))
-    strength = F.when(F.col("_v") > 0, F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.col("_m") * (1 - F.col("_m")) / F.col("_v") - 1))).otherwise(1e6)
-    prior = prior.select("_m", strength.alias("_s")).first()
-    m, s = (prior["_m"] or 0.0, prior["_s"]) if prior else (0.0, 1.0)
-    shrunk = (F.col("host_failed") + F.lit(m * s)) / (F.col("host_docs") + F.lit(s))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_kept", F.col("host_rate") <= MAX_HOST_FAILURE)
+    squares = F.col("host_failed") * F.col("host_failed") / F.col("host_docs")
+    total = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failed").alias("f"), F.sum(squares).alias("q")).first()  # one row
+    n, f, q = (total["n"] or 0, total["f"] or 0, total["q"] or 0.0)
+    docs = F.nullif(F.lit(n) - F.col("host_docs"), F.lit(0))
+    m = (F.lit(f) - F.col("host_failed")) / docs
+    v = (F.lit(q) - squares) / docs - F.col("_m") * F.col("_m")
+    s = F.when(F.col("_v") > 0, F.least(F.lit(MAX_STRENGTH), F.greatest(F.lit(1.0), F.col("_m") * (1 - F.col("_m")) / F.col("_v") - 1))).otherwise(F.lit(MAX_STRENGTH))
+    rate = (F.col("host_failed") + F.col("_m") * F.col("_s")) / (F.col("host_docs") + F.col("_s"))
+    deviation = F.sqrt(F.col("_m") * (1 - F.col("_m")) / (F.col("_s") + 1))
+    limit = F.greatest(F.lit(MIN_HOST_FAILURE), MEAN_FACTOR * F.col("_m"), F.col("_m") + DEVIATIONS * deviation)
+    fitted = hosts.withColumn("_m", m).withColumn("_v", v).withColumn("_s", s)
+    fitted = fitted.withColumn("host_rate", F.coalesce(rate, F.col("host_failed") / F.col("host_docs"))).withColumn("host_limit", F.when(F.col("_m").isNotNull(), limit))
+    return fitted.withColumn("host_kept", F.coalesce(F.col("host_rate") <= F.col("host_limit"), F.lit(True))).drop("_m", "_v", "_s")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Rows of :func:`features` with their host's figures and ``kept``.
 
     ``kept`` is false where ``base_failed``, else the host's verdict.  One row per
-    row of ``docs``; an empty table gives none.
+    row of ``docs``, repeated rows included; rows without a host share one verdict, and
+    an empty table gives no rows.
     """
     rows = materialize(features(docs, id_col, text_col, host_col), "quality-rows")
     verdicts = materialize(host_verdicts(rows), "quality-hosts").withColumnRenamed("host", "_host")
