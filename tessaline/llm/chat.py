@@ -16,6 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
+#: A streamed message comes in deltas of so many code points.
+DELTA_CHARS = 256
+#: Events of one message in a log of finished turns; more than any text has deltas.
+EVENTS_EACH = 1 << 32
 #: Events that set a message's whole text; ``delta`` appends, ``delete`` retracts.
 RESETS = ("open", "edit", "regenerate")
 
@@ -130,15 +134,28 @@ def read_back(formatted: DataFrame) -> DataFrame:
     )
 
 
-def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Rows of finished turns as a log: each row opens one message, in order of ``turn``.
+def conversation_events(conversations: DataFrame, streamed_role: str = "assistant") -> DataFrame:
+    """Rows of finished turns as the log that a chat server would have kept of them.
 
-    Repeated turns and rows are messages of their own, ordered by role and text;
-    null turns come first.
+    A turn of ``streamed_role`` is a generation (``regenerate``, the kind that also
+    starts a first one) and the deltas that streamed its text; any other turn is
+    opened with an empty draft and edited to its text.  Repeated turns and rows are
+    messages of their own, ordered by role and text; null turns come first, a null
+    text is empty, and an empty streamed text has no deltas.  An empty table gives no
+    events, and other columns aren't read.
     """
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("msg", F.row_number().over(order).cast("long"))
-    return rows.select("conv_id", "msg", F.col("msg").alias("seq"), F.lit("open").alias("op"), "role", "text")
+    event = lambda k, op, role, text: F.struct(F.lit(k).cast("long").alias("k"), F.lit(op).alias("op"), role.alias("role"), text.alias("text"))
+    role, none = F.col("role"), F.lit(None).cast("string")
+    deltas = F.expr(
+        f"""transform(sequence(1, cast(ceil(char_length(text) / {DELTA_CHARS}) as int)), i -> struct(cast(i as bigint) as k, 'delta' as op,
+            cast(null as string) as role, substring(text, (i - 1) * {DELTA_CHARS} + 1, {DELTA_CHARS}) as text))"""
+    )
+    streamed = F.concat(F.array(event(0, "regenerate", role, F.lit(""))), F.when(F.char_length("text") > 0, deltas).otherwise(F.expr("filter(array(struct(0L as k, '' as op, '' as role, '' as text)), x -> false)")))
+    written = F.array(event(0, "open", role, F.lit("")), event(1, "edit", none, F.col("text")))
+    log = rows.select("conv_id", "msg", F.inline(F.when(role == streamed_role, streamed).otherwise(written)))
+    return log.select("conv_id", "msg", (F.col("msg") * EVENTS_EACH + F.col("k")).alias("seq"), "op", "role", "text")
 
 
 def digests(read: DataFrame) -> DataFrame:
