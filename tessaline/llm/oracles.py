@@ -58,14 +58,21 @@ with docs as (
     select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counted
 ), hosts as (
     select host, count(*) as host_docs, cast(sum(cast(base_failed as int)) as bigint) as host_failed from judged group by host
+), total as (
+    select cast(sum(host_docs) as bigint) as n, cast(sum(host_failed) as bigint) as f, sum(host_failed * host_failed / host_docs) as q from hosts
 ), moments as (
-    select avg(host_failed / host_docs) as m, var_pop(host_failed / host_docs) as v from hosts
+    select host, host_docs, host_failed, case when n > host_docs then (f - host_failed) / (n - host_docs) end as m,
+        case when n > host_docs then (q - host_failed * host_failed / host_docs) / (n - host_docs) end as r2
+    from hosts cross join total
 ), prior as (
-    select m, case when v > 0 then least(1e6, greatest(1.0, m * (1 - m) / v - 1)) else 1e6 end as s from moments
+    select *, case when r2 - m * m > 0 then least(100.0, greatest(1.0, m * (1 - m) / (r2 - m * m) - 1)) else 100.0 end as s from moments
+), verdicts as (
+    select host, host_docs, host_failed,
+        m is null or (host_failed + m * s) / (host_docs + s) <= greatest(0.2, 2 * m, m + 3 * sqrt(m * (1 - m) / (s + 1))) as host_kept
+    from prior
 )
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    not base_failed and (host_failed + m * s) / (host_docs + s) <= 0.5 as kept, host_docs, host_failed
-from judged j join hosts h on h.host is not distinct from j.host cross join prior
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and host_kept as kept, h.host_docs, h.host_failed
+from judged j join verdicts h on h.host is not distinct from j.host
 """
 
 OP6 = rf"""
@@ -97,20 +104,16 @@ from docs d left join sets s on s.r = d.r left join lowest l on l.node = s.node
 
 OP7 = """
 with vectors as (
-    select vec_id, min(v) as v
-    from (
-        select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
-        from embeddings
-        where vec_id is not null and embedding is not null
-            and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0
-    ) s
-    group by vec_id
+    select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+    from embeddings
+    where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0
 ), scored as (
-    select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
-    from vectors q join vectors c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+    select q.r, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+    from vectors q join vectors c on c.r <> q.r and len(c.v) = len(q.v)
     where q.vec_id % 50 = 0
 ), ranked as (
-    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from scored
+    select query_id, cast(row_number() over (partition by r order by score desc, vec_id) as int) as rank, vec_id, score from scored
 )
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
