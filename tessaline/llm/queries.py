@@ -39,7 +39,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size(F.coalesce("evidence", F.array())).alias("n_evidence"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "evidence")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
