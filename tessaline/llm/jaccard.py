@@ -4,15 +4,16 @@ Sets are the distinct ``k``-word shingles of a text.  Texts with equal sets are
 one node.  Candidates come from prefix lists under a global order of shingles
 (rare first, by a count sketch of bounded size):
 
-* index-level skipping: a list entry carries its position in its set, and pairs
-  whose positions leave too few later shingles are skipped before any set is read;
+* index-level skipping: lists are cut in blocks by the size of a set and by the
+  position of the list's shingle in it.  A member names only the blocks in which a
+  set can leave enough later shingles for a link; the others are never met;
 * answer-level skipping: each list's pivot, the set with the fewest rarer
   shingles, is compared with the list's members first.  Members it links with share
   its component, so their answers follow from the pivot's and their mutual pairs
-  are never made.  Only pairs of members that are still in different components
-  are compared afterwards, which loses no link between components.  Lists are cut
-  in blocks of like set sizes for that, and a block meets itself and the next one;
-  sets further apart in size can't link.
+  are never made.  For two members in different components the pivot's overlaps with
+  both bound their own: what they share is in the pivot or outside it.  Only pairs
+  that this bound leaves open are compared afterwards, which loses no link between
+  components.
 """
 
 from __future__ import annotations
@@ -28,20 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_checked, materialize, releasing
+from .common import broadcast_checked, hash_filter, in_filter, materialize, releasing
 from .components import connected_components
 from .textkernel import chunks, shingle_sets, words
 
 SKETCH_BITS = 18
-#: A shingle whose sketch count is above this has its list dealt in SALTS parts.
+#: A list of more entries by the sketch is dealt in parts of about so many.
 HOT_COUNT = 20_000
-SALTS = 32
+#: A component's members are dealt in so many parts when they get their smallest id.
+DEALS = 32
 #: Linked sets share so many shingles of prefixes that are that much longer (or all, if they need fewer).
 SHARED = 4
-#: Bits a candidate in the filter that spares the others a second reading.
-FILTER_BITS_EACH = 16
-FILTER_MAX_BYTES = 32 << 20
-VERIFY_ROWS = 512
+#: Pairs of one set are compared in groups of about so many.
+VERIFY_ROWS = 64
 
 
 def min_overlap(a: int | np.ndarray, b: int | np.ndarray, percent: int):
@@ -105,8 +105,8 @@ def _nodes(docs: DataFrame, sketch, k: int, percent: int, text_col: str, seed: i
                 least = -(-percent * n // 100)
                 head = ordered[offsets[i] : offsets[i] + n - least + min(SHARED, least)]
                 prefixes.append(head.view(np.int64))
-                hot = counts[(head >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > HOT_COUNT
-                salts.append(np.where(hot, 1 + node % SALTS, 0).astype(np.int32) if hot.any() else None)
+                parts = counts[(head >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] // HOT_COUNT
+                salts.append(np.where(parts > 0, 1 + node % (parts + 1), 0).astype(np.int32) if parts.any() else None)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(np.diff(offsets)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))],
                 names=["doc_id", "text_hash", "node", "proof", "n", "prefix", "salts"],
@@ -126,12 +126,34 @@ def _needed(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9))
 
 
+def _class_width(percent: int) -> float:
+    return math.log(100 / percent) * (1 + 1e-6)  # the rounding of logarithms is well below that
+
+
 def _size_class(n: Column, percent: int) -> Column:
     """A number of the set size in which linked sets differ by 1 at most."""
-    if percent >= 100:
-        return n.cast("long")
-    width = math.log(100 / percent) * (1 + 1e-6)  # the rounding of logarithms is well below that
-    return F.floor(F.log(n.cast("double")) / F.lit(width))
+    return n.cast("long") if percent >= 100 else F.floor(F.log(n.cast("double")) / F.lit(_class_width(percent)))
+
+
+def _position_class(pos: Column) -> Column:
+    """Positions 0, 1-2, 3-6, 7-14 and so on are a class each."""
+    return F.floor(F.log2(pos.cast("double") + 1.5)).cast("int")  # whole powers of two stay clear of rounding
+
+
+def _open_blocks(n: Column, pos: Column, size: Column, percent: int) -> Column:
+    """The ``(size, position)`` blocks of a list in which a set may link with one of ``n``
+    shingles that has the list's shingle at ``pos``; sets of smaller size classes look
+    for the larger."""
+    blocks = []
+    for step in (0, 1) if percent < 100 else (0,):
+        least, most = (F.exp((size + step + more) * F.lit(_class_width(percent))) + slack if percent < 100 else n.cast("double") for more, slack in ((0, -1), (1, 1)))
+        # Of sizes a and b, a link leaves at most (100 a - percent b) / (100 + percent) shingles of a before the first common one.
+        own = (100 * n - percent * least) / F.lit(100.0 + percent) + 1
+        other = (100 * most - percent * n) / F.lit(100.0 + percent) + 1
+        classes = F.sequence(F.lit(0), _position_class(F.greatest(other, F.lit(0.0))))
+        found = F.transform(classes, lambda p: F.struct((size + step).alias("size"), p.alias("place")))  # noqa: B023 (called at once)
+        blocks.append(F.when((pos <= own) & (other >= 0), found).otherwise(F.slice(found, 1, 0)))
+    return F.concat(*blocks)
 
 
 def _sharing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -153,49 +175,33 @@ def _sharing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _candidate_sets(docs: DataFrame, candidates: DataFrame, k: int, text_col: str, seed: int) -> DataFrame:
     """``node, set`` for the candidates, read in one pass that skips other texts.
 
-    The filter is a Bloom filter of bounded size; what it lets through besides is
-    dropped by the join that follows.
+    What the filter lets through besides is dropped by the join that follows.
     """
-    spark = docs.sparkSession
-    n = candidates.count()
-    size = 1 << int(np.ceil(np.log2(max(64, min(FILTER_MAX_BYTES, FILTER_BITS_EACH * n // 8)))))
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shift in (0, 21, 42):
-                at = np.unique((h >> np.uint64(shift)).astype(np.int64) & (size * 8 - 1))
-                yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
-
-    found = candidates.select("node").mapInArrow(releasing(bits), "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits"))
-    mask = np.zeros(size // 8, np.int64)
-    for part in found.toArrow().to_batches():  # at most FILTER_MAX_BYTES / 8 rows
-        mask[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    shared = broadcast_checked(spark, mask.view(np.uint64), mask.nbytes, "the candidates' filter")
+    shared = hash_filter(candidates.select("node"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = shared.value
         met: set[int] = set()
         for part, hashes, offsets in _sets(batches, 0, k):
             nodes, sets = [], []
-            for i in range(part.num_rows):
-                own = hashes[offsets[i] : offsets[i + 1]]
-                node = xxhash.xxh3_64_intdigest(own.tobytes(), seed=seed) - (1 << 63)
-                h = node % (1 << 64)
-                at = [(h >> s) & (size * 8 - 1) for s in (0, 21, 42)]
-                if node in met or not all(int(mask[x >> 6]) >> (x & 63) & 1 for x in at):
+            own_sets = [hashes[offsets[i] : offsets[i + 1]].tobytes() for i in range(part.num_rows)]
+            numbers = np.array([xxhash.xxh3_64_intdigest(own, seed=seed) - (1 << 63) for own in own_sets], np.int64)
+            for i in np.flatnonzero(in_filter(mask, numbers)).tolist():
+                node = int(numbers[i])
+                if node in met:
                     continue
                 if len(met) < 1 << 20:
                     met.add(node)
                 nodes.append(node)
-                sets.append(own.tobytes())
+                sets.append(own_sets[i])
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
     return docs.select(text_col).mapInArrow(releasing(make), "node long, set binary").dropDuplicates(["node"])
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text_col: str, seed: int) -> DataFrame:
-    """The pairs ``a, b`` that link; exact on the whole sets.
+    """``a, b, common, linked`` of the pairs: how many shingles they share, and whether
+    they link; exact on the whole sets.
 
     Pairs of one ``a`` go to groups of about ``VERIFY_ROWS``, each with ``a``'s set.
     """
@@ -214,11 +220,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text_col: s
             at = np.searchsorted(head, other)
             at[at == len(head)] = 0
             common = int((head[at] == other).sum())
-            if 100 * common >= percent * (len(head) + len(other) - common):
-                kept.append((int(key[0]), int(b)))
-        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+            kept.append((int(key[0]), int(b), common, 100 * common >= percent * (len(head) + len(other) - common)))
+        return pd.DataFrame(kept, columns=["a", "b", "common", "linked"])
 
-    return asked.join(sets, "node").groupBy("a", "slot").applyInPandas(overlap, "a long, b long")
+    return asked.join(sets, "node").groupBy("a", "slot").applyInPandas(overlap, "a long, b long, common long, linked boolean")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,33 +274,43 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     )
     pairs = materialize(pairs, "jaccard-pairs")
     close = materialize(_sharing(pairs, nodes, percent), "jaccard-close")
-    links = materialize(_verify(close, docs, k, percent, "text", seed), "jaccard-links")
+    answers = materialize(_verify(close, docs, k, percent, "text", seed), "jaccard-links")
+    links = answers.filter("linked").select("a", "b")
     labels = connected_components(links)
 
     # Pairs of list members in different components; members of one need no answer.
     member = listed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("token").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").select("token")
-    member = member.join(mixed, "token", "left_semi").select("token", "node", "n", "pos", "component")
-    member = materialize(member.withColumn("size", _size_class(F.col("n"), percent)), "jaccard-rest")
+    member = member.join(mixed, "token", "left_semi").select("token", "node", "n", "pos", "component", F.col("pivot.node").alias("pivot"))
+    # What each has in common with its list's pivot, where that was computed.
+    known = answers.select(F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi"), F.col("common").alias("shared"))
+    member = member.join(known, (F.least("node", "pivot") == F.col("_lo")) & (F.greatest("node", "pivot") == F.col("_hi")), "left").drop("_lo", "_hi")
+    member = member.withColumn("shared", F.when(F.col("node") == F.col("pivot"), F.col("n")).otherwise(F.col("shared")))
+    member = member.withColumn("size", _size_class(F.col("n"), percent)).withColumn("place", _position_class(F.col("pos")))
+    member = materialize(member, "jaccard-rest")
     x, y = (member.select(*(F.col(c).alias(f"{side}_{c}") for c in member.columns)) for side in "xy")
-    x = x.withColumn("block", F.explode(F.array("x_size", F.col("x_size") + 1)))
+    x = x.withColumn("block", F.explode(_open_blocks(F.col("x_n"), F.col("x_pos"), F.col("x_size"), percent)))
     once = (F.col("x_size") < F.col("y_size")) | (F.col("x_node") < F.col("y_node"))
+    # Common shingles are among those that both share with the pivot, or outside it for both.
+    most = F.least("x_shared", "y_shared") + F.least(F.col("x_n") - F.col("x_shared"), F.col("y_n") - F.col("y_shared"))
+    needed = F.ceil(percent * (F.col("x_n") + F.col("y_n")) / F.lit(float(100 + percent)) - F.lit(1e-9))
+    open_ = F.coalesce((F.col("x_pivot") != F.col("y_pivot")) | (most >= needed), F.lit(True))
+    met = (F.col("x_token") == F.col("y_token")) & (F.col("block.size") == F.col("y_size")) & (F.col("block.place") == F.col("y_place"))
     rest = (
-        x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("block") == F.col("y_size")) & once & (F.col("x_component") != F.col("y_component"))
-               & _may_link(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), percent))
+        x.join(y, met & once & (F.col("x_component") != F.col("y_component")) & open_ & _may_link(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), percent))
         .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
         .distinct()
     )
     seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(_sharing(rest.join(seen, ["a", "b"], "left_anti"), nodes, percent), "jaccard-rest-pairs")
     if not rest.isEmpty():
-        more = materialize(_verify(rest, docs, k, percent, "text", seed), "jaccard-rest-links")
+        more = materialize(_verify(rest, docs, k, percent, "text", seed).filter("linked").select("a", "b"), "jaccard-rest-links")
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
 
     classes = nodes.groupBy("node").agg(F.min("doc_id").alias("first_id")).filter("node is not null")
     # Large components are dealt in parts: each part that exists gets the component's answer.
-    classes = materialize(classes.join(labels, "node", "left").withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")), "jaccard-members")
+    classes = materialize(classes.join(labels, "node", "left").withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(DEALS)).cast("int")), "jaccard-members")
     linked = classes.filter("component is not null")
     least = linked.groupBy("component", "deal").agg(F.min("first_id").alias("first_id"))
     least = least.groupBy("component").agg(F.min("first_id").alias("component_id"), F.collect_list("deal").alias("deals")).select("component", "component_id", F.explode("deals").alias("deal"))
