@@ -1,15 +1,14 @@
-"""BPE encoding and decoding over a table of distinct words.
+"""BPE encoding and decoding over one table of distinct words.
 
 1. Every task splits its documents into words and packs them in blocks of some
    megabytes: the block's distinct words, and each document as positions in it.
-2. The blocks' words meet in ``WORD_PARTS`` parts by word hash, where each
-   distinct word is encoded once; its ids go back to the blocks.  Every
-   ``GROUP_TASKS`` input tasks have parts of their own, so that the number of parts
-   grows with the input.
+2. The blocks' words meet in parts by word hash: one table of the corpus's distinct
+   words, in which each is encoded once.  Its ids go back to the blocks.  The
+   number of parts grows with the input, so that a part's words stay few.
 3. A block's ids are joined to its documents' words by position.
 
-Decoding looks every id up in the vocabulary's id-to-piece table, whose size the
-tokenizer bounds.
+Decoding joins ids with the table of pieces, whose size the tokenizer bounds and
+whose place for a piece is its id.
 
 Words, blocks and ids travel packed, so that shuffles stay below the size of the
 texts.  Any number of blocks may hold one word, but only once each, so frequent
@@ -26,6 +25,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -34,14 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import broadcast_checked, materialize, releasing
+from .common import broadcast_checked, materialize, plan_bytes, releasing
 
 BLOCK_CHARS = 14 << 20
+#: The distinct words are dealt in so many parts for every PART_BYTES of input.
 WORD_PARTS = 64
-GROUP_TASKS = 1024
+PART_BYTES = 64 << 30
+MOST_PARTS = 1 << 16
 #: A task numbers its blocks from its own number, shifted by so many bits.
 BLOCK_BITS = 24
-MEMO_WORDS = 1 << 20
 #: A block's documents leave the task in slices of so many.
 SLICE_DOCS = 256
 #: Characters on which normalisation is lower-casing and white space only.
@@ -130,13 +131,13 @@ def _unpack(packed: bytes) -> list[np.ndarray]:
     return arrays
 
 
-def _block_rows(block: int, ids: list, counts: list[int], numbers: _Numbers, sequence: list[np.ndarray]) -> Iterator[tuple]:
+def _block_rows(block: int, ids: list, counts: list[int], numbers: _Numbers, sequence: list[np.ndarray], parts: int) -> Iterator[tuple]:
     known = np.array([i is not None for i in ids], np.uint32)
     values = np.array([0 if i is None else i for i in ids], np.int64)
     text = np.concatenate(sequence) if sequence else np.zeros(0, np.uint32)
     # Words are placed by part, then by themselves; texts count them by frequency, which packs better.
     listed = list(numbers)
-    part_of = [crc32(w.encode()) % WORD_PARTS for w in listed]
+    part_of = [crc32(w.encode()) % parts for w in listed]
     placed = sorted(range(len(listed)), key=lambda n: (part_of[n], listed[n]))
     place = np.zeros(len(listed), np.uint32)
     place[placed] = np.arange(len(listed), dtype=np.uint32)
@@ -164,6 +165,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         spec_json = f.read()
     key = xxhash.xxh3_128_hexdigest(spec_json)
     spec = broadcast_checked(spark, spec_json, len(spec_json.encode()), "the tokenizer file")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    word_parts = min(MOST_PARTS, WORD_PARTS * max(1, -(-plan_bytes(texts) // PART_BYTES)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec, key)
@@ -173,7 +176,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         ids, counts, numbers, sequence, size = [], [], _Numbers(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(_block_rows(base + made, ids, counts, numbers, sequence))
+            rows = list(_block_rows(base + made, ids, counts, numbers, sequence, word_parts))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
         for b in batches:
@@ -191,12 +194,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             yield from flush()
         _loaded.clear()
 
-    blocks = materialize(
-        docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(releasing(split), "kind string, block long, part int, payload binary"), "bpe-blocks", "kind"
-    )
+    blocks = materialize(texts.mapInArrow(releasing(split), "kind string, block long, part int, payload binary"), "bpe-blocks", "kind")
 
     def encode_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, memo = loaded(spec, key), {}
+        bpe, memo = loaded(spec, key), {}  # this task's parts of the table of distinct words
         for pdf in batches:
             out = []
             for packed in pdf["payload"]:
@@ -206,14 +207,12 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                         found = memo[word] = np.array(bpe.encode_word(word), np.uint32)
                     lists.append(found)
                 out.append(_pack(np.fromiter(map(len, lists), np.uint32, len(lists)), np.concatenate(lists)))
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
             yield pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "payload": out})
 
     encoded = (
         blocks.filter("kind = 'words'")
         .select("part", "block", "payload")
-        .repartition("part", F.expr(f"block div {GROUP_TASKS << BLOCK_BITS}"))
+        .repartition("part")
         .mapInPandas(releasing(encode_words), "block long, part int, payload binary")
     )
 
@@ -249,10 +248,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     shared = _shared_pieces(spark, tokenizer_path)
 
     def place_and_decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
         for b in place(batches):
-            texts = [_text(get, ids.as_py()) for ids in b.column(2)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, _texts(shared.value, b.column(2))], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return rows.applyInArrow(releasing(place_and_decode), "doc_id long, n_tokens long, ids binary, decoded string")
 
@@ -265,14 +262,22 @@ def pieces(tokenizer_path: str) -> dict[int, str]:
 
 
 def _shared_pieces(spark, tokenizer_path: str):
-    """The id-to-piece table for all tasks; the vocabulary bounds it."""
+    """The pieces in order of id (null where there is none); the vocabulary bounds them."""
     table = pieces(tokenizer_path)
-    return broadcast_checked(spark, table, sum(len(p.encode()) + 64 for p in table.values()), "the id-to-piece table")
+    column = pa.array([table.get(n) for n in range(max(table) + 1)], pa.string())
+    return broadcast_checked(spark, column, column.nbytes, "the id-to-piece table")
 
 
-def _text(get, ids: bytes | None) -> str:
-    found = map(get, np.frombuffer(ids or b"", "<u4").tolist())
-    return " ".join([p for p in found if p is not None])
+def _texts(table: pa.Array, ids: pa.Array) -> pa.Array:
+    """Packed ids joined with their pieces, and each row's pieces with spaces between."""
+    rows = [np.frombuffer(x.as_py() or b"", "<u4") for x in ids]
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
+    known = flat < len(table)
+    known[known] = pc.is_valid(table).to_numpy(zero_copy_only=False)[flat[known]]
+    ends = np.cumsum([0, *map(len, rows)])
+    kept = np.concatenate([[0], np.cumsum(known)])[ends]
+    found = table.take(pa.array(flat[known].astype(np.int32)))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), found), " ").cast(pa.string())
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -285,12 +290,10 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     shared = _shared_pieces(encoded.sparkSession, tokenizer_path)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                texts = [_text(get, ids.as_py()) for ids in part.column(2)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            for at in range(0, b.num_rows, SLICE_DOCS):
+                part = b.slice(at, SLICE_DOCS)
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(shared.value, part.column(2))], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(releasing(look_up), "doc_id long, n_tokens long, ids binary, decoded string")
 
