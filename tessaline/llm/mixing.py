@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, releasing
@@ -61,6 +62,36 @@ def water_fill(sizes: list[int], weights: list[float], ceiling: float = MAX_COPI
     return targets
 
 
+def source_targets(sources: DataFrame, ceiling: int = MAX_COPIES) -> DataFrame:
+    """``source, source_size, n, target`` of a table of sources, as :func:`water_fill` would.
+
+    Sources may be as many as hosts: they are ordered and summed on the executors.
+    """
+    spark = sources.sparkSession
+    ordered = sources.withColumn("_none", F.col("source").isNull()).repartitionByRange("_none", "source")
+    ordered = materialize(ordered.withColumn("_part", F.spark_partition_id()), "mix-sources")
+    counts = ordered.groupBy("_part").agg(F.count("*").alias("c")).orderBy("_part").collect()  # one row a partition
+    offsets, at = [], 0
+    for r in counts:
+        offsets.append((r["_part"], at))
+        at += r["c"]
+    offsets = F.broadcast(spark.createDataFrame(offsets, "_p int, _at long"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy("_none", "source")) + F.col("_at") - 1
+    weighed = materialize(ordered.join(offsets, F.col("_part") == F.col("_p")).withColumn("weight", 1 + place % 3), "mix-weights")
+    most = ceiling * F.col("source_size")
+    total = weighed.agg(F.sum("source_size")).first()[0] or 0
+    rest, weight, stopped = float(total), 0, -1
+    share = F.lit(0.0)
+    while True:  # a source that has stopped stays so, as what is left for a unit of weight only grows
+        is_open = F.lit(True) if stopped < 0 else share <= most
+        sums = weighed.agg(F.sum(F.when(is_open, F.col("weight"))), F.sum(F.when(~is_open, most)), F.count(F.when(~is_open, 1))).first()
+        if sums[2] == stopped:
+            break
+        weight, rest, stopped = sums[0] or 1, float(total - (sums[1] or 0)), sums[2]
+        share = F.lit(rest) * F.col("weight") / F.lit(float(weight))
+    return weighed.select("source", "source_size", "n", F.when(share <= most, share).otherwise(most.cast("double")).alias("target"))
+
+
 def pivotal(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Round ``p`` pairwise; the words ``sum(size * p)`` stay, at most one stays fractional.
 
@@ -107,20 +138,19 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", se
     depends on id, size, source and ``seed`` alone, so reruns agree.  Repeated rows
     are counted and numbered, so that they spread over the buckets even where one
     id, or none, is on a third of all rows.  Empty documents and
-    empty sources take 0 words.  An empty table gives no rows.  The driver holds
-    one number per source (the mixture's own configuration), nothing per document.
+    empty sources take 0 words.  An empty table gives no rows, and other columns
+    aren't read.  The driver holds nothing per document or source.
     """
     spark = sized.sparkSession
     rows = sized.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).alias("source"), F.col("size").cast("long"))
     rows = materialize(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("alike")), "mix-sizes")
-    stats = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size"), F.sum("alike").alias("n")).collect()
-    stats.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
-    targets = water_fill([r["source_size"] for r in stats], [1 + i % 3 for i in range(len(stats))])
-    table = [
-        (r["source"], r["source_size"], t, (t / r["source_size"] if r["source_size"] else 0.0), -(-r["n"] // BUCKET_ROWS)) for r, t in zip(stats, targets)
-    ]
-    goals = spark.createDataFrame(table, "g_source string, source_size long, target double, rate double, buckets long")
-    goals = F.broadcast(goals) if len(table) <= 100_000 else goals
+    sources = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size"), F.sum("alike").alias("n"))
+    goals = source_targets(sources)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    goals = goals.select(F.col("source").alias("g_source"), "source_size", "target", rate.alias("rate"), F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
+    goals = materialize(goals, "mix-goals")
+    sized_by = goals.agg(F.count("*").alias("n"), F.max("buckets").alias("buckets")).first()
+    goals = F.broadcast(goals) if sized_by["n"] <= 100_000 else goals
     rows = rows.join(goals, F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source")
     rows = rows.withColumn("run", F.explode(F.expr(f"sequence(0L, (alike - 1) div {REPEATS})")))
     rows = rows.withColumn("rank", F.explode(F.expr(f"sequence(run * {REPEATS}, least(alike, (run + 1) * {REPEATS}) - 1)"))).drop("run", "alike")
@@ -132,8 +162,7 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", se
     done = materialize(rows.groupBy("source", "part").applyInPandas(_round_group, schema), "mix-level")
     settled = done.filter("p = 0 or p = 1")
     left = done.filter("p > 0 and p < 1")
-    deepest = max([1, *(r["n"] for r in stats)]) // BUCKET_ROWS + 1
-    level, parts = 1, deepest
+    level, parts = 1, sized_by["buckets"] or 1
     finished = [settled]
     while parts > 1:
         left = left.withColumn("part", F.floor(F.col("part") / FAN_IN)).withColumn("u", unit(level))
