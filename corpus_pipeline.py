@@ -8,18 +8,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessaline.llm import bpe, jaccard, mixing, pii, toxicity
 from tessaline.llm.common import materialize
-from tessaline.llm.queries import PII_KEY, TOKENIZER
+from tessaline.llm.queries import TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier doesn't call toxic."""
+    """Rows that the classifier doesn't call toxic.
+
+    It is fitted to the rows that have labels.  Null and empty texts are judged by the
+    rate of such examples, repeated rows alike, and an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs.select(*COLUMNS), labels)
 
@@ -46,29 +49,34 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values in texts become pseudonyms; ``n_chars`` is counted anew where known."""
-    return pii.pseudonymize_column(docs.select(*COLUMNS), PII_KEY).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Personal values in texts become pseudonyms; ``n_chars`` is counted anew.
+
+    All rows stay, repeated ones too; a null text and its ``n_chars`` are null.
+    """
+    return pii.pseudonymize_column(docs.select(*COLUMNS), pii.session_key(spark)).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture takes it."""
+    """Every document as often as the mixture takes it.
+
+    Rows alike in all columns are one row with a number, and take copies together;
+    other rows take their own, whatever id they have or share.  Rows without words
+    take none, a null source is a source, and an empty table stays empty.
+    """
     sized = mixing.word_sizes(docs.select(*COLUMNS), keep=COLUMNS)
-    key = ("doc_id", "source", "size")
-    copies = mixing.mix(sized).groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    copies = copies.select(*(F.col(c).alias(f"_{c}") for c in key), F.expr("_copies div _rows").alias("_each"), F.expr("_copies % _rows").alias("_more"))
-    # Rows alike are one row with a number; of rows that share a key, the first by text hash take what remains.
-    hashes = sized.withColumn("_h", F.xxhash64("text")).withColumn("_g", F.xxhash64(F.lit(1), "text"))
-    alike = hashes.groupBy(*key, "lang", "n_chars", "_h", "_g").agg(F.first("text").alias("text"), F.count("*").alias("_alike"))
-    before = Window.partitionBy(*key).orderBy("_h", "_g", "lang", "n_chars").rowsBetween(Window.unboundedPreceding, -1)
-    alike = alike.withColumn("_before", F.coalesce(F.sum("_alike").over(before), F.lit(0)))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
-    taken = F.expr("int(_alike * _each + greatest(0, least(_alike, _more - _before)))")
-    joined = alike.join(copies, same[0] & same[1] & same[2]).withColumn("_taken", taken).filter("_taken > 0")
-    return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("_taken"))).alias("_copy")).select(*COLUMNS)
+    told = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
+    sized = sized.withColumn("_row", F.concat(*(F.hex(F.xxhash64(F.lit(seed), *told)) for seed in (1, 2))))
+    taken = mixing.mix(sized.select("_row", "source", "size"), id_col="_row").groupBy(F.col("doc_id").alias("_taker")).agg(F.sum("copies").cast("int").alias("_copies"))
+    alike = sized.groupBy("_row").agg(F.first(F.struct(*COLUMNS)).alias("_first"))
+    joined = alike.join(taken.filter("_copies > 0"), F.col("_row") == F.col("_taker"))
+    return joined.select("_first.*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids, and the text they decode to."""
+    """Digests of every row's ids and of the text they decode to; a null text is empty.
+
+    Repeated rows give repeated rows, and an empty table none.
+    """
     path = public_tokenizers.path(TOKENIZER)
     return bpe.digests(bpe.encode(docs, path, decoded=True))
 
