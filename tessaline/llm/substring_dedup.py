@@ -156,9 +156,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         listed = repeated.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
         found = spans(rows).join(listed, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left_semi")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
-    # What the filter lets through besides is the only one of its kind, and so the first.
+    # What the filter lets through besides occurs once.  Written, the first places are a
+    # plain side of a join, whose other side can be dealt anew where one run is very common.
     found = materialize(found, "span-places")
-    firsts = found.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min(place).alias("_first"))
+    firsts = found.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min(place).alias("_first"), F.count("*").alias("_c"))
+    firsts = materialize(firsts.filter("_c > 1").drop("_c"), "span-firsts")
     later = found.join(firsts, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).filter(place != F.col("_first"))
     cut = later.groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("at", "n")).alias("cut"))
     cut = materialize(cut, "span-cuts")
