@@ -10,8 +10,6 @@ from . import bpe, chat, jaccard, mixing, mtree, pii, quality, sharding, substri
 from .oracles import ORACLES  # noqa: F401 (read by the driver's entry)
 
 TOKENIZER = "word_bpe_49k.json"
-#: Stands for a secret that a deployment would pass in.
-PII_KEY = b"replace this key in production"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

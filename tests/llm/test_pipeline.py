@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tessaline.llm import mixing, pii, toxicity
 from tessaline.llm.common import materialize
-from tessaline.llm.queries import PII_KEY, TOKENIZER
+from tessaline.llm.queries import TOKENIZER
 from tessaline.llm.textkernel import chunks
 
 from .helpers import SCHEMA, awkward, empty
@@ -104,11 +104,11 @@ def test_near_duplicates_by_row(spark):
     assert after == Counter([(1, a), (2, b), (3, c), (3, "d e f g h i"), (None, "n o p q r s"), (4, ""), (4, ""), (4, "x y")])
 
 
-def test_pii_stage(passed):
+def test_pii_stage(spark, passed):
     before, after, _ = passed[0]["pii"]
     expected = []
     for doc_id, text, lang, source, _ in before:
-        new = None if text is None else pii.replace_text(text, PII_KEY)[0]
+        new = None if text is None else pii.replace_text(text, pii.session_key(spark))[0]
         expected.append((doc_id, new, lang, source, None if new is None else len(new)))
     assert Counter(after) == Counter(expected)
     assert Counter(r[1] for r in after) != Counter(r[1] for r in before)
