@@ -46,17 +46,18 @@ def test_toxicity_stage(spark, passed):
     dense = np.zeros((len(model.ids), len(model.terms)))
     for t in range(len(model.terms)):
         at = slice(model.post_start[t], model.post_start[t + 1])
-        dense[model.post_example[at], t] = model.post_weight[at]
+        dense[model.post_example[at], t] = model.post_value[at]
     kept = []
+    model.prepare()
     for row in before:
         (c,) = chunks(pa.array([(row[1] or "").lower()]))
         _, terms, tf = model.counts(c)
         score = model.empty_rate
         if len(terms):
             q = np.zeros(len(model.terms))
-            q[terms] = (1 + np.log(tf)) * model.idf[terms]
+            q[terms] = (1 + np.log(tf)) * model.weight[terms]
             cosines = dense @ (q / np.linalg.norm(q))
-            near = sorted((-round(x, 12), i) for i, x in enumerate(cosines) if x > 0)[: toxicity.NEIGHBOURS]
+            near = sorted((-round(x, toxicity.DECIMALS), i) for i, x in enumerate(cosines) if x > 0)[: toxicity.NEIGHBOURS]
             weights = [1 / (toxicity.NEAR + max(0.0, 1 + x)) for x, _ in near]
             votes = sum(w * model.labels[i] for w, (_, i) in zip(weights, near))
             score = (toxicity.PRIOR_VOTES * model.base_rate + votes) / (toxicity.PRIOR_VOTES + sum(weights))
