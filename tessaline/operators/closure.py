@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, part_of, stored
+from .filters import filter_changes, resolve_includes
 
 
 def simple_graph(edges: DataFrame) -> DataFrame:
@@ -36,10 +37,13 @@ def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFr
 
     Each round joins only the newest pairs with the edges and drops what was seen;
     it ends when a round finds nothing.  Both sides are joined by shuffle or
-    broadcast as their measured size allows.
+    broadcast as their measured size allows.  Edges that aren't stored yet are
+    written once, so that rounds don't compute them again.
     """
     frm, to = ("dst", "src") if reverse else ("src", "dst")
-    steps = materialize(edges.select(F.col(frm).alias("_from"), F.col(to).alias("_to")).distinct(), "closure-edges")
+    if not getattr(edges, "is_stored", False):
+        edges = materialize(edges.select("src", "dst").distinct(), "closure-edges")
+    steps = edges.select(F.col(frm).alias("_from"), F.col(to).alias("_to"))
     newest = materialize(seeds.select("key", "node").distinct(), "closure-seeds")
     seen = newest
     while not newest.isEmpty():
@@ -58,8 +62,17 @@ def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def reaching_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """``node, n_roots``: roots among each node's ancestors, itself excluded."""
-    return descendants(edges, roots).groupBy("node").agg(F.count("*").alias("n_roots"))
+    """``node, n_roots``: roots among each node's ancestors, itself excluded.
+
+    What a root reaches is what its direct includes reach, so closures are kept for
+    those, which many roots share, and only the last join is by root.
+    """
+    edges = stored(edges, "reach-edges")
+    sources = roots.select(F.col("node").alias("root")).distinct()
+    hops = materialize(sources.join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("hop")).distinct(), "reach-hops")
+    reached = closure(edges, hops.select(F.col("hop").alias("key"), F.col("hop").alias("node")))
+    pairs = hops.join(reached, F.col("hop") == F.col("key")).filter(F.col("node") != F.col("root")).select("root", "node").distinct()
+    return pairs.groupBy("node").agg(F.count("*").alias("n_roots"))
 
 
 def root_count(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> DataFrame:
@@ -106,9 +119,10 @@ def transitive_includes(
             e = without_edges(e, unused)
         return e
 
-    real = simple_graph(edges)
+    real = edges.select("src", "dst")
     everything = real if adds is None else real.unionByName(adds.select("src", "dst")).distinct()
-    first, all_edges = stopped(real), materialize(stopped(everything), "transitive-edges")
+    plain = adds is None and (unused is None or not apply_changes)
+    first, all_edges = stopped(real), stored(part_of(edges, stopped(everything)) if plain else stopped(everything), "transitive-edges")
     keys = start.select(F.col("node").alias("key")).distinct()
     hop = materialize(keys.join(first, F.col("key") == F.col("src")).select("key", "src", "dst"), "transitive-hop")
     reached = closure(all_edges, hop.select("key", F.col("dst").alias("node")))
@@ -133,10 +147,10 @@ def includers(edges: DataFrame, targets: DataFrame, transitive: bool = False, op
     where files of the library prefix are neither returned nor expanded.
     """
     keys = targets.select(F.col("node").alias("key")).distinct()
-    e = simple_graph(edges)
+    e = edges.select("src", "dst")
     if not transitive:
-        return keys.join(e, F.col("key") == F.col("dst")).select("key", "src", "dst")
-    e = materialize(e.filter(~F.col("src").contains(opaque)), "includers-edges")
+        return keys.join(e, F.col("key") == F.col("dst")).select("key", "src", "dst").distinct()
+    e = stored(part_of(edges, e.filter(~F.col("src").contains(opaque))), "includers-edges")
     reached = closure(e, keys.select("key", F.col("key").alias("node")), reverse=True)
     return reached.join(e, F.col("node") == F.col("dst")).select("key", "src", "dst").distinct()
 
@@ -164,7 +178,7 @@ def shortest_chain(edges: DataFrame, start: str, end: str) -> DataFrame:
     schema = f"step int, src {edges.schema['src'].dataType.simpleString()}, dst {edges.schema['dst'].dataType.simpleString()}"
     if start == end:
         return spark.createDataFrame([], schema)
-    e = materialize(simple_graph(edges), "chain-edges")
+    e = stored(part_of(edges, edges.select("src", "dst")), "chain-edges")
     front = seen = spark.createDataFrame([(0, None, start)], f"level int, parent {schema.split()[3].rstrip(',')}, node {schema.split()[3].rstrip(',')}")
     level = 0
     while True:
@@ -199,12 +213,22 @@ def entry_points(edges: DataFrame, roots: DataFrame, subset: DataFrame) -> DataF
     return reached.join(members, F.col("node") == F.col("_m"), "left_semi")
 
 
+def suggested_adds(
+    changes: DataFrame, files: DataFrame, include_dirs: list[str], gen_prefix: str, sysroot: str, platform: str,
+    *, ignores: DataFrame | None = None, mappings: DataFrame | None = None,
+) -> DataFrame:
+    """``src, dst`` of the additions among include changes, filtered by rules and mappings
+    alone, with headers resolved to files (the adds that G24 takes)."""
+    adds = filter_changes(changes, ignores=ignores, mappings=mappings, change_type="add").select("includer", F.col("header").alias("include"))
+    return resolve_includes(adds, files, include_dirs, gen_prefix, sysroot, platform).select(F.col("includer").alias("src"), F.col("resolved").alias("dst")).distinct()
+
+
 def adds_needed(edges: DataFrame, adds: DataFrame, file: str, include: str, minimal: bool = False) -> DataFrame:
     """``includer, included`` that must be added before ``include`` leaves ``file``.
 
-    Suggested adds from the file or its transitive includers to the include or its
-    transitive includes; with ``minimal``, only where the included file isn't
-    otherwise reachable once the edge is gone.
+    Suggested adds (of :func:`suggested_adds`) from the file or its transitive includers
+    to the include or its transitive includes; with ``minimal``, only where the
+    included file isn't otherwise reachable once the edge is gone.
     """
     spark = edges.sparkSession
     one = lambda x: spark.createDataFrame([(x,)], "node string")

@@ -45,6 +45,23 @@ def own_file(name: Column) -> Column:
     return ~out | name.startswith(OWN_EXCEPTION)
 
 
+def prevalent_headers(files: DataFrame, n_roots: int, above: float, up_to: float = 100.0) -> DataFrame:
+    """Own headers that more than ``above`` percent of the roots reach, and ``up_to`` at most (F16)."""
+    count = F.col("prevalence")
+    return files.filter((count > above / 100.0 * n_roots) & (count <= up_to / 100.0 * n_roots) & F.col("file").endswith(".h") & own_file(F.col("file")))
+
+
+def prevalent_subset(files: DataFrame, n_roots: int, at_least: float) -> DataFrame:
+    """``node``: own files of at least that prevalence, headers or not; unknown counts as 0."""
+    share = F.lit(100.0) * F.coalesce("prevalence", F.lit(0)) / F.lit(n_roots)
+    return files.filter(own_file(F.col("file")) & (share >= at_least)).select(F.col("file").alias("node"))
+
+
+def in_both(ignores: DataFrame, removes: DataFrame) -> DataFrame:
+    """``src, dst`` that are ignored and removed, which loaders warn about (F23, X2); they count as removed."""
+    return ignores.select("src", "dst").intersect(removes.select("src", "dst"))
+
+
 def passes_threshold(extra: Column, threshold: float) -> Column:
     """0 lets all pass; without a trailing field none passes, with one it must reach
     the threshold, with two or more all pass."""

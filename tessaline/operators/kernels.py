@@ -65,10 +65,16 @@ def immediate_dominators(n: int, successors: Sequence[Sequence[int]], root: int)
 
 
 def edge_dominated_weights(n: int, edges: Sequence[tuple[int, int]], root: int, weight: Sequence[float]) -> list[float]:
-    """For every edge, the weight of nodes that all paths from ``root`` reach through it.
+    """For every edge, the weight of nodes that all paths from ``root`` reach through it."""
+    return dominated_weights(n, edges, root, weight)[1]
 
-    The edges become nodes of a split graph; an edge's value is the weight of its
-    subtree in that graph's dominator tree.  Edges that aren't reachable have 0.
+
+def dominated_weights(n: int, edges: Sequence[tuple[int, int]], root: int, weight: Sequence[float]) -> tuple[list[float], list[float]]:
+    """For every node and every edge, the weight of nodes that all paths from ``root``
+    reach through it, a node's own included.
+
+    The edges become nodes of a split graph; a value is the weight of a subtree in
+    that graph's dominator tree.  What isn't reachable has 0.
     """
     successors: list[list[int]] = [[] for _ in range(n + len(edges))]
     for i, (a, b) in enumerate(edges):
@@ -91,7 +97,8 @@ def edge_dominated_weights(n: int, edges: Sequence[tuple[int, int]], root: int,
             depth[x] = at
     for node in sorted((x for x in range(len(idom)) if depth[x] > 0), key=depth.__getitem__, reverse=True):
         total[idom[node]] += total[node]
-    return [total[n + i] if depth[n + i] >= 0 else 0.0 for i in range(len(edges))]
+    found = [t if d >= 0 else 0.0 for t, d in zip(total, depth)]
+    return found[:n], found[n:]
 
 
 def min_cut(n: int, edges: Iterable[tuple[int, int, float]], source: int, sink: int) -> tuple[float, list[int]]:

@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 METRICS = ("input_size", "expanded_size", "file_size", "prevalence", "centrality", "includer_size")
 
 
-def centrality(edges: DataFrame, n_files: int) -> DataFrame:
-    """``src, dst, centrality`` of distinct edges (M6): out-degree of the included times
-    in-degree of the includer, each over ``n_files - 1``."""
-    e = edges.select("src", "dst").distinct()
-    out = e.groupBy(F.col("src").alias("_n")).agg(F.count("*").alias("_out"))
-    into = e.groupBy(F.col("dst").alias("_m")).agg(F.count("*").alias("_in"))
-    joined = e.join(out, F.col("dst") == F.col("_n"), "left").join(into, F.col("src") == F.col("_m"), "left")
+def degrees(edges: DataFrame) -> DataFrame:
+    """``node, out, into``: how many different files each file includes and is included by."""
+    ends = edges.select("src", "dst").distinct().select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
+    return ends.groupBy("node").agg(F.sum("o").alias("out"), F.sum("i").alias("into"))
+
+
+def _centrality(out_of_included: Column, into_includer: Column, n_files: int) -> Column:
     if n_files <= 1:
-        return e.withColumn("centrality", F.lit(100000.0))
+        return F.lit(100000.0)
     # Degrees times 1 / (n - 1), in this order, so that doubles agree.
     scale = F.lit(1.0 / (n_files - 1))
-    value = F.lit(100000.0) * (F.coalesce("_out", F.lit(0)) * scale) * (F.coalesce("_in", F.lit(0)) * scale)
-    return joined.select("src", "dst", value.alias("centrality"))
+    return F.lit(100000.0) * (F.coalesce(out_of_included, F.lit(0)) * scale) * (F.coalesce(into_includer, F.lit(0)) * scale)
+
+
+def centrality(edges: DataFrame, n_files: int) -> DataFrame:
+    """``src, dst, centrality`` of distinct edges (M6): out-degree of the included times
+    in-degree of the includer, each over ``n_files - 1``."""
+    d = stored(degrees(edges), "degrees")
+    out, into = d.select(F.col("node").alias("_n"), "out"), d.select(F.col("node").alias("_m"), "into")
+    joined = edges.select("src", "dst").distinct().join(out, F.col("dst") == F.col("_n"), "left").join(into, F.col("src") == F.col("_m"), "left")
+    return joined.select("src", "dst", _centrality(F.col("out"), F.col("into"), n_files).alias("centrality"))
 
 
 def edge_metric(edges: DataFrame, files: DataFrame, metric: str, n_roots: int, n_files: int) -> DataFrame:
@@ -40,14 +50,19 @@ def edge_metric(edges: DataFrame, files: DataFrame, metric: str, n_roots: int, n
 
 
 def edge_metrics(edges: DataFrame, files: DataFrame, n_roots: int, n_files: int) -> DataFrame:
-    """``file, include, esize, prevalence_pct, tsize, centrality`` per edge (M9)."""
-    src = files.select(F.col("file").alias("_s"), F.col("prevalence").alias("_p"))
-    dst = files.select(F.col("file").alias("_d"), "tsize")
-    c = centrality(edges, n_files).select(F.col("src").alias("_cs"), F.col("dst").alias("_cd"), "centrality")
+    """``file, include, esize, prevalence_pct, tsize, centrality`` per edge (M9).
+
+    What is known of a file, its degrees included, is put in one row first, so that
+    edges are joined twice only.
+    """
+    f = files.select("file", "prevalence", "tsize").join(degrees(edges), F.col("file") == F.col("node"), "full")
+    f = stored(f.select(F.coalesce("file", "node").alias("file"), "prevalence", "tsize", "out", "into"), "file-metrics")
+    src = f.select(F.col("file").alias("_s"), F.col("prevalence").alias("_p"), "into")
+    dst = f.select(F.col("file").alias("_d"), "tsize", "out")
     joined = edges.select("src", "dst", "esize").join(src, F.col("src") == F.col("_s"), "left").join(dst, F.col("dst") == F.col("_d"), "left")
-    joined = joined.join(c, (F.col("src") == F.col("_cs")) & (F.col("dst") == F.col("_cd")))
     return joined.select(
-        F.col("src").alias("file"), F.col("dst").alias("include"), "esize", (F.lit(100.0) * F.col("_p") / F.lit(n_roots)).alias("prevalence_pct"), "tsize", "centrality"
+        F.col("src").alias("file"), F.col("dst").alias("include"), "esize", (F.lit(100.0) * F.col("_p") / F.lit(n_roots)).alias("prevalence_pct"), "tsize",
+        _centrality(F.col("out"), F.col("into"), n_files).alias("centrality"),
     )
 
 
@@ -78,3 +93,18 @@ def included_by_roots(edges: DataFrame, roots: DataFrame, generated: str = "out/
     r = roots.select(F.col("node").alias("_r")).distinct()
     e = edges.select("src", "dst").join(r, F.col("src") == F.col("_r"), "left_semi")
     return e.groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("n_roots"), F.count_if(~F.col("src").startswith(generated)).alias("n_own_roots"))
+
+
+def most_included(edges: DataFrame, roots: DataFrame, top: int, n_roots: int) -> DataFrame:
+    """``file, n_roots, prevalence_pct, n_own_roots`` of the ``top`` files that most roots
+    include directly; ties by name (L3, K3)."""
+    counts = included_by_roots(edges, roots).orderBy(F.desc("n_roots"), "file").limit(top)
+    return counts.select("file", "n_roots", (F.lit(100.0) * F.col("n_roots") / F.lit(n_roots)).alias("prevalence_pct"), "n_own_roots")
+
+
+def list_weights(listed: DataFrame, weights: DataFrame, threshold: float | None = None) -> DataFrame:
+    """``listed`` edges with their ``weight`` (null if unknown), less those below ``threshold``
+    (F14: 0 is a threshold, and an unknown weight passes; J3)."""
+    known = weights.groupBy(F.col("src").alias("_s"), F.col("dst").alias("_d")).agg(F.max("weight").alias("weight"))
+    out = listed.join(known, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left").drop("_s", "_d")
+    return out if threshold is None else out.filter(F.col("weight").isNull() | (F.col("weight") >= threshold))

@@ -16,6 +16,7 @@ ADDED_INCLUDE = r"""^\+\s*#\s*include\s+([<"])([^>"]+)[>"]"""
 INCLUDE = r"""^\s*#\s*include (["<](.*)[">])"""
 EDITED_INCLUDE = r"""\s*#include (["<](.*)[">])"""
 DIAGNOSTIC = r"^(.+)[(:](\d+)[,:](\d+)\)?:\s+(warning|error):\s+(.*)$"
+DIFF_FILE = r"^diff --git a/.+ b/(.+)$"
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)$"
 
 
@@ -24,17 +25,23 @@ def lines(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
 
 
+def include_of(line: Column) -> Column:
+    """What an include line includes, without quotes; null if it is none."""
+    return F.when(line.rlike(INCLUDE), F.trim(F.regexp_extract(line, INCLUDE, 1), F.lit('"')))
+
+
 def diff_sections(diffs: DataFrame) -> DataFrame:
     """Lines of unified diffs with ``file_no, hunk_no, file``.
 
     Lines before the first file are file 0, lines before a file's first hunk its
-    header (hunk 0).  ``file`` is the new name in force at the line.
+    header (hunk 0).  ``file`` is the new name that the last ``diff --git`` line gives;
+    added lines that look like a header don't change it.
     """
     order = W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     within = W.partitionBy("id", "file_no").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     out = diffs.withColumn("file_no", F.sum(F.col("line").startswith("diff --git").cast("int")).over(order))
     out = out.withColumn("hunk_no", F.sum(F.col("line").startswith("@@").cast("int")).over(within))
-    named = F.when(F.col("line").startswith("+++ b/"), F.substring("line", 7, 1 << 30))
+    named = F.when(F.col("line").rlike(DIFF_FILE), F.regexp_extract("line", DIFF_FILE, 1))
     return out.withColumn("file", F.last(named, ignorenulls=True).over(order))
 
 
@@ -45,6 +52,12 @@ def added_includes(diffs: DataFrame) -> DataFrame:
     return hits.groupBy("id", header.alias("header"), "file").agg(F.min("pos").alias("first_pos"))
 
 
+def frequent_headers(added: DataFrame, at_least: int) -> DataFrame:
+    """``id, header, files`` of headers added to that many files of a diff, files in order."""
+    grouped = added.groupBy("id", "header").agg(F.array_sort(F.collect_list(F.struct("first_pos", "file"))).alias("f"))
+    return grouped.filter(F.size("f") >= at_least).select("id", "header", F.transform("f", lambda x: x["file"]).alias("files"))
+
+
 def patch_for_header(diffs: DataFrame, header: str) -> DataFrame:
     """``id, patch``: the diff cut down to the lines that add one header.
 
@@ -71,21 +84,31 @@ def patch_for_header(diffs: DataFrame, header: str) -> DataFrame:
 
 
 def caret_range(line: Column) -> tuple[Column, Column]:
-    """Start and end, from 0, of the marks in a caret line (C8); null if it isn't one."""
-    marks = F.regexp_replace(F.regexp_replace(line, r"^[^|]*\|", ""), "^ ", "")
-    ok = marks.rlike(r"^[\s^~]*[\^~][\s^~]*$")
+    """Start and end, from 0, of the marks in a caret line (C8); null if it isn't one.
+
+    What comes before a bar goes, with one blank after the bar; the rest is one caret,
+    its tildes after it, and blanks.
+    """
+    piped = line.contains("|")
+    marks = F.when(piped, F.regexp_replace(F.regexp_replace(line, r"^[^|]*\|", ""), "^ ", "")).otherwise(line)
+    ok = marks.rlike(r"^\s*\^~*\s*$")
     start = F.length(F.regexp_extract(marks, r"^(\s*)", 1))
     end = F.length(F.regexp_replace(marks, r"\s+$", ""))
     return F.when(ok, start), F.when(ok, end)
 
 
 def compile_errors(logs: DataFrame) -> DataFrame:
-    """``id, pos, file, line_no, message, range_start, range_end`` of errors."""
+    """``id, pos, file, line_no, message, range_start, range_end`` of errors.
+
+    Errors of one log that agree in all of that but ``pos`` are told once, at the first.
+    """
     after = F.lead("line", 2).over(W.partitionBy("id").orderBy("pos"))
     start, end = caret_range(F.col("_caret"))
     hits = logs.withColumn("_caret", after).filter(F.regexp_extract("line", DIAGNOSTIC, 4) == "error")
     part = lambda n: F.regexp_extract("line", DIAGNOSTIC, n)
-    return hits.select("id", "pos", normalize_error_path(part(1)).alias("file"), part(2).cast("int").alias("line_no"), part(5).alias("message"), start.alias("range_start"), end.alias("range_end"))
+    found = hits.select("id", "pos", normalize_error_path(part(1)).alias("file"), part(2).cast("int").alias("line_no"), part(5).alias("message"), start.alias("range_start"), end.alias("range_end"))
+    alike = ("id", "file", "line_no", "message", "range_start", "range_end")
+    return found.groupBy(*alike).agg(F.min("pos").alias("pos")).select("id", "pos", *alike[1:])
 
 
 def first_errors(errors: DataFrame) -> DataFrame:
@@ -94,11 +117,26 @@ def first_errors(errors: DataFrame) -> DataFrame:
     return errors.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def annotations(errors: DataFrame) -> DataFrame:
-    """``file, line_no, message``: one note per file at its first error line."""
-    return errors.groupBy("file").agg(
-        F.min("line_no").alias("line_no"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "message"))), lambda e: e["message"]), "\n").alias("message"),
+def annotations(errors: DataFrame, build_url: str | None = None) -> DataFrame:
+    """``file, line_no, message, range_start, range_end``: one note per file.
+
+    It stands at the file's first error line and tells all errors in order of line,
+    message and build, those of other lines with their number, each with the address of
+    its build where ``build_url`` is given.  The range is the first one known at that line.
+    """
+    first = W.partitionBy("file")
+    at = errors.withColumn("_first", F.min("line_no").over(first))
+    quoted = F.concat(F.lit("`"), F.col("message"), F.lit("`"))
+    part = F.when(F.col("line_no") == F.col("_first"), quoted).otherwise(F.concat(F.lit("Line "), F.col("line_no").cast("string"), F.lit(": "), quoted))
+    if build_url is not None:
+        part = F.concat(part, F.lit("\n\n" + build_url), F.col("id").cast("string"))
+    has_range = (F.col("line_no") == F.col("_first")) & F.col("range_start").isNotNull()
+    key = F.struct("message", "id")
+    return at.withColumn("_part", part).groupBy("file").agg(
+        F.min("_first").alias("line_no"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "message", "id", "range_start", "_part"))), lambda e: e["_part"]), "\n\n").alias("message"),
+        F.min_by("range_start", F.when(has_range, key)).alias("range_start"),
+        F.min_by("range_end", F.when(has_range, key)).alias("range_end"),
     )
 
 
@@ -128,9 +166,9 @@ def diagnostics_to_changes(diagnostics: DataFrame) -> DataFrame:
 
 def language_id(name: Column) -> Column:
     """The language of a file name; an unknown extension is an error."""
-    ext = F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    ends = lambda *found: F.regexp_like(name, F.lit(r"\.(" + "|".join(found) + ")$"))
     return (
-        F.when(ext.isin(".cc", ".cpp", ".cxx", ".h", ".hpp"), "cpp").when(ext == ".c", "c").when(ext == ".mm", "objective-cpp").when(ext == ".m", "objective-c")
+        F.when(ends("h", "hh", "hpp", "hpp11", "hxx", "cc", "cpp", "cxx"), "cpp").when(ends("c"), "c").when(ends("mm"), "objective-cpp")
         .otherwise(F.raise_error(F.concat(F.lit("unknown language: "), name)))
     )
 
@@ -152,6 +190,12 @@ def _edit(source: list[str], edits: list[tuple[str, int, str]]) -> list[str]:
     return rows
 
 
+def first_changes(changes: DataFrame, max_count: int) -> DataFrame:
+    """The first ``max_count`` changes of a known type, in order of ``pos`` (L8); 0 is no limit."""
+    known = changes.filter(F.col("change_type").isin("add", "remove"))
+    return known.orderBy("pos").limit(max_count) if max_count else known
+
+
 def apply_changes(sources: DataFrame, changes: DataFrame) -> DataFrame:
     """``file, text``: sources with their changes applied in order of line.
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import materialize
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 
@@ -84,6 +86,17 @@ def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that ``make`` returns, written once in a session, as a loaded analysis is."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = materialize(make(), f"model-{name}")
+    return _kept[key]
+
+
 def oracle(text: str) -> str:
     """The same text over DuckDB's views."""
     return text.format(**{t: t for t in TABLES})

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,6 @@ ANALYSIS = (
     "sizes array<bigint>, tsizes array<bigint>, asizes array<bigint>, esizes array<array<bigint>>, prevalence array<bigint>"
 )
 # How the data, generated files and the sysroot are recognised.
-DATA = r"(?m)^data = (\{.*\})"
 HTML_DATA = r"(?s)^.*<script>\n?(data = .*?)</script>"
 LINKS = r'(?s)<a href="(.*?)">'
 GEN_PREFIX = r"^(out/[\w-]+/gen/).*$"
@@ -23,7 +22,7 @@ SYSROOT = r"^(build/linux/[\w-]+/)usr/include/([\w-]+)/sys/.*$"
 
 def html_data(html: Column) -> Column:
     """The last data script of a page, else "" (S5, S9)."""
-    return F.trim(F.regexp_extract(html, HTML_DATA, 1))
+    return F.regexp_replace(F.regexp_extract(html, HTML_DATA, 1), r"^\s+|\s+$", "")
 
 
 def read_analysis(spark: SparkSession, path: str, html: bool = False) -> DataFrame:
@@ -44,29 +43,43 @@ def parse_analysis(texts: DataFrame) -> DataFrame:
 def files_of(analyses: DataFrame) -> DataFrame:
     """``url, file_id, file, is_root, size, tsize, asize, prevalence``."""
     zipped = F.arrays_zip("files", "sizes", "tsizes", "asizes", "prevalence")
-    return analyses.select("url", "roots", F.posexplode(zipped).alias("file_id", "f")).select(
-        "url", "file_id", F.col("f.files").alias("file"), F.array_contains("roots", F.col("file_id")).alias("is_root"),
+    rows = analyses.select("url", F.posexplode(zipped).alias("file_id", "f"))
+    roots = analyses.select(F.col("url").alias("_u"), F.explode("roots").alias("_root")).distinct()
+    joined = rows.join(roots, (F.col("url") == F.col("_u")) & (F.col("file_id") == F.col("_root")), "left")
+    return joined.select(
+        "url", "file_id", F.col("f.files").alias("file"), F.col("_root").isNotNull().alias("is_root"),
         F.col("f.sizes").alias("size"), F.col("f.tsizes").alias("tsize"), F.col("f.asizes").alias("asize"), F.col("f.prevalence").alias("prevalence"),
     )
 
 
 def edges_of(analyses: DataFrame) -> DataFrame:
-    """``url, src_id, dst_id, src, dst, pos, esize``: sizes go with includes by position."""
-    per_file = analyses.select("url", "files", F.posexplode(F.arrays_zip("includes", "esizes")).alias("src_id", "f"))
-    rows = per_file.select("url", "files", "src_id", F.posexplode(F.arrays_zip(F.col("f.includes").alias("dst"), F.col("f.esizes").alias("esize"))).alias("pos", "e"))
-    return rows.select(
-        "url", "src_id", F.col("e.dst").alias("dst_id"), F.get("files", F.col("src_id")).alias("src"), F.get("files", F.col("e.dst")).alias("dst"), "pos", F.col("e.esize").alias("esize")
-    )
+    """``url, src_id, dst_id, src, dst, pos, esize``: sizes go with includes by position.
+
+    Numbers are exploded alone and get their names by joins, so that no row carries
+    the list of files.
+    """
+    per_file = analyses.select("url", F.posexplode(F.arrays_zip("includes", "esizes")).alias("src_id", "f"))
+    rows = per_file.select("url", "src_id", F.posexplode(F.arrays_zip(F.col("f.includes").alias("dst"), F.col("f.esizes").alias("esize"))).alias("pos", "e"))
+    rows = rows.select("url", "src_id", F.col("e.dst").alias("dst_id"), "pos", F.col("e.esize").alias("esize"))
+    names = analyses.select(F.col("url").alias("_u"), F.posexplode("files").alias("_id", "_name"))
+    for end in ("src", "dst"):
+        rows = rows.join(names, (F.col("url") == F.col("_u")) & (F.col(f"{end}_id") == F.col("_id"))).withColumnRenamed("_name", end).drop("_u", "_id")
+    return rows.select("url", "src_id", "dst_id", "src", "dst", "pos", "esize")
 
 
 def prefixes_of(files: DataFrame) -> DataFrame:
-    """``url, gen_prefix, sysroot, sysroot_platform`` from the first files that show them."""
+    """``url, gen_prefix, sysroot, sysroot_platform`` from the first files that show them (S3, S4);
+    an analysis without such files is an error."""
     gen, root = F.regexp_extract("file", GEN_PREFIX, 1), F.regexp_extract("file", SYSROOT, 1)
     found = files.groupBy("url").agg(
         F.min_by(gen, F.when(gen != "", F.col("file_id"))).alias("gen_prefix"),
         F.min_by(F.struct(root.alias("r"), F.regexp_extract("file", SYSROOT, 2).alias("p")), F.when(root != "", F.col("file_id"))).alias("s"),
     )
-    return found.select("url", "gen_prefix", F.col("s.r").alias("sysroot"), F.col("s.p").alias("sysroot_platform"))
+    missing = lambda what: F.raise_error(F.concat(F.lit(f"no {what} in "), F.col("url")))
+    return found.select(
+        "url", F.coalesce("gen_prefix", missing("generated files")).alias("gen_prefix"),
+        F.coalesce("s.r", missing("system headers")).alias("sysroot"), F.col("s.p").alias("sysroot_platform"),
+    )
 
 
 def archive_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -76,16 +89,29 @@ def archive_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
     """Headerless change rows of four or more fields (S10, D4); ``pos`` is their order."""
-    rows = spark.read.text(path).filter("value <> ''").select(F.monotonically_increasing_id().alias("pos"), F.from_csv("value", "f0 string, f1 string, f2 string, f3 string, f4 string, f5 string").alias("f"))
+    rows = spark.read.text(path).filter("value <> ''").select(F.monotonically_increasing_id().alias("pos"), F.from_csv("value", "f0 string, f1 string, f2 string, f3 string, f4 string, f5 string", {"escape": '"'}).alias("f"))
     extra = F.filter(F.array("f.f4", "f.f5"), lambda x: x.isNotNull())
     return rows.select("pos", F.col("f.f0").alias("change_type"), F.col("f.f1").cast("int").alias("line"), F.col("f.f2").alias("includer"), F.col("f.f3").alias("header"), extra.alias("extra"))
 
 
 def read_edge_lists(spark: SparkSession, paths: list[str], comments: bool = True) -> DataFrame:
-    """Distinct ``src, dst`` of headerless edge lists (S11-S13); ``#`` rows are comments."""
-    reader = spark.read.schema("src string, dst string")
+    """Distinct ``src, dst`` of headerless edge lists (S11, S12); blank rows don't count, and
+    ``#`` rows are comments."""
+    reader = spark.read.schema("src string, dst string").option("escape", '"')
     reader = reader.option("comment", "#") if comments else reader
-    return reader.csv(paths).filter("src is not null").distinct()
+    return reader.csv(paths).filter("trim(src) <> ''").distinct()
+
+
+def listed_paths(spark: SparkSession, path: str) -> list[str]:
+    """The paths that a file lists, one a line (S13): a person's list, as short as that."""
+    return [r["value"].strip() for r in spark.read.text(path).collect() if r["value"].strip()]
+
+
+def read_sources(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """``file, text`` of source files below ``root``."""
+    texts = spark.read.text([f"{root.rstrip('/')}/{n}" for n in names], wholetext=True).select("_metadata.file_path", F.col("value").alias("text"))
+    asked = spark.createDataFrame([(n,) for n in names], "file string")
+    return texts.join(F.broadcast(asked), F.col("file_path").endswith(F.concat(F.lit("/"), F.col("file")))).select("file", "text")
 
 
 def read_header_results(spark: SparkSession, path: str) -> DataFrame:
@@ -100,39 +126,41 @@ def read_compilation_db(spark: SparkSession, path: str) -> DataFrame:
 
 def is_gist_url(url: Column) -> Column:
     """S18."""
-    return url.rlike(r"^https://gist\.github(usercontent)?\.com/")
+    return url.rlike(r"^https?://gist\.github(?:usercontent)?\.com/")
 
 
 def gist_to_raw_url(url: Column) -> Column:
-    """A gist page's address to its raw text's."""
-    return F.regexp_replace(url, r"^https://gist\.github\.com/([^/]+)/([0-9a-f]+)/?$", r"https://gist.githubusercontent.com/$1/$2/raw")
+    """A gist page's address to its raw text's; other addresses stay."""
+    return F.regexp_replace(url, r"^https?://gist\.github\.com/([^/]+)/([a-f0-9]+)(?:/raw)?/?$", r"https://gist.githubusercontent.com/$1/$2/raw")
+
+
+def gist_id(url: Column) -> Column:
+    """The id in a gist's address; null if there is none."""
+    return F.nullif(F.regexp_extract(url, r"^https?://gist\.github(?:usercontent)?\.com/[^/]+/([a-f0-9]+)", 1), F.lit(""))
 
 
 def load_config(path: str) -> dict:
-    """A configuration with its dependencies merged in (S14, F13); a missing file is an error.
+    """A configuration with its dependencies' ignores merged in (S14, F13); a missing file is an error.
 
     A dependency's path joins ``includeDirs`` and prefixes its skips, filenames and
-    edge includers; its headers count both bare and prefixed.
+    edge includers; its headers count both bare and prefixed.  Its include folders,
+    mappings and own dependencies don't count.
     """
-    with open(path, encoding="utf-8") as f:
-        config = json.load(f)
+    config = json.loads(Path(path).read_text(encoding="utf-8"))
     ignores = config.setdefault("ignores", {})
-    config.setdefault("includeDirs", [])
-    for prefix, inner in config.pop("dependencies", {}).items():
+    for prefix, inner in config.get("dependencies", {}).items():
+        config.setdefault("includeDirs", []).append(prefix)
         if isinstance(inner, str):
-            with open(os.path.join(os.path.dirname(path), inner), encoding="utf-8") as f:
-                inner = json.load(f)
-        at = lambda name, p=prefix: f"{p.rstrip('/')}/{name}"
-        config["includeDirs"].append(prefix)
-        config["includeDirs"] += [d if d.startswith("{") else at(d) for d in inner.get("includeDirs", [])]
+            inner = json.loads((Path(path).parent / inner).read_text(encoding="utf-8"))
+        below = lambda names, p=prefix: [str(PurePosixPath(p) / n) for n in names]
         theirs = inner.get("ignores", {})
-        ignores.setdefault("skip", []).extend(map(at, theirs.get("skip", [])))
+        ignores["skip"] = ignores.get("skip", []) + below(theirs.get("skip", []))
         for op in ("add", "remove"):
             own, rules = ignores.setdefault(op, {}), theirs.get(op, {})
-            own.setdefault("filenames", []).extend(map(at, rules.get("filenames", [])))
-            own.setdefault("headers", []).extend(h for x in rules.get("headers", []) for h in (x, at(x)))
-            own.setdefault("edges", []).extend([at(a), b] for a, b in rules.get("edges", []))
-        config.setdefault("headerMappings", {}).update(inner.get("headerMappings", {}))
+            headers = rules.get("headers", [])
+            own["filenames"] = own.get("filenames", []) + below(rules.get("filenames", []))
+            own["headers"] = own.get("headers", []) + [h for pair in zip(headers, below(headers)) for h in pair]
+            own["edges"] = own.get("edges", []) + [[below([a])[0], b] for a, b in rules.get("edges", [])]
     return config
 
 

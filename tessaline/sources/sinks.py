@@ -1,8 +1,9 @@
-"""Sinks: byte-compatible CSV, percentages, JSON (K1-K4, K6)."""
+"""Sinks: byte-compatible CSV, percentages, JSON (K1-K6)."""
 
 from __future__ import annotations
 
 import csv
+import os
 from typing import TextIO
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +17,18 @@ def write_csv_stream(df: DataFrame, out: TextIO) -> None:
         writer.writerow(row)
 
 
+def csv_line(*columns: Column) -> Column:
+    """Columns as one line of that dialect: quotes only where needed, nulls empty (K1)."""
+    def field(c: Column) -> Column:
+        text = F.coalesce(c.cast("string"), F.lit(""))
+        return F.when(text.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    return F.concat_ws(",", *(field(c) for c in columns))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Rows as CSV part files, written by the executors."""
-    df.write.option("quote", '"').option("escape", '"').option("lineSep", "\n").csv(path)
+    """Rows as CSV part files whose lines end in ``\\r\\n``, written by the executors."""
+    df.select(F.concat(csv_line(*(F.col(c) for c in df.columns)), F.lit("\r"))).write.text(path)
 
 
 def percent(column: Column) -> Column:
@@ -37,5 +47,17 @@ def to_json(df: DataFrame) -> DataFrame:
 
 
 def prepend_edges(new: DataFrame, old: DataFrame) -> DataFrame:
-    """``src, dst`` with the new edges before the old (K6)."""
-    return new.select(F.lit(0).alias("prio"), "src", "dst").unionByName(old.select(F.lit(1).alias("prio"), "src", "dst")).orderBy("prio").select("src", "dst")
+    """``line`` of an edge list with the new edges before the old, each in order of ``pos`` (K6)."""
+    rows = [d.select(F.lit(i).alias("_prio"), "pos", csv_line(F.col("src"), F.col("dst")).alias("line")) for i, d in enumerate((new, old))]
+    return rows[0].unionByName(rows[1]).orderBy("_prio", "pos").select("line")
+
+
+def save_sources(texts: DataFrame, root: str, dry_run: bool = True) -> list[str]:
+    """Names of the ``file, text`` rows, which are written below ``root`` unless ``dry_run`` (K5)."""
+    names = []
+    for row in texts.toLocalIterator():  # one file at a time
+        names.append(row["file"])
+        if not dry_run:
+            with open(os.path.join(root, row["file"]), "w", encoding="utf-8", newline="") as f:
+                f.write(row["text"])
+    return sorted(names)

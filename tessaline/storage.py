@@ -44,7 +44,14 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     files.deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.is_stored = True
+    return stored
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself if :func:`materialize` returned it, else written."""
+    return df if getattr(df, "is_stored", False) else materialize(df, name)
 
 
 def cleanup(spark: SparkSession) -> None:
@@ -54,3 +61,9 @@ def cleanup(spark: SparkSession) -> None:
     """
     folder, files = _own_folder(spark)
     files.delete(folder, True)
+
+
+def part_of(table: DataFrame, df: DataFrame) -> DataFrame:
+    """``df``, a projection or filter of ``table``, as cheap to read again as a stored ``table`` is."""
+    df.is_stored = getattr(table, "is_stored", False)
+    return df
