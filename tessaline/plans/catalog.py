@@ -407,14 +407,14 @@ def g26_edges_to_cut(spark, d):
         "select k.file as header, 100.0::double as remaining_pct, 100.0::double * coalesce(u.n, 0) / k.prevalence as floor_pct, coalesce(max(one.n), 0)::bigint as dominated, k.tsize "
         "from k left join u on u.h = k.file left join one on one.h = k.file group by k.file, k.prevalence, k.tsize, u.n",
         **_ANALYSED,
-        k=f"select * from f where prevalence > 1.0 / 100.0 * {N_ROOTS} and prevalence <= 50.0 / 100.0 * {N_ROOTS} and file like 'supplier/%'",
+        k=f"select * from f where prevalence > 50.0 / 100.0 * {N_ROOTS} and prevalence <= 67.5 / 100.0 * {N_ROOTS} and file like 'supplier/%'",
         x="select distinct e.dst as h, e.src as p, i.src as root from e join e i on i.dst = e.src where e.dst in (select file from k) and i.src in (select node from o)",
         one=f"select h, p, count(*) as n from (select h, root, min(p) as p from x group by h, root having count(distinct p) = 1) y where not ({' or '.join(f'starts_with(p, {chr(39)}{q}{chr(39)})' for q in cuts.UNCUTTABLE)}) group by h, p",
         u=f"select h, count(distinct root) as n from x where ({' or '.join(f'starts_with(p, {chr(39)}{q}{chr(39)})' for q in cuts.UNCUTTABLE)}) and ({' or '.join(f'starts_with(root, {chr(39)}{q}{chr(39)})' for q in cuts.UNCUTTABLE)}) group by h",
     ),
 )
 def g25_headers_to_cut(spark, d):
-    return cuts.headers_to_cut(edges(spark, d), analysed(spark, d), roots(spark, d), roots(spark, d).count(), above=1.0, up_to=50.0)
+    return cuts.headers_to_cut(edges(spark, d), analysed(spark, d), roots(spark, d), roots(spark, d).count(), above=50.0, up_to=67.5)
 
 
 # Metrics

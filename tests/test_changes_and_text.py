@@ -65,11 +65,29 @@ def test_edge_lists_and_changes(spark, tmp_path):
     assert [(r["change_type"], r["line"], r["header"], r["extra"]) for r in rows] == [("add", 1, "x,y.h", []), ("remove", 2, "z.h", ["3.5"])]
 
 
+def test_sources_are_read_edited_and_written(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.cc").write_text('#include "x.h"\nint a;\n')
+    c = spark.createDataFrame([(0, "remove", 0, "d/a.cc", "x.h"), (1, "other", 0, "d/a.cc", "z"), (2, "add", 1, "d/a.cc", "y.h")], "pos long, change_type string, line int, includer string, header string")
+    texts = text.apply_changes(analysis.read_sources(spark, str(tmp_path), ["d/a.cc"]), text.first_changes(c, 1))
+    assert sinks.save_sources(texts, str(tmp_path)) == ["d/a.cc"] and "x.h" in (tmp_path / "d" / "a.cc").read_text()
+    sinks.save_sources(texts, str(tmp_path), dry_run=False)
+    assert (tmp_path / "d" / "a.cc").read_text() == "int a;\n"
+    sinks.write_csv(spark.createDataFrame([("a,b", None)], "x string, y int").coalesce(1), str(tmp_path / "out"))
+    assert [f.read_bytes() for f in (tmp_path / "out").glob("part-*")] == [b'"a,b",\r\n']
+
+
+def test_missing_prefixes_are_errors(spark):
+    files = spark.createDataFrame([("u", 0, "a.cc")], "url string, file_id int, file string")
+    with pytest.raises(Exception, match="no generated files"):
+        analysis.prefixes_of(files).collect()
+
+
 def test_config_merge(spark, tmp_path):
     (tmp_path / "inner.json").write_text(json.dumps({"includeDirs": ["inc"], "ignores": {"skip": ["s.cc"], "add": {"headers": ["h.h"], "edges": [["a.cc", "b.h"]]}}}))
     (tmp_path / "c.json").write_text(json.dumps({"dependencies": {"v8": "inner.json"}, "headerMappings": {"k": "c"}}))
     config = analysis.load_config(str(tmp_path / "c.json"))
-    assert config["includeDirs"] == ["v8", "v8/inc"] and config["ignores"]["skip"] == ["v8/s.cc"]
+    assert config["includeDirs"] == ["v8"] and config["ignores"]["skip"] == ["v8/s.cc"] and config["headerMappings"] == {"k": "c"}
     assert config["ignores"]["add"]["headers"] == ["h.h", "v8/h.h"] and config["ignores"]["add"]["edges"] == [["v8/a.cc", "b.h"]]
     assert analysis.ignore_rules(spark, config).count() == 4
     with pytest.raises(FileNotFoundError):

@@ -127,3 +127,26 @@ def test_empty_graph(spark):
     none = spark.createDataFrame([], "src string, dst string")
     assert closure.reaching_roots(none, nodes(spark, "a")).count() == 0
     assert closure.includers(none, nodes(spark, "a"), transitive=True).count() == 0
+
+
+def test_cuts_from_the_includes_of_a_source(spark):
+    pairs = [("r.cc", "a.h"), ("r.cc", "b.h"), ("r.cc", "t.h"), ("a.h", "m.h"), ("a.h", "n.h"), ("m.h", "t.h"), ("n.h", "t.h"), ("b.h", "m.h"), ("q.cc", "a.h")]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    files = spark.createDataFrame([(x, 50) for x in sorted({y for p in pairs for y in p})], "file string, prevalence int")
+    cut = lambda **more: {(r["includer"], r["included"]) for r in cuts.min_edge_cut(e, files, "r.cc", "t.h", 100, **more).collect()}
+    assert cut() == {("r.cc", "t.h"), ("m.h", "t.h"), ("n.h", "t.h")}
+    assert cut(start_from_source_includes=True) == {("m.h", "t.h"), ("n.h", "t.h")}
+    assert cut(threshold=60.0) == set() and cut(start_from_source_includes=True, threshold=60.0) == set()
+
+
+def test_roots_that_nothing_includes_are_merged_in_cuts(spark):
+    pairs = [(f"r{i}.cc", "a.h") for i in range(5)] + [("r5.cc", "a.h"), ("r5.cc", "b.h"), ("r6.cc", "a.h"), ("r6.cc", "b.h"), ("a.h", "c.h"), ("b.h", "c.h"), ("c.h", "t.h"), ("d.h", "d1.h"), ("d.h", "d2.h"), ("d1.h", "t.h"), ("d2.h", "t.h"), ("r7.cc", "d.h"), ("r7.cc", "t.h"), ("out/g.cc", "d.h")]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    roots = spark.createDataFrame([(f"r{i}.cc",) for i in range(8)] + [("out/g.cc",)], "node string")
+    files = spark.createDataFrame([(x, 1) for x in sorted({y for p in pairs for y in p})], "file string, prevalence int")
+    g = cuts.target_graph(e, "t.h")
+    got = {(r["src"], r["dst"]): r["dominated"] for r in cuts.dominated_roots(g, roots, "t.h").collect()}
+    want = {p: 0 for p in pairs} | {(f"r{i}.cc", "a.h"): 1 for i in range(5)} | {("a.h", "c.h"): 5, ("c.h", "t.h"): 7}
+    assert got == want
+    indirect = {(r["includer"], r["included"]) for r in cuts.indirect_cuts(g, roots, files, "t.h", 8).collect()}
+    assert indirect == {("r7.cc", "d.h")}
