@@ -23,13 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_checked, materialize, releasing
+from .common import BROADCAST_LIMIT, broadcast_checked, materialize, releasing
 from .textkernel import Chunk, chunks, prefix_sums, range_hash, row_of, runs
 
-#: The classifier is fitted to at most so many labelled rows, drawn by hash, which have
-#: so many different words together; both bound what is broadcast.
+#: The classifier is fitted to at most so many labelled rows, drawn by hash, that bring at
+#: most so many (row, word) pairs to the driver and make an index of at most so many bytes.
 SAMPLE_ROWS = 4_096
 SAMPLE_TERMS = 4_000_000
+INDEX_BYTES = BROADCAST_LIMIT * 15 // 16
+#: Bytes of the index for a different word, for a (row, word) pair and for a row.
+TERM_BYTES, PAIR_BYTES, ROW_BYTES = 20, 12, 16
 #: A term that tells nothing about the label weighs so much besides its chi-square.
 LEAST_WEIGHT = 0.2
 #: Bits of a term's hash by which unknown terms are told.
@@ -39,8 +42,10 @@ BLOCK = 64
 FIRST_BLOCKS = 2
 #: Examples that lead the blocks: each example goes with the nearest of them.
 LEADERS = 64
-#: A term in more than one of so many examples has a column of its own, others a list.
+#: A term in more than one of so many examples has a column of its own, others a list;
+#: columns take at most so many bytes, those of the most frequent terms.
 COMMON = 32
+COLUMN_BYTES = 128 << 20
 NEIGHBOURS = 15
 PRIOR_VOTES = 1.0
 NEAR = 0.05
@@ -122,7 +127,10 @@ class Model:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.terms >> np.uint64(64 - FILTER_BITS)] = True
         term = np.repeat(np.arange(n_terms), np.diff(self.post_start))
-        common = np.flatnonzero(np.diff(self.post_start) > max(1, n // COMMON))
+        frequency = np.diff(self.post_start)
+        common = np.flatnonzero(frequency > max(1, n // COMMON))
+        room = COLUMN_BYTES // max(1, self.blocks * BLOCK * 8)
+        common = np.sort(common[np.lexsort((common, -frequency[common]))[:room]])
         self.column = np.full(n_terms + 1, -1, np.int64)
         self.column[common] = np.arange(len(common))
         at = np.flatnonzero(self.column[term] >= 0)
@@ -137,6 +145,7 @@ class Model:
         self.entry_block = block[begins]
         self.entry_max = np.maximum.reduceat(self.post_value, begins) if len(begins) else np.zeros(0)
         self.entry_start = np.searchsorted(begins, self.post_start)
+        self.entry_post = np.append(begins, len(term))
         return self
 
     def counts(self, c) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,16 +176,20 @@ class Model:
         rare_row, rare_term, rare_q = rows[~common], terms[~common], q[~common]
         # Bounds of all blocks.
         entries, of = _ranges(self.entry_start[rare_term], self.entry_start[rare_term + 1])
-        bounds = np.bincount(rare_row[of] * self.blocks + self.entry_block[entries], rare_q[of] * self.entry_max[entries], minlength=n_rows * self.blocks)
+        entry_row, entry_block, entry_q = rare_row[of], self.entry_block[entries], rare_q[of]
+        bounds = np.bincount(entry_row * self.blocks + entry_block, entry_q * self.entry_max[entries], minlength=n_rows * self.blocks).astype(float)
         bounds = bounds.reshape(n_rows, self.blocks) + dense_q @ self.dense_max
-        # The other terms' share of each cosine comes from their lists.
-        posts, of = _ranges(self.post_start[rare_term], self.post_start[rare_term + 1])
         width = self.blocks * BLOCK
-        cosines = np.bincount(rare_row[of] * width + self.post_example[posts], rare_q[of] * self.post_value[posts], minlength=n_rows * width)
-        cosines = cosines.reshape(n_rows, self.blocks, BLOCK)
+        cosines = np.zeros((n_rows, self.blocks, BLOCK))
         seen = np.zeros((n_rows, self.blocks), bool)
 
         def visit(wanted: np.ndarray) -> None:
+            # Of the lists only the parts in wanted blocks are read.
+            read = wanted[entry_row, entry_block]
+            at = entries[read]
+            posts, of = _ranges(self.entry_post[at], self.entry_post[at + 1])
+            place = entry_row[read][of] * width + self.post_example[posts]
+            cosines.reshape(-1)[:] += np.bincount(place, entry_q[read][of] * self.post_value[posts], minlength=n_rows * width)
             for block in np.flatnonzero(wanted.any(axis=0)):
                 at = np.flatnonzero(wanted[:, block])
                 cosines[at, block] += dense_q[at] @ self.dense[:, block * BLOCK : (block + 1) * BLOCK]
@@ -189,7 +202,6 @@ class Model:
         visited = np.take_along_axis(cosines, promising[:, :, None], axis=1).reshape(n_rows, -1)
         kth = np.partition(visited, -k, axis=1)[:, -k] if visited.shape[1] >= k else np.zeros(n_rows)
         visit((bounds + 1e-9 >= kth[:, None]) & (bounds > 0) & ~seen)
-        cosines[~seen] = 0.0
         flat = np.round(cosines.reshape(n_rows, -1), DECIMALS)
         out = []
         for row in flat:
@@ -234,11 +246,30 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % 5 == 0
 
 
+def _fitting(found: pa.Table, drawn: list[int]) -> list[int]:
+    """Places of the rows, in the order drawn, whose index stays within ``INDEX_BYTES``.
+
+    Words are told apart by 26 bits of their hashes, which counts up to 3 % too few of
+    them; ``INDEX_BYTES`` leaves more room than that.
+    """
+    place = {i: at for at, i in enumerate(found.column("id").to_pylist())}
+    room, seen, kept = INDEX_BYTES, np.zeros(1 << 26, bool), []
+    for i in drawn:
+        words = found.column("terms")[place[i]].values.to_numpy().view(np.uint64) >> np.uint64(38)
+        need = ROW_BYTES + PAIR_BYTES * len(words) + TERM_BYTES * (len(words) - int(seen[words].sum()))
+        if need <= room:
+            room -= need
+            seen[words] = True
+            kept.append(place[i])
+    return kept
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit to at most ``sample_rows`` labelled rows that aren't held out.
 
-    Labelled ids are drawn by hash; if theirs are more than ``SAMPLE_TERMS`` different
-    words, the last drawn are left out.  A row with several labels counts as toxic if
+    Labelled ids are drawn by hash; a row that would bring the (row, word) pairs above
+    ``SAMPLE_TERMS``, or the index above ``INDEX_BYTES``, is left out, and later ones that
+    fit are taken.  A row with several labels counts as toxic if
     one says so, an id with several texts counts with the one of the least hash, and
     null labels are no labels.  Without labels of both kinds every score is their rate,
     0.5 without any.  Only the sample comes to the driver, as word hashes.
@@ -270,12 +301,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     sizes = counted.select("id", F.size("terms").alias("n")).orderBy(F.xxhash64("id"), "id").collect()  # sample_rows rows
     total, drawn = 0, []
     for r in sizes:
-        total += r["n"]
-        if total > SAMPLE_TERMS:
-            break
-        drawn.append((r["id"],))
+        if total + r["n"] <= SAMPLE_TERMS:
+            total += r["n"]
+            drawn.append((r["id"],))
     wanted = F.broadcast(spark.createDataFrame(drawn, "_wanted long"))
-    found = counted.join(wanted, F.col("id") == F.col("_wanted"), "left_semi").toArrow()  # sample_rows rows of SAMPLE_TERMS words
+    found = counted.join(wanted, F.col("id") == F.col("_wanted"), "left_semi").toArrow()  # sample_rows rows of SAMPLE_TERMS pairs
+    found = found.take(pa.array(_fitting(found, [i for (i,) in drawn]), pa.int64()))
     ids, toxic = found.column("id").to_numpy(), found.column("toxic").to_numpy().astype(np.int64)
     order = np.argsort(ids, kind="stable")
     lengths = pc.list_value_length(found.column("terms")).to_numpy().astype(np.int64)

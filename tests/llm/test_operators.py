@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -41,6 +42,15 @@ def shingles(text, k):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
+def test_pii_on_a_percent_encoded_megabyte():
+    began = time.perf_counter()
+    text = "%20" * 350_000
+    assert pii.replace_text(text, KEY) == (text, [])
+    new, spans = pii.replace_text(text + " anna@example.org", KEY)
+    assert len(spans) == 1 and new[: len(text)] == text
+    assert time.perf_counter() - began < 5
+
+
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
 def test_jaccard_components(spark, monkeypatch, k, percent):
     monkeypatch.setattr(jaccard, "HOT_COUNT", 6)
@@ -381,6 +391,70 @@ def test_block_max_search_is_exact(monkeypatch):
         assert near == [(-c, i) for c, i in want]
 
 
+def test_block_max_search_of_common_words_only():
+    # Every word is in every example, so that no list is read.
+    example, term = np.repeat(np.arange(200), 3), np.tile(np.arange(3), 200)
+    tf = np.random.default_rng(5).integers(1, 9, 600)
+    m = toxicity.Model(np.arange(1, 4).astype(np.uint64), np.array([1.0, 2.0, 0.5]), np.arange(200), np.zeros(200, np.int64), example, term, tf, 0.1, 0.1).prepare()
+    assert len(m.dense) == 3
+    vectors = ((1 + np.log(tf)) * np.array([1.0, 2.0, 0.5])[term]).reshape(200, 3)
+    vectors /= np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+    q = np.array([1.0, 2.0, 0.0]) * (1 + np.log([1, 4, 1]))
+    cosines = np.round(vectors @ (q / np.sqrt((q**2).sum())), toxicity.DECIMALS)[m.ids]
+    assert m.nearest(np.array([0, 0]), np.array([0, 1]), np.array([1, 4]), 1)[0] == [(-c, i) for c, i in sorted((-c, i) for i, c in enumerate(cosines))[: toxicity.NEIGHBOURS]]
+
+
+@pytest.mark.parametrize("columns", [0, 1 << 20])
+def test_votes_by_brute_force(spark, monkeypatch, columns):
+    """Scores and evidence from all cosines of a small corpus, with and without columns of their own for common words."""
+    monkeypatch.setattr(toxicity, "COLUMN_BYTES", columns)
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    rng = random.Random(12)
+    docs = [(i, " ".join("".join(rng.choice("abcde") for _ in range(rng.choice([1, 2, 4]))) for _ in range(rng.randint(0, 12)))) for i in range(120)]
+    labels = {i: rng.randint(0, 1) for i in range(120) if zlib.crc32(str(i).encode()) % 5}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    counts = {i: collections.Counter(t.split()) for i, t in docs}
+    fitted = {i: counts[i] for i in labels}
+    n, p = len(fitted), sum(labels.values()) / len(fitted)
+    seen = collections.Counter(w for c in fitted.values() for w in c)
+    marked = collections.Counter(w for i, c in fitted.items() if labels[i] for w in c)
+    weight = {w: (np.log((1 + n) / (1 + c)) + 1) * (toxicity.LEAST_WEIGHT + (marked[w] - c * p) ** 2 / (c * p * (1 - p))) for w, c in seen.items()}
+
+    def vector(c):
+        v = {w: (1 + np.log(k)) * weight[w] for w, k in c.items() if w in weight}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()}
+
+    vectors = {i: vector(c) for i, c in fitted.items() if c}
+    empties = [labels[i] for i, c in fitted.items() if not c]
+    for r in toxicity.score(df, model).collect():
+        v = vector(counts[r["doc_id"]])
+        cosines = {i: sum(x * u.get(w, 0.0) for w, x in v.items()) for i, u in vectors.items()}
+        best = sorted((c for c in cosines.values() if c > 1e-9), reverse=True)[: toxicity.NEIGHBOURS]
+        near = [(e["cosine"], e["example_id"]) for e in r["evidence"]]
+        assert np.allclose([c for c, _ in near], best) and all(abs(cosines[i] - c) < 1e-6 for c, i in near)
+        votes = [1 / (toxicity.NEAR + max(0.0, 1 - c)) for c, _ in near]
+        want = (p + sum(w * labels[i] for w, (_, i) in zip(votes, near))) / (1 + sum(votes)) if near else (sum(empties) + p) / (len(empties) + 1)
+        assert abs(r["score"] - want) < 1e-6
+
+
+def test_toxicity_sample_fits_its_bounds(spark, monkeypatch):
+    """A huge labelled text is left out, not what is drawn after it; the index keeps its bytes."""
+    docs = [(i, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}{chr(97 + i % 26)}" for k in range(5000 if i == 1 else 20)) + (" vile" if i % 2 else " kind")) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    fitted = {i for i in range(60) if zlib.crc32(str(i).encode()) % 5}
+    assert 1 in fitted
+    for name, value in (("SAMPLE_TERMS", 1500), ("INDEX_BYTES", 45_000)):
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, name, value)
+            model = toxicity.fit(df, labels)
+        assert set(model.ids.tolist()) == fitted - {1}
+        assert model.n_bytes <= 1.1 * 45_000
+        assert all(r["predicted"] == r["doc_id"] % 2 for r in toxicity.score(df, model).collect())
+
+
 def test_toxicity_fit_by_brute_force(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdéfg") for _ in range(3))
