@@ -200,7 +200,7 @@ def secret(value: str, key: bytes, back: bool = False) -> str:
 
 KINDS: dict[str, Callable] = {"email": email, "iban": iban, "secret": secret, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
 FOUND = re.compile(
-    r"""(?<![\w.+-])(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})(?![\w-])
+    r"""(?<![\w.%+-])(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})(?![\w-])
     |(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])
     |(?<![A-Za-z])(?i:token|key|secret|passwd|password|apikey)["']?[ ]?[:=][ ]?["']?(?P<secret>[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])
     |(?<![\w.])(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?!\w|\.[0-9])
