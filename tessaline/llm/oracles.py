@@ -118,4 +118,25 @@ with vectors as (
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
-ORACLES = {"op2_chat_format": OP2, "op3_quality_rules": OP3, "op6_ngram_jaccard": OP6, "op7_exact_top_k": OP7}
+OP12 = """
+with docs as (
+    select row_number() over () as r, doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+), drawn as (
+    select doc_id, text, cast(length(text) as bigint) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+        cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4
+    from docs
+), cut as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+            when h4 % 100 < 20 then 'spm' else 'psm' end as form
+    from drawn
+), parts as (
+    select *, substring(text, 1, a) as p, substring(text, a + 1, b - a) as m, substring(text, b + 1, n - b) as s from cut
+)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+    sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else text end) as output_sha256,
+    sha256(text) as restored_sha256
+from parts
+"""
+
+ORACLES = {"op12_fill_in_middle": OP12, "op2_chat_format": OP2, "op3_quality_rules": OP3, "op6_ngram_jaccard": OP6, "op7_exact_top_k": OP7}
