@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, infill, jaccard, mixing, mtree, pii, quality, sharding, substring_dedup, toxicity
+from . import bpe, chat, infill, jaccard, mixing, mtree, pii, quality, repair, sharding, substring_dedup, toxicity
 from .oracles import ORACLES  # noqa: F401 (read by the driver's entry)
 
 TOKENIZER = "word_bpe_49k.json"
@@ -70,11 +70,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_chat_format, op3_quality_rules, op4_toxicity, op5_substring_dedup,
         op6_ngram_jaccard, op7_exact_top_k, op8_pii, op9_sharding, op10_mixing,
-        op12_fill_in_middle,
+        op12_fill_in_middle, op13_conversation_repair,
     )
 }
