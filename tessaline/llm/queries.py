@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, infill, jaccard, mixing, mtree, pii, quality, repair, sharding, substring_dedup, toxicity
+from . import bpe, chat, html_text, infill, jaccard, mixing, mtree, pii, quality, repair, sharding, substring_dedup, toxicity
 from .oracles import ORACLES  # noqa: F401 (read by the driver's entry)
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,6 +66,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.word_sizes(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
 
@@ -79,6 +83,6 @@ QUERIES = {
     for f in (
         op1_bpe, op2_chat_format, op3_quality_rules, op4_toxicity, op5_substring_dedup,
         op6_ngram_jaccard, op7_exact_top_k, op8_pii, op9_sharding, op10_mixing,
-        op12_fill_in_middle, op13_conversation_repair,
+        op11_html_extraction, op12_fill_in_middle, op13_conversation_repair,
     )
 }
