@@ -127,10 +127,7 @@ def transitive_includes(
     hop = materialize(keys.join(first, F.col("key") == F.col("src")).select("key", "src", "dst"), "transitive-hop")
     reached = closure(all_edges, hop.select("key", F.col("dst").alias("node")))
     out = hop.unionByName(reached.join(all_edges, F.col("node") == F.col("src")).select("key", "src", "dst")).distinct()
-    if unused is not None and not apply_changes:
-        listed = unused.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
-        out = out.join(listed, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left_semi")
-    return out
+    return out if apply_changes else _listed_only(out, unused)
 
 
 def transitive_files(reached: DataFrame, files: DataFrame) -> DataFrame:
@@ -140,19 +137,29 @@ def transitive_files(reached: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def includers(edges: DataFrame, targets: DataFrame, transitive: bool = False, opaque: str = "third_party/libc++/src/include/") -> DataFrame:
+def _listed_only(found: DataFrame, unused: DataFrame | None) -> DataFrame:
+    if unused is None:
+        return found
+    listed = unused.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
+    return found.join(listed, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left_semi")
+
+
+def includers(
+    edges: DataFrame, targets: DataFrame, transitive: bool = False, opaque: str = "third_party/libc++/src/include/", unused: DataFrame | None = None
+) -> DataFrame:
     """Edges ``key, src, dst`` by which files include each target.
 
     Direct: all edges into the target.  Transitive: includers of includers too,
-    where files of the library prefix are neither returned nor expanded.
+    where files of the library prefix are neither returned nor expanded.  With
+    ``unused``, only those of the edges found (F22).
     """
     keys = targets.select(F.col("node").alias("key")).distinct()
     e = edges.select("src", "dst")
     if not transitive:
-        return keys.join(e, F.col("key") == F.col("dst")).select("key", "src", "dst").distinct()
+        return _listed_only(keys.join(e, F.col("key") == F.col("dst")).select("key", "src", "dst").distinct(), unused)
     e = stored(part_of(edges, e.filter(~F.col("src").contains(opaque))), "includers-edges")
     reached = closure(e, keys.select("key", F.col("key").alias("node")), reverse=True)
-    return reached.join(e, F.col("node") == F.col("dst")).select("key", "src", "dst").distinct()
+    return _listed_only(reached.join(e, F.col("node") == F.col("dst")).select("key", "src", "dst").distinct(), unused)
 
 
 def recalculated_size(edges: DataFrame, files: DataFrame, start: DataFrame, adds: DataFrame, unused: DataFrame) -> DataFrame:

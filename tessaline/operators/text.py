@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -173,39 +170,62 @@ def language_id(name: Column) -> Column:
     )
 
 
-def _edit(source: list[str], edits: list[tuple[str, int, str]]) -> list[str]:
-    rows, shift = list(source), 0
-    for kind, at, header in sorted(edits, key=lambda e: e[1]):
-        at += shift
-        if kind == "remove":
-            m = re.match(EDITED_INCLUDE, rows[at].strip())
-            if m and m[1].strip('"') == header:
-                del rows[at]
-                shift -= 1
-        elif kind == "add":
-            line = f"#include {header}" if header.startswith("<") else f'#include "{header}"'
-            if all(r.strip() != line for r in rows):
-                rows.insert(at, line + "\n")
-                shift += 1
-    return rows
-
-
 def first_changes(changes: DataFrame, max_count: int) -> DataFrame:
     """The first ``max_count`` changes of a known type, in order of ``pos`` (L8); 0 is no limit."""
     known = changes.filter(F.col("change_type").isin("add", "remove"))
     return known.orderBy("pos").limit(max_count) if max_count else known
 
 
+def _source_lines(sources: DataFrame) -> DataFrame:
+    """``file, pos, line, ended``: lines as a text file has them, ended by ``\\n``, ``\\r\\n`` or ``\\r`` alone."""
+    parts = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n")
+    rows = sources.select("file", F.size(parts).alias("_n"), F.posexplode(parts).alias("pos", "line"))
+    ended = F.col("pos") < F.col("_n") - 1
+    return rows.filter(ended | (F.col("line") != "")).select("file", "pos", "line", ended.alias("ended"))
+
+
 def apply_changes(sources: DataFrame, changes: DataFrame) -> DataFrame:
-    """``file, text``: sources with their changes applied in order of line.
+    """``file, text``: sources with their changes applied in order of line, then of ``pos``.
 
     ``sources``: ``file, text``; ``changes``: ``pos, change_type, line, includer,
-    header``.  A removal needs an include of just that header at its line, an
-    addition is left out where the line exists; a line beyond the text is an error.
+    header``, where lines are those of the source as it was.  A removal takes its line out
+    if that includes just its header; a line beyond the text is an error.  An addition goes
+    before its line, or in the place of a line that is gone, unless the same include
+    stands anywhere in the text as changed up to then.  Files without changes stay as
+    they are; in others lines end in a line feed.
+
+    What an addition finds is a count: how often its line is in the source, less the
+    removals before it.  So all decisions are joins and windows over a file's equal lines,
+    and one merge of kept and added lines gives the text.
     """
-    def edit(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        edits = [tuple(x) for x in right.sort_values("pos")[["change_type", "line", "header"]].itertuples(index=False)]
-        return pd.DataFrame({"file": left["file"], "text": ["".join(_edit((t or "").splitlines(keepends=True), edits)) for t in left["text"]]})
-
-    renamed = changes.select(F.col("includer").alias("file"), "pos", "change_type", "line", "header")
-    return sources.select("file", "text").groupBy("file").cogroup(renamed.groupBy("file")).applyInPandas(edit, "file string, text string")
+    stripped = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
+    rows = _source_lines(sources).withColumn("_told", stripped)
+    edits = changes.filter(F.col("change_type").isin("add", "remove")).select(F.col("includer").alias("_file"), "change_type", F.col("line").alias("_line"), "header", "pos")
+    edits = edits.join(sources.select("file").distinct(), F.col("_file") == F.col("file"), "left_semi")
+    edits = edits.select("*", F.row_number().over(W.partitionBy("_file").orderBy("_line", "pos")).alias("_turn")).drop("pos")
+
+    at = (F.col("_file") == F.col("file")) & (F.col("_line") == F.col("pos"))
+    beyond = F.raise_error(F.concat(F.lit("no line "), F.col("_line").cast("string"), F.lit(" in "), F.col("_file")))
+    asked = edits.filter("change_type = 'remove'").join(rows, at, "left").withColumn("_told", F.coalesce("_told", beyond))
+    named = F.trim(F.regexp_extract("_told", "^" + EDITED_INCLUDE, 1), F.lit('"'))
+    gone = asked.filter(F.col("_told").rlike("^" + EDITED_INCLUDE) & (named == F.col("header")))
+    gone = gone.groupBy("_file", "_line").agg(F.min("_turn").alias("_turn"), F.first("_told").alias("_told"))
+
+    include = F.concat(F.lit("#include "), F.when(F.col("header").startswith("<"), F.col("header")).otherwise(F.concat(F.lit('"'), F.col("header"), F.lit('"'))))
+    adds = edits.filter("change_type = 'add'").select("_file", "_line", "_turn", include.alias("_told"))
+    present = rows.filter(F.col("_told").startswith("#include ")).groupBy(F.col("file").alias("_file"), "_told").agg(F.count("*").alias("_more"))
+    events = adds.select("_file", "_told", "_turn", "_line", F.lit(0).cast("long").alias("_more"))
+    events = events.unionByName(present.select("_file", "_told", F.lit(0).alias("_turn"), F.lit(None).cast("int").alias("_line"), "_more"))
+    events = events.unionByName(gone.select("_file", "_told", "_turn", F.lit(None).cast("int").alias("_line"), F.lit(-1).cast("long").alias("_more")))
+    so_far = F.sum("_more").over(W.partitionBy("_file", "_told").orderBy("_turn").rowsBetween(W.unboundedPreceding, 0))
+    # The first addition that finds none is made; those after it find it.
+    made = events.withColumn("_have", so_far).filter("_line is not null and _have = 0").groupBy("_file", "_told").agg(F.min(F.struct("_turn", "_line")).alias("_a"))
+    made = made.select(F.col("_file").alias("file"), F.col("_a._line").alias("pos"), F.lit(0).alias("_kind"), F.col("_a._turn").alias("_turn"), F.concat("_told", F.lit("\n")).alias("_out"))
+
+    kept = rows.join(gone.select(F.col("_file").alias("_f"), F.col("_line").alias("_l")), (F.col("file") == F.col("_f")) & (F.col("pos") == F.col("_l")), "left_anti")
+    kept = kept.select("file", "pos", F.lit(1).alias("_kind"), F.lit(0).alias("_turn"), F.when(F.col("ended"), F.concat("line", F.lit("\n"))).otherwise(F.col("line")).alias("_out"))
+    merged = kept.unionByName(made).groupBy(F.col("file").alias("_file")).agg(F.sort_array(F.collect_list(F.struct("pos", "_kind", "_turn", "_out"))).alias("_rows"))
+    merged = merged.select("_file", F.array_join(F.transform("_rows", lambda r: r["_out"]), "").alias("_text"))
+    edited = edits.select(F.col("_file").alias("_changed")).distinct()
+    out = sources.select("file", "text").join(edited, F.col("file") == F.col("_changed"), "left").join(merged, F.col("file") == F.col("_file"), "left")
+    return out.select("file", F.when(F.col("_changed").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.coalesce("_text", F.lit(""))).alias("text"))

@@ -515,7 +515,7 @@ def f17_prevalent_subset(spark, d):
 
 
 def _changes(spark, d) -> DataFrame:
-    return spark_sql(spark, d, model.CHANGES).withColumn("extra", F.array(F.col("weight").cast("string"))).drop("weight")
+    return model.in_order(spark, d, model.CHANGES, "changes").withColumn("extra", F.array(F.col("weight").cast("string"))).drop("weight")
 
 
 @query(

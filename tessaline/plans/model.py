@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import materialize
+from ..storage import materialize, numbered
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
@@ -69,8 +69,10 @@ union all select {NATION('n_nationkey')}, cast(length(n_name) as bigint) from {{
 union all select {REGION('r_regionkey')}, cast(length(r_name) as bigint) from {{region}}) as sized
 """
 
+#: Changes in the order of line items; oracles number them by a window, queries by :func:`in_order`.
+ORDERED = "row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos, "
 CHANGES = f"""
-select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos,
+select {ORDERED}
   case l_returnflag when 'R' then 'remove' when 'A' then 'add' else 'other' end as change_type,
   l_linenumber as line, {order('l_orderkey')} as includer, {part('l_partkey')} as header, l_extendedprice as weight
 from {{lineitem}}
@@ -97,6 +99,14 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return _kept[key]
 
 
+def in_order(spark: SparkSession, sf_dir: str, text: str, name: str) -> DataFrame:
+    """A select that :data:`ORDERED` numbers, numbered by ranges and written once in a session."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    bare = text.replace(ORDERED, ", ".join(f"{c} as _o{i}" for i, c in enumerate(order)) + ", ")
+    make = lambda: numbered(spark_sql(spark, sf_dir, bare), [f"_o{i}" for i in range(len(order))], "pos").drop(*(f"_o{i}" for i in range(len(order))))
+    return kept(spark, sf_dir, name, make)
+
+
 def oracle(text: str) -> str:
     """The same text over DuckDB's views."""
     return text.format(**{t: t for t in TABLES})

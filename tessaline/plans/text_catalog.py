@@ -32,9 +32,13 @@ def rows(spark, d, sql: str, **ctes: str) -> DataFrame:
     return spark_sql(spark, d, ("with " + ", ".join(f"{n} as ({s})" for n, s in ctes.items()) + " " if ctes else "") + sql)
 
 
+def written_to(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/tessaline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def written(spark, lines: DataFrame, name: str) -> str:
     """A folder with the lines as text files, on the shared folder."""
-    path = f"{shared_folder(spark)}/tessaline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = written_to(spark, name)
     lines.write.text(path)
     return path
 
@@ -168,13 +172,14 @@ def c16_languages(spark, d):
     return rows(spark, d, f"select distinct {_NAME} as file from i", i=ITEMS).select("file", text.language_id(F.col("file")).alias("language"))
 
 
-_SOURCE = "'#include \"a.h\"' || chr(10) || 'int x;' || chr(10) || '#include <v>' || chr(10)"
+# A form feed doesn't end a line.
+_SOURCE = "'#include \"a.h\"' || chr(10) || 'int x;' || chr(12) || chr(10) || '#include <v>' || chr(10)"
 
 
 @query(
     "t1_apply_changes",
     with_ctes(
-        f"select 'o/' || {ID} as file, string_agg('#include \"' || h || '\"' || chr(10), '' order by first) || 'int x;' || chr(10) || '#include <v>' || chr(10) as text from (select id, {_HEADER} as h, min(n) as first from i group by id, p % 5) x group by id",
+        f"select 'o/' || {ID} as file, string_agg('#include \"' || h || '\"' || chr(10), '' order by first) || 'int x;' || chr(12) || chr(10) as text from (select id, {_HEADER} as h, min(n) as first from i group by id, p % 5) x group by id",
         i=ITEMS,
     ),
 )
@@ -183,15 +188,14 @@ def t1_apply_changes(spark, d):
     changes = rows(
         spark, d,
         f"select 10 * n as pos, 'add' as change_type, 1 as line, 'o/' || {ID} as includer, {_HEADER} as header from i union all select 10 * n + 1, 'add', 1, 'o/' || {ID}, '<v>' from i "
-        f"union all select distinct 0, 'remove', 0, 'o/' || {ID}, 'a.h' from i union all select distinct 1, 'remove', 1, 'o/' || {ID}, 'int x;' from i", i=ITEMS,
+        f"union all select distinct 0, 'remove', 0, 'o/' || {ID}, 'a.h' from i union all select distinct 1, 'remove', 1, 'o/' || {ID}, 'int x;' from i union all select distinct 2, 'remove', 2, 'o/' || {ID}, '<v>' from i", i=ITEMS,
     )
     return text.apply_changes(sources, changes)
 
 
-@query("l8_first_changes", "select l_orderkey as pos, change_type from (select l_orderkey, case l_returnflag when 'R' then 'remove' when 'A' then 'add' else 'other' end as change_type, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as k from {lineitem}) x where k = 1 and change_type <> 'other' order by l_orderkey limit 100")
+@query("l8_first_changes", with_ctes("select pos, change_type, line, includer, header from c where change_type <> 'other' order by pos limit 100", c=model.CHANGES))
 def l8_first_changes(spark, d):
-    changes = rows(spark, d, "select id as pos, case f when 'R' then 'remove' when 'A' then 'add' else 'other' end as change_type from i where n = 1", i=ITEMS)
-    return text.first_changes(changes, 100)
+    return text.first_changes(model.in_order(spark, d, model.CHANGES, "changes"), 100).select("pos", "change_type", "line", "includer", "header")
 
 
 _PARENT = "case when o_orderkey % 3 = 0 then cast(o_orderkey + 1 as varchar(20)) end"
@@ -213,13 +217,13 @@ def c11_failed_builds(spark, d):
 
 _KIND = "case l_returnflag when 'R' then 'remove' when 'A' then 'add' else 'other' end"
 VARIANTS = (
-    f"select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos, {_KIND} as change_type, l_linenumber as line, {model.order('l_orderkey')} as includer, "
+    f"select {model.ORDERED}{_KIND} as change_type, l_linenumber as line, {model.order('l_orderkey')} as includer, "
     f"case l_linenumber % 4 when 0 then '<__x' || {N.format('l_partkey')} || '>' when 1 then 'm' || {N.format('l_partkey % 3')} || '.mojom.h' when 2 then 'm' || {N.format('l_partkey % 3')} || '.mojom-forward.h' else {model.part('l_partkey')} end as header from {{lineitem}}"
 )
 
 
 def _variants(spark, d) -> DataFrame:
-    return spark_sql(spark, d, VARIANTS).withColumn("extra", F.array().cast("array<string>"))
+    return model.in_order(spark, d, VARIANTS, "variants").withColumn("extra", F.array().cast("array<string>"))
 
 
 _KNOWN = "c.change_type <> 'other' and not starts_with(c.header, '<__')"
@@ -277,9 +281,7 @@ def f14_listed_weights(spark, d):
 @query("f22_unused_edges", with_ctes("select distinct e.dst as key, e.src, e.dst from e join u on u.src = e.src and u.dst = e.dst where e.dst in ('part/5.h', 'part/6.h', 'part/12.h')", e=model.EDGES, u=model.UNUSED))
 def f22_unused_edges(spark, d):
     targets = spark.createDataFrame([("part/5.h",), ("part/6.h",), ("part/12.h",)], "node string")
-    unused = spark_sql(spark, d, model.UNUSED).select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
-    listed = closure.includers(_edges(spark, d), targets)
-    return listed.join(unused, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left_semi")
+    return closure.includers(_edges(spark, d), targets, unused=spark_sql(spark, d, model.UNUSED))
 
 
 @query("f23_ignored_and_removed", with_ctes("select distinct src, dst from u intersect select src, dst from e where esize >= 30", e=model.EDGES, u=model.UNUSED))
@@ -330,7 +332,7 @@ def n1_resolve_system_includes(spark, d):
     ),
 )
 def g24_suggested_adds(spark, d):
-    changes = spark_sql(spark, d, model.CHANGES).withColumn("extra", F.array(F.col("weight").cast("string"))).drop("weight")
+    changes = model.in_order(spark, d, model.CHANGES, "changes").withColumn("extra", F.array(F.col("weight").cast("string"))).drop("weight")
     rules = spark.createDataFrame([("add", "header", None, "part/5.h")], "op string, kind string, includer string, header string")
     return closure.suggested_adds(changes, _files(spark, d), [], "none/", "none/", "none", ignores=rules)
 
@@ -429,9 +431,10 @@ def k1_csv_lines(spark, d):
     return spark_sql(spark, d, f"select c_custkey, {_TRICKY} as t, c_mktsegment from {{customer}}").select("c_custkey", sinks.csv_line(F.col("t"), F.col("c_custkey"), F.col("c_mktsegment")).alias("line"))
 
 
-@query("k2_percentages", "select c_custkey, printf('%.2f', c_custkey / 8.0::double) as pct from {customer} where c_custkey % 8 in (0, 2, 4, 6)")
+@query("k2_percentages", "select c_custkey, printf('%.2f', c_custkey / 8.0::double) as pct, printf('%.2f', c_acctbal / 7.0::double) as share, printf('%.2f', (c_custkey * 5 - 0.0::double) / 1000.0::double) as small from {customer}")
 def k2_percentages(spark, d):
-    return spark_sql(spark, d, "select c_custkey, c_custkey / 8.0d as x from {customer} where c_custkey % 8 in (0, 2, 4, 6)").select("c_custkey", sinks.percent(F.col("x")).alias("pct"))
+    found = spark_sql(spark, d, "select c_custkey, c_custkey / 8.0d as x, c_acctbal / 7.0d as y, c_custkey * 5 / 1000.0d as z from {customer}")
+    return found.select("c_custkey", *(sinks.percent(F.col(c)).alias(name) for c, name in (("x", "pct"), ("y", "share"), ("z", "small"))))
 
 
 @query("k3_thousands", "select o_orderkey, format('{{:,}}', o_orderkey * 1000) as shown from {orders}")
@@ -448,8 +451,10 @@ def k4_json(spark, d):
 def k6_prepended_edges(spark, d):
     old = spark_sql(spark, d, "select c_custkey as pos, 'c' || cast(c_custkey as varchar(20)) as src, 'n,' || cast(c_nationkey as varchar(20)) as dst from {customer}")
     new = spark_sql(spark, d, "select s_suppkey as pos, 's' || cast(s_suppkey as varchar(20)) as src, 'n' as dst from {supplier}")
-    lines = sinks.prepend_edges(new, old).collect()  # what is written to one file, in its order
-    return spark.createDataFrame([(i, r["line"]) for i, r in enumerate(lines, 1)], "pos int, line string")
+    lines = sinks.prepend_edges(new, old)
+    path = written_to(spark, "prepended")
+    sinks.write_lines(lines, path)
+    return sinks.read_lines(spark, path).select(F.col("pos").cast("int").alias("pos"), "line")
 
 
 # Dates, snapshots, lists.

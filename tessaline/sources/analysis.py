@@ -108,10 +108,15 @@ def listed_paths(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_sources(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    """``file, text`` of source files below ``root``."""
-    texts = spark.read.text([f"{root.rstrip('/')}/{n}" for n in names], wholetext=True).select("_metadata.file_path", F.col("value").alias("text"))
-    asked = spark.createDataFrame([(n,) for n in names], "file string")
-    return texts.join(F.broadcast(asked), F.col("file_path").endswith(F.concat(F.lit("/"), F.col("file")))).select("file", "text")
+    """``file, text`` of the named source files below ``root`` (S17); each is found by its whole path."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") or "/")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    address = lambda n: files.makeQualified(jvm.org.apache.hadoop.fs.Path(folder, n)).toUri().toString()
+    asked = spark.createDataFrame([(n, address(n)) for n in dict.fromkeys(names)], "file string, _address string")
+    texts = spark.read.text([f"{root.rstrip('/')}/{n}" for n in dict.fromkeys(names)], wholetext=True).select("_metadata.file_path", F.col("value").alias("text"))
+    bare = lambda c: F.regexp_replace(c, "^([a-z]+):/+", "$1:/")  # noqa: E731 (file:/x and file:///x are one address)
+    return texts.join(F.broadcast(asked), bare(F.col("file_path")) == bare(F.col("_address"))).select("file", "text")
 
 
 def read_header_results(spark: SparkSession, path: str) -> DataFrame:

@@ -6,9 +6,11 @@ import csv
 import os
 from typing import TextIO
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import numbered
+
 
 def write_csv_stream(df: DataFrame, out: TextIO) -> None:
     """Rows in the standard library's CSV dialect (K1), one partition at a time."""
@@ -32,8 +34,23 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def percent(column: Column) -> Column:
-    """Two decimals (K2)."""
-    return F.format_string("%.2f", column)
+    """Two decimals (K2), of the double's exact binary value, ties to even.
+
+    A hundred times the value is the product as a double and its exact error, which
+    decides where the product lies at a tie.  From 2**46 on, the platform's own
+    formatting serves.
+    """
+    x = F.abs(column.cast("double"))
+    product, whole = x * 100.0, F.floor(x * 100.0)
+    split = x * 134217729.0  # 2**27 + 1: its upper half times 100 is exact
+    upper = split - (split - x)
+    error = (upper * 100.0 - product) + (x - upper) * 100.0
+    over = (product - whole.cast("double")) - 0.5
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    hundredths = whole + F.when(up, 1).otherwise(0)
+    sign = F.when(column.cast("double").cast("string").startswith("-"), "-").otherwise("")  # of a negative zero too
+    shown = F.concat(sign, (F.floor(hundredths / 100)).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+    return F.when(F.isnan(column) | (x >= float(1 << 46)), F.format_string("%.2f", column)).otherwise(shown)
 
 
 def thousands(column: Column) -> Column:
@@ -47,9 +64,20 @@ def to_json(df: DataFrame) -> DataFrame:
 
 
 def prepend_edges(new: DataFrame, old: DataFrame) -> DataFrame:
-    """``line`` of an edge list with the new edges before the old, each in order of ``pos`` (K6)."""
-    rows = [d.select(F.lit(i).alias("_prio"), "pos", csv_line(F.col("src"), F.col("dst")).alias("line")) for i, d in enumerate((new, old))]
-    return rows[0].unionByName(rows[1]).orderBy("_prio", "pos").select("line")
+    """``pos, line`` of an edge list with the new edges before the old, each in order of its ``pos`` (K6)."""
+    rows = [d.select(F.lit(i).alias("_prio"), F.col("pos").alias("_pos"), csv_line(F.col("src"), F.col("dst")).alias("line")) for i, d in enumerate((new, old))]
+    return numbered(rows[0].unionByName(rows[1]), ["_prio", "_pos", "line"], "pos").select("pos", "line")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines of ``pos, line`` as text files whose names, put in order, give the lines in order."""
+    lines.repartitionByRange("pos").sortWithinPartitions("pos").select("line").write.text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``pos, line`` of what :func:`write_lines` wrote: numbered by file name and place in the file."""
+    read = spark.read.text(path).select(F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    return numbered(read, ["_file", "_block", "_row"], "pos").select("pos", "line")
 
 
 def save_sources(texts: DataFrame, root: str, dry_run: bool = True) -> list[str]:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,6 +64,27 @@ def cleanup(spark: SparkSession) -> None:
     files.delete(folder, True)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: the place of each row, from 1, in the order of those columns.
+
+    Rows are dealt by ranges of the order, and each range's rows are counted from what
+    the ranges before it hold, so no task has more than a range.  Rows alike in all of
+    ``order`` have places next to each other, the same whenever the result is read.
+    """
+    columns = [F.col(c) for c in order]
+    dealt = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialize(dealt, "numbered")
+    place = F.shiftright("_at", 33)
+    before, rows = 0, []
+    for part, n in sorted(dealt.groupBy(place.alias("part")).count().collect()):  # one row a range
+        rows.append((part, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(rows, "_part long, _before long")
+    within = F.col("_at").bitwiseAND((1 << 33) - 1)
+    joined = dealt.join(F.broadcast(offsets), place == F.col("_part"))
+    return joined.withColumn(name, F.col("_before") + within + 1).drop("_at", "_part", "_before")
+
+
 def part_of(table: DataFrame, df: DataFrame) -> DataFrame:
     """``df``, a projection or filter of ``table``, as cheap to read again as a stored ``table`` is."""
     df.is_stored = getattr(table, "is_stored", False)

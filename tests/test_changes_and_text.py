@@ -1,11 +1,14 @@
 import io
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessaline.operators import filters, metrics, text, trends
 from tessaline.sources import analysis, sinks
+from tessaline.storage import numbered
 
 
 def changes(spark, rows):
@@ -144,6 +147,67 @@ def test_apply_changes(spark):
     assert got == {"a.cc": '#include "y.h"\nint a;\n#include <v>\n', "b.cc": "int b;\n"}
 
 
+def edited_plainly(source, edits):
+    """The text after edits one at a time, on lines that remember their place in the source."""
+    parts = source.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    rows = [(i, x + "\n") for i, x in enumerate(parts[:-1])] + ([(len(parts) - 1, parts[-1])] if parts[-1] else [])
+    for _, kind, at, header in sorted(edits, key=lambda e: (e[2], e[0])):
+        line = f"#include {header}" if header.startswith("<") else f'#include "{header}"'
+        if kind == "remove":
+            for k, (i, told) in enumerate(rows):
+                m = re.match(r"#include ([\"<](.*)[\">])", told.strip())
+                if i == at and m and m[1].strip('"') == header:
+                    del rows[k]
+                    break
+        elif kind == "add" and all(told.strip() != line for _, told in rows):
+            rows.append((at - 0.5, line + "\n"))
+            rows.sort(key=lambda r: r[0])
+    return "".join(told for _, told in rows)
+
+
+def test_apply_changes_by_plain_edits(spark):
+    rng = random.Random(9)
+    lines = ['#include "a.h"', "  #include <v>  ", '#include "b/a.h" // x', "int x;\f", "", '#include "a.h"', "\x0b#include <w>", "\u2028y"]
+    sources, changes = [], []
+    for f in range(60):
+        texts = [rng.choice(lines) for _ in range(rng.randint(1, 7))]
+        sources.append((f"f{f}.cc", "".join(x + rng.choice(["\n", "\n", "\r\n", "\r"]) for x in texts[:-1]) + texts[-1] + rng.choice(["", "\n"])))
+        whole = edited_plainly(sources[-1][1], [])
+        n = whole.count("\n") + (whole[-1:] not in ("", "\n"))
+        for pos in range(rng.randint(0, 6)):
+            kind = rng.choice(["add", "add", "remove", "other"] if n else ["add", "other"])
+            changes.append((pos, kind, rng.randrange(n + 2) if kind == "add" or n == 0 else rng.randrange(n), f"f{f}.cc", rng.choice(["a.h", "<v>", "b/a.h", "new.h", "<w>"])))
+    schema = "pos long, change_type string, line int, includer string, header string"
+    got = {r["file"]: r["text"] for r in text.apply_changes(spark.createDataFrame(sources, "file string, text string"), spark.createDataFrame(changes, schema)).collect()}
+    for file, source in sources:
+        own = [(c[0], c[1], c[2], c[4]) for c in changes if c[3] == file]
+        assert got[file] == (edited_plainly(source, own) if any(c[1] != "other" for c in own) else source), (source, own)
+    beyond = spark.createDataFrame([(0, "remove", 99, "f1.cc", "a.h")], schema)
+    with pytest.raises(Exception, match="no line 99 in f1.cc"):
+        text.apply_changes(spark.createDataFrame(sources, "file string, text string"), beyond).collect()
+
+
+def test_sources_of_nested_names(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    for name, told in (("b.h", "outer"), ("a b/b.h", "inner"), ("a b/c+d%20.h", "odd")):
+        (tmp_path / name).write_text(told)
+    got = sorted(tuple(r) for r in analysis.read_sources(spark, str(tmp_path), ["b.h", "a b/b.h", "a b/c+d%20.h", "b.h"]).collect())
+    assert got == [("a b/b.h", "inner"), ("a b/c+d%20.h", "odd"), ("b.h", "outer")]
+
+
+def test_percent_is_exact(spark):
+    values = [0.125, 2.675, 0.005, 0.015, 1.005, -0.125, -0.001, -0.0, 0.0, 1e9 + 0.125, 123456789.375, 33.333333, 99.995, 0.995, 1 / 3] + [i / 8 for i in range(200)] + [random.Random(2).uniform(-1000, 1000) for _ in range(300)]
+    rows = spark.createDataFrame([(float(v),) for v in values], "x double").select("x", sinks.percent(F.col("x")).alias("p")).collect()
+    assert all(r["p"] == f"{r['x']:.2f}" for r in rows)
+
+
+def test_numbering_by_ranges(spark):
+    rows = [(i % 7, (i * 37) % 101, i) for i in range(500)]
+    got = numbered(spark.createDataFrame(rows, "a int, b int, c int").repartition(5), ["a", "b", "c"], "pos").collect()
+    assert [(r["a"], r["b"], r["c"]) for r in sorted(got, key=lambda r: r["pos"])] == sorted(rows) and sorted(r["pos"] for r in got) == list(range(1, 501))
+    assert numbered(spark.createDataFrame([], "a int"), ["a"], "pos").collect() == []
+
+
 def test_trends(spark):
     index = spark.createDataFrame([("2024-01-30 00:00:00",), ("2024-01-29 12:00:00",), ("2024-01-20 00:00:00",)], "s string").select(F.col("s").cast("timestamp").alias("snapshot"))
     got = [(r["days"], r["age"]) for r in trends.nearest_older(index, "2024-01-30 01:00:00", [0, 3, 7]).orderBy("days").collect()]
