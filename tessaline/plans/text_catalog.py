@@ -6,10 +6,7 @@ that both engines run; oracles say from those tables what must come out.
 
 from __future__ import annotations
 
-import json
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -295,20 +292,40 @@ def f19_clean_commands(spark, d):
     return filters.clean_commands(db)
 
 
-_PREFIXES = [("v8", "v8/s.cc"), ("skip", "own.cc")]
+# A configuration whose dependencies are the regions, one in a file of its own, with rules from the nations.
+
+_R, _NA = "'dep/' || r_name", N.format("n_nationkey")
 
 
 @query(
     "f13_merged_rules",
-    "select * from (values ('skip', 'filename', 'own.cc', null), ('skip', 'filename', 'v8/s.cc', null), ('add', 'header', null, 'h.h'), ('add', 'header', null, 'v8/h.h'), "
-    "('add', 'edge', 'v8/a.cc', 'b.h'), ('remove', 'filename', 'third_party/x/f.cc', null), ('remove', 'header', null, 'own.h')) t(op, kind, includer, header)",
+    with_ctes(
+        "select distinct op, kind, includer, header from r",
+        n="select n_nationkey as k, n_name, r_name, r_regionkey from {nation} join {region} on r_regionkey = n_regionkey",
+        r=f"select 'skip' as op, 'filename' as kind, 'own/' || c_name as includer, cast(null as varchar) as header from {{customer}} union all select 'skip', 'filename', {_R} || '/' || n_name || '.cc', null from n "
+        f"union all select 'add', 'header', null, n_name || '.h' from n union all select 'add', 'header', null, {_R} || '/' || n_name || '.h' from n "
+        f"union all select 'remove', 'edge', {_R} || '/' || n_name || '.cc', 'x.h' from n union all select 'remove', 'filename', {_R} || '/r.cc', null from n",
+    ),
 )
 def f13_merged_rules(spark, d):
-    with tempfile.TemporaryDirectory() as folder:  # a configuration is read by the driver alone
-        (Path(folder) / "inner.json").write_text(json.dumps({"includeDirs": ["inc"], "headerMappings": {"k": "c"}, "ignores": {"skip": ["s.cc"], "add": {"headers": ["h.h"], "edges": [["a.cc", "b.h"]]}}}))
-        config = {"dependencies": {"v8": "inner.json", "third_party/x": {"ignores": {"remove": {"filenames": ["f.cc"]}}}}, "ignores": {"skip": ["own.cc"], "remove": {"headers": ["own.h"]}}}
-        (Path(folder) / "c.json").write_text(json.dumps(config))
-        return analysis.ignore_rules(spark, analysis.load_config(str(Path(folder) / "c.json")))
+    nations = spark_sql(spark, d, "select n_nationkey, n_name, r_name from {nation} join {region} on r_regionkey = n_regionkey")
+    each = nations.groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    ending = lambda e: F.transform("names", lambda n: F.concat(n, F.lit(e)))
+    rules = lambda **kinds: F.struct(*(v.alias(k) for k, v in kinds.items()))
+    ignores = rules(
+        skip=ending(".cc"), add=rules(headers=ending(".h")),
+        remove=rules(filenames=F.array(F.lit("r.cc")), edges=F.transform("names", lambda n: F.array(F.concat(n, F.lit(".cc")), F.lit("x.h")))),
+    )
+    inner = each.select(F.concat(F.lit("dep/"), "r_name").alias("dep"), F.to_json(rules(ignores=ignores)).alias("told"))
+    apart = F.col("dep") == "dep/ASIA"
+    named = inner.select("dep", F.when(apart, F.lit("asia.json")).otherwise(F.col("told")).alias("told"))
+    own = spark_sql(spark, d, "select 'own/' || c_name as name from {customer}").agg(F.collect_list("name").alias("skip"))
+    # The dependency of the file is a JSON string, the others are JSON objects.
+    entry = F.concat(F.lit('"'), "dep", F.lit('":'), F.when(apart, F.lit('"asia.json"')).otherwise(F.col("told")))
+    main = named.agg(F.array_join(F.collect_list(entry), ",").alias("deps")).crossJoin(own)
+    value = F.concat(F.lit('{"dependencies":{'), "deps", F.lit('},"ignores":'), F.to_json(F.struct("skip")), F.lit("}"))
+    configs = main.select(F.lit("").alias("name"), value.alias("value")).unionByName(inner.filter(apart).select(F.lit("asia.json").alias("name"), F.col("told").alias("value")))
+    return analysis.ignore_rules(analysis.merged_configs(configs))
 
 
 @query(

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path, PurePosixPath
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,44 +141,63 @@ def gist_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"^https?://gist\.github(?:usercontent)?\.com/[^/]+/([a-f0-9]+)", 1), F.lit(""))
 
 
-def load_config(path: str) -> dict:
-    """A configuration with its dependencies' ignores merged in (S14, F13); a missing file is an error.
+#: A configuration as it is written; a dependency is another one, or the name of its file.
+RULES = "struct<filenames: array<string>, headers: array<string>, edges: array<array<string>>>"
+CONFIG = f"dependencies map<string, string>, includeDirs array<string>, ignores struct<skip: array<string>, add: {RULES}, remove: {RULES}>, headerMappings map<string, string>"
+
+
+def read_configs(spark: SparkSession, path: str) -> DataFrame:
+    """``name, value``: a configuration file and those it names beside it (S14); a missing one is an error."""
+    folder = path.rpartition("/")[0]
+    text = lambda paths: spark.read.text(paths, wholetext=True)
+    main = text([path]).select(F.lit("").alias("name"), "value")
+    named = main.select(F.explode(F.map_values(F.from_json("value", CONFIG)["dependencies"])).alias("d")).filter("not startswith(ltrim(d), '{')").distinct()
+    for r in named.collect():  # a configuration's dependencies, as few as a person lists
+        main = main.unionByName(text([f"{folder}/{r['d']}" if folder else r["d"]]).select(F.lit(r["d"]).alias("name"), "value"))
+    return main
+
+
+def merged_configs(configs: DataFrame) -> DataFrame:
+    """``dependency, c``: the configuration of the empty name (dependency null) and its
+    dependencies, each with its parsed text; broken JSON is an error (D6)."""
+    parsed = F.from_json("value", CONFIG, {"mode": "FAILFAST"})
+    own = configs.filter("name = ''").select(F.lit(None).cast("string").alias("dependency"), parsed.alias("c"))
+    inner = own.select(F.explode("c.dependencies").alias("dependency", "_told"))
+    beside = configs.filter("name <> ''").select(F.col("name").alias("_name"), F.col("value").alias("_value"))
+    found = inner.join(beside, F.col("_told") == F.col("_name"), "left")
+    text = F.when(F.ltrim("_told").startswith("{"), F.col("_told")).otherwise(F.coalesce("_value", F.raise_error(F.concat(F.lit("no configuration "), F.col("_told")))))
+    return own.unionByName(found.select("dependency", F.from_json(text, CONFIG, {"mode": "FAILFAST"}).alias("c")))
+
 
-    A dependency's path joins ``includeDirs`` and prefixes its skips, filenames and
-    edge includers; its headers count both bare and prefixed.  Its include folders,
-    mappings and own dependencies don't count.
+def ignore_rules(configs: DataFrame) -> DataFrame:
+    """``op, kind, includer, header`` rows of :func:`merged_configs`.
+
+    A dependency's name prefixes its skips, filenames and edge includers; its headers
+    count both bare and prefixed.  Its own dependencies don't count.
     """
-    config = json.loads(Path(path).read_text(encoding="utf-8"))
-    ignores = config.setdefault("ignores", {})
-    for prefix, inner in config.get("dependencies", {}).items():
-        config.setdefault("includeDirs", []).append(prefix)
-        if isinstance(inner, str):
-            inner = json.loads((Path(path).parent / inner).read_text(encoding="utf-8"))
-        below = lambda names, p=prefix: [str(PurePosixPath(p) / n) for n in names]
-        theirs = inner.get("ignores", {})
-        ignores["skip"] = ignores.get("skip", []) + below(theirs.get("skip", []))
-        for op in ("add", "remove"):
-            own, rules = ignores.setdefault(op, {}), theirs.get(op, {})
-            headers = rules.get("headers", [])
-            own["filenames"] = own.get("filenames", []) + below(rules.get("filenames", []))
-            own["headers"] = own.get("headers", []) + [h for pair in zip(headers, below(headers)) for h in pair]
-            own["edges"] = own.get("edges", []) + [[below([a])[0], b] for a, b in rules.get("edges", [])]
-    return config
-
-
-def ignore_rules(spark: SparkSession, config: dict) -> DataFrame:
-    """``op, kind, includer, header`` rows of a configuration."""
-    ignores = config.get("ignores", {})
-    rows = [("skip", "filename", f, None) for f in ignores.get("skip", [])]
+    below = lambda name: F.when(F.col("dependency").isNull(), name).otherwise(F.concat(F.rtrim("dependency", F.lit("/")), F.lit("/"), name))
+    none = F.lit(None).cast("string")
+
+    def rules(op: str, kind: str, values: str, includer, header) -> DataFrame:
+        rows = configs.select("dependency", F.explode(f"c.ignores.{values}").alias("x"))
+        return rows.select(F.lit(op).alias("op"), F.lit(kind).alias("kind"), includer.alias("includer"), header.alias("header"))
+
+    x = F.col("x")
+    out = rules("skip", "filename", "skip", below(x), none)
     for op in ("add", "remove"):
-        rules = ignores.get(op, {})
-        rows += [(op, "filename", f, None) for f in rules.get("filenames", [])]
-        rows += [(op, "header", None, h) for h in rules.get("headers", [])]
-        rows += [(op, "edge", a, b) for a, b in rules.get("edges", [])]
-    return spark.createDataFrame(rows, "op string, kind string, includer string, header string")
+        out = out.unionByName(rules(op, "filename", f"{op}.filenames", below(x), none)).unionByName(rules(op, "header", f"{op}.headers", none, x))
+        out = out.unionByName(rules(op, "header", f"{op}.headers", none, below(x)).filter("header is not null"))
+        out = out.unionByName(rules(op, "edge", f"{op}.edges", below(F.get(x, F.lit(0))), F.get(x, F.lit(1))))
+    return out.distinct()
+
+
+def include_dirs(configs: DataFrame) -> list[str]:
+    """The include folders in order, then the dependencies (F13): as few as a person lists."""
+    own = [r["d"] for r in configs.filter("dependency is null").select(F.posexplode("c.includeDirs").alias("pos", "d")).orderBy("pos").collect()]
+    named = configs.filter("dependency is null").select(F.posexplode("c.dependencies").alias("pos", "d", "_")).orderBy("pos")
+    return own + [r["d"] for r in named.collect()]
 
 
-def header_mappings(spark: SparkSession, config: dict) -> DataFrame:
-    """``src, canonical, ord`` of a configuration's header mappings."""
-    rows = [(k, v, i) for i, (k, v) in enumerate(config.get("headerMappings", {}).items())]
-    return spark.createDataFrame(rows, "src string, canonical string, ord int")
+def header_mappings(configs: DataFrame) -> DataFrame:
+    """``src, canonical, ord`` of the configuration's own header mappings."""
+    return configs.filter("dependency is null").select(F.posexplode("c.headerMappings").alias("ord", "src", "canonical")).select("src", "canonical", "ord")

@@ -89,12 +89,17 @@ def test_missing_prefixes_are_errors(spark):
 def test_config_merge(spark, tmp_path):
     (tmp_path / "inner.json").write_text(json.dumps({"includeDirs": ["inc"], "ignores": {"skip": ["s.cc"], "add": {"headers": ["h.h"], "edges": [["a.cc", "b.h"]]}}}))
     (tmp_path / "c.json").write_text(json.dumps({"dependencies": {"v8": "inner.json"}, "headerMappings": {"k": "c"}}))
-    config = analysis.load_config(str(tmp_path / "c.json"))
-    assert config["includeDirs"] == ["v8"] and config["ignores"]["skip"] == ["v8/s.cc"] and config["headerMappings"] == {"k": "c"}
-    assert config["ignores"]["add"]["headers"] == ["h.h", "v8/h.h"] and config["ignores"]["add"]["edges"] == [["v8/a.cc", "b.h"]]
-    assert analysis.ignore_rules(spark, config).count() == 4
-    with pytest.raises(FileNotFoundError):
-        analysis.load_config(str(tmp_path / "none.json"))
+    configs = analysis.merged_configs(analysis.read_configs(spark, str(tmp_path / "c.json")))
+    assert analysis.include_dirs(configs) == ["v8"] and [tuple(r) for r in analysis.header_mappings(configs).collect()] == [("k", "c", 0)]
+    assert {tuple(r) for r in analysis.ignore_rules(configs).collect()} == {("skip", "filename", "v8/s.cc", None), ("add", "header", None, "h.h"), ("add", "header", None, "v8/h.h"), ("add", "edge", "v8/a.cc", "b.h")}
+    with pytest.raises(Exception, match="none.json"):
+        analysis.read_configs(spark, str(tmp_path / "none.json")).collect()
+    (tmp_path / "c.json").write_text(json.dumps({"includeDirs": ["x"], "dependencies": {"b": {"ignores": {"remove": {"filenames": ["f"]}}}, "a": "inner.json"}}))
+    configs = analysis.merged_configs(analysis.read_configs(spark, str(tmp_path / "c.json")))
+    assert analysis.include_dirs(configs) == ["x", "b", "a"] and ("remove", "filename", "b/f", None) in {tuple(r) for r in analysis.ignore_rules(configs).collect()}
+    (tmp_path / "c.json").write_text("{}")
+    configs = analysis.merged_configs(analysis.read_configs(spark, str(tmp_path / "c.json")))
+    assert analysis.include_dirs(configs) == [] and analysis.ignore_rules(configs).collect() == []
 
 
 DIFF = """diff --git a/f.cc b/f.cc
