@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize, part_of, stored
 from .filters import filter_changes, resolve_includes
+from .reach import reaching_roots
 
 
 def simple_graph(edges: DataFrame) -> DataFrame:
@@ -61,20 +62,6 @@ def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return closure(edges, seeds).filter("node <> key")
 
 
-def reaching_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """``node, n_roots``: roots among each node's ancestors, itself excluded.
-
-    What a root reaches is what its direct includes reach, so closures are kept for
-    those, which many roots share, and only the last join is by root.
-    """
-    edges = stored(edges, "reach-edges")
-    sources = roots.select(F.col("node").alias("root")).distinct()
-    hops = materialize(sources.join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("hop")).distinct(), "reach-hops")
-    reached = closure(edges, hops.select(F.col("hop").alias("key"), F.col("hop").alias("node")))
-    pairs = hops.join(reached, F.col("hop") == F.col("key")).filter(F.col("node") != F.col("root")).select("root", "node").distinct()
-    return pairs.groupBy("node").agg(F.count("*").alias("n_roots"))
-
-
 def root_count(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> DataFrame:
     """``target, n_roots`` for a list of targets by reverse closures (G8); 0 where none reaches it."""
     targets = targets.select(F.col("node").alias("target")).distinct()
@@ -216,7 +203,7 @@ def entry_points(edges: DataFrame, roots: DataFrame, subset: DataFrame) -> DataF
     e = simple_graph(edges)
     inside = e.join(members, F.col("src") == F.col("_m"), "left_semi").join(members, F.col("dst") == F.col("_m"), "left_semi")
     outer = materialize(without_edges(e, inside), "entry-edges")
-    reached = descendants(outer, roots).select("node").distinct()
+    reached = reaching_roots(outer, roots).select("node")
     return reached.join(members, F.col("node") == F.col("_m"), "left_semi")
 
 

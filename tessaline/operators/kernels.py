@@ -9,9 +9,88 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+
 INFINITE = float("inf")
 
 
+def _out_edges(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where every node's targets begin, and the targets."""
+    order = np.argsort(src, kind="stable")
+    return np.searchsorted(src[order], np.arange(n + 1)), dst[order]
+
+
+def _peel(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest path to each node over what no cycle leads to, and which nodes those are."""
+    start, to = _out_edges(n, src, dst)
+    waiting = np.bincount(dst, minlength=n)
+    level, done = np.zeros(n, np.int64), waiting == 0
+    front = np.flatnonzero(done)
+    at = 0
+    while len(front):
+        lengths = start[front + 1] - start[front]
+        reached = to[np.repeat(start[front] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        np.subtract.at(waiting, reached, 1)
+        front = np.unique(reached[waiting[reached] == 0])
+        at += 1
+        level[front], done[front] = at, True
+    return level, done
+
+
+def strong_components(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of every node's strong component, and by component the longest path of components to it.
+
+    What lies before and after all cycles is peeled off in whole layers; depth-first
+    search with low links goes over the rest.
+    """
+    other = src != dst
+    s, d = src[other], dst[other]
+    _, before = _peel(n, s, d)
+    _, after = _peel(n, d, s)
+    core = ~(before | after)
+    component = np.arange(n)
+    inside = core[s] & core[d]
+    start, to = _out_edges(n, s[inside], d[inside])
+    begin, to = start.tolist(), to.tolist()
+    index, low, on_stack, path, count = [-1] * n, [0] * n, [False] * n, [], 0
+    for root in np.flatnonzero(core).tolist():
+        if index[root] >= 0:
+            continue
+        work = [(root, begin[root])]
+        index[root] = low[root] = count
+        count += 1
+        path.append(root)
+        on_stack[root] = True
+        while work:
+            node, at = work.pop()
+            if at < begin[node + 1]:
+                work.append((node, at + 1))
+                child = to[at]
+                if index[child] < 0:
+                    index[child] = low[child] = count
+                    count += 1
+                    path.append(child)
+                    on_stack[child] = True
+                    work.append((child, begin[child]))
+                elif on_stack[child]:
+                    low[node] = min(low[node], index[child])
+                continue
+            if low[node] == index[node]:
+                while True:
+                    member = path.pop()
+                    on_stack[member] = False
+                    component[member] = node
+                    if member == node:
+                        break
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[node])
+    _, component = np.unique(component, return_inverse=True)
+    between = component[s] != component[d]
+    pairs = np.unique(np.stack([component[s[between]], component[d[between]]], axis=1), axis=0) if between.any() else np.zeros((0, 2), np.int64)
+    level, _ = _peel(int(component.max()) + 1 if n else 0, pairs[:, 0], pairs[:, 1])
+    return component, level
+
+
 def immediate_dominators(n: int, successors: Sequence[Sequence[int]], root: int) -> list[int]:
     """Immediate dominator of every node (root: itself; unreachable: -1).
 
