@@ -181,16 +181,31 @@ def dominated_weights(n: int, edges: Sequence[tuple[int, int]], root: int, weigh
 
 
 def min_cut(n: int, edges: Iterable[tuple[int, int, float]], source: int, sink: int) -> tuple[float, list[int]]:
-    """Value and edge numbers of the minimum cut closest to ``sink``.
+    """Value and edge numbers of the minimum cut closest to ``sink``: the edges into the sink's side.
 
-    Augments along shortest residual paths with blocking flows.  The sink's side
-    is what still reaches it in the residual graph; the cut is the edges into that
-    side, which is the same for every maximum flow.  An infinite value has no cut.
+    That side is the same for every maximum flow.  An infinite value has no cut.
+    """
+    given = list(edges)
+    value, reaches = _flow(n, given, source, sink)
+    if value == INFINITE:
+        return INFINITE, []
+    return value, [i for i, (a, b, c) in enumerate(given) if c > 0 and reaches[b] and not reaches[a]]
+
+
+def sink_side(n: int, edges: Sequence[tuple[int, int, float]], source: int, sink: int) -> list[bool]:
+    """What still reaches ``sink`` once a maximum flow runs; nothing where that is infinite."""
+    value, reaches = _flow(n, edges, source, sink)
+    return [False] * n if value == INFINITE else reaches
+
+
+def _flow(n: int, given: Sequence[tuple[int, int, float]], source: int, sink: int) -> tuple[float, list[bool]]:
+    """The maximum flow's value, and what still reaches the sink in the residual graph.
+
+    Augments along shortest residual paths with blocking flows.
     """
     head: list[list[int]] = [[] for _ in range(n)]
     to: list[int] = []
     room: list[float] = []
-    given = list(edges)
     for a, b, capacity in given:
         head[a].append(len(to))
         to.append(b)
@@ -218,7 +233,7 @@ def min_cut(n: int, edges: Iterable[tuple[int, int, float]], source: int, sink:
             if node == sink:
                 push = min(room[e] for e in path)
                 if push == INFINITE:
-                    return INFINITE, []
+                    return INFINITE, [False] * n
                 value += push
                 for e in path:
                     room[e] -= push
@@ -248,4 +263,4 @@ def min_cut(n: int, edges: Iterable[tuple[int, int, float]], source: int, sink:
             if room[e ^ 1] > 0 and not reaches[to[e]]:
                 reaches[to[e]] = True
                 queue.append(to[e])
-    return value, [i for i, (a, b, c) in enumerate(given) if c > 0 and reaches[b] and not reaches[a]]
+    return value, reaches

@@ -27,19 +27,65 @@ def include_of(line: Column) -> Column:
     return F.when(line.rlike(INCLUDE), F.trim(F.regexp_extract(line, INCLUDE, 1), F.lit('"')))
 
 
+#: Lines of one text that a task scans together; what passes from one such part to the next is a row a part.
+PART_LINES = 1 << 16
+
+
+def _parts(lines: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
+    """``lines`` with ``_part``, by ranges of ``pos``, and the key of a part."""
+    return lines.withColumn("_part", F.floor(F.col("pos") / PART_LINES)), ("id", "_part")
+
+
+def _onto_parts(lines: DataFrame, carried: DataFrame) -> DataFrame:
+    """``lines`` with what their parts carry, a row a part."""
+    carried = carried.withColumnRenamed("id", "_cid").withColumnRenamed("_part", "_cpart")
+    return lines.join(carried, F.col("id").eqNullSafe(F.col("_cid")) & (F.col("_part") == F.col("_cpart"))).drop("_cid", "_cpart")
+
+
 def diff_sections(diffs: DataFrame) -> DataFrame:
     """Lines of unified diffs with ``file_no, hunk_no, file``.
 
     Lines before the first file are file 0, lines before a file's first hunk its
     header (hunk 0).  ``file`` is the new name that the last ``diff --git`` line gives;
     added lines that look like a header don't change it.
+
+    A diff of any length is scanned in parts: each counts its own files and hunks, what
+    the parts before it hold is summed over one row a part, and added.
     """
-    order = W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    within = W.partitionBy("id", "file_no").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    out = diffs.withColumn("file_no", F.sum(F.col("line").startswith("diff --git").cast("int")).over(order))
-    out = out.withColumn("hunk_no", F.sum(F.col("line").startswith("@@").cast("int")).over(within))
+    columns = diffs.columns
+    diffs, part = _parts(diffs)
+    is_file, is_hunk = F.col("line").startswith("diff --git"), F.col("line").startswith("@@")
+    order = W.partitionBy(*part).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy(*part, "_files").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     named = F.when(F.col("line").rlike(DIFF_FILE), F.regexp_extract("line", DIFF_FILE, 1))
-    return out.withColumn("file", F.last(named, ignorenulls=True).over(order))
+    own = diffs.withColumn("_files", F.sum(is_file.cast("int")).over(order)).withColumn("_name", F.last(named, ignorenulls=True).over(order))
+    own = own.withColumn("_hunks", F.sum(is_hunk.cast("int")).over(within))
+    # A part's files, its last name, and its hunks since the last of its files began, or in all if none does.
+    ended = diffs.groupBy(*part).agg(F.count_if(is_file).alias("_n"), F.max_by(named, F.when(named.isNotNull(), F.col("pos"))).alias("_last"), F.max(F.when(is_file, F.col("pos"))).alias("_at"), F.array_sort(F.collect_list(F.when(is_hunk, F.col("pos")))).alias("_all"))
+    ended = ended.withColumn("_tail", F.size(F.filter("_all", lambda p: F.col("_at").isNull() | (p > F.col("_at")))))
+    before = W.partitionBy("id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    until = W.partitionBy("id").orderBy("_part").rowsBetween(W.unboundedPreceding, 0)
+    ended = ended.withColumn("_since", F.sum((F.col("_n") > 0).cast("int")).over(until))
+    ended = ended.withColumn("_open", F.sum("_tail").over(W.partitionBy("id", "_since").orderBy("_part").rowsBetween(W.unboundedPreceding, 0)))
+    ended = ended.select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_files_before"), F.last("_last", ignorenulls=True).over(before).alias("_name_before"), F.coalesce(F.last("_open").over(before), F.lit(0)).alias("_hunks_before"))
+    out = _onto_parts(own, ended)
+    hunks = F.col("_hunks") + F.when(F.col("_files") == 0, F.col("_hunks_before")).otherwise(0)
+    return out.select(*columns, (F.col("_files") + F.col("_files_before")).alias("file_no"), hunks.alias("hunk_no"), F.coalesce("_name", "_name_before").alias("file"))
+
+
+def _second_next(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``_caret``: the line two after each, also where that is in a later part."""
+    lines, part = _parts(lines)
+    order = W.partitionBy(*part).orderBy("pos")
+    own = lines.withColumn("_caret", F.lead("line", 2).over(order)).withColumn("_left", F.row_number().over(W.partitionBy(*part).orderBy(F.desc("pos"))))
+    first = lines.withColumn("_k", F.row_number().over(order)).filter("_k <= 2").groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_first"))
+    # Two parts that follow, if there are so many, have two lines at least.
+    parts = W.partitionBy("id").orderBy("_part")
+    none = F.array().cast(first.schema["_first"].dataType)
+    follows = F.concat(F.coalesce(F.lead("_first", 1).over(parts), none), F.coalesce(F.lead("_first", 2).over(parts), none))
+    out = _onto_parts(own, first.select(*part, follows.alias("_follows")))
+    across = F.get("_follows", F.lit(2) - F.col("_left"))["line"]
+    return out.withColumn("_caret", F.when(F.col("_left") <= 2, across).otherwise(F.col("_caret"))).drop("_left", "_follows", "_part")
 
 
 def added_includes(diffs: DataFrame) -> DataFrame:
@@ -64,6 +110,9 @@ def patch_for_header(diffs: DataFrame, header: str) -> DataFrame:
     s = diff_sections(diffs)
     body = (F.col("hunk_no") > 0) & ~F.col("line").startswith("@@")
     match = F.col("line").rlike(ADDED_INCLUDE) & (F.regexp_extract("line", ADDED_INCLUDE, 2) == header)
+    # A hunk whose header has no numbers can't be counted anew, and goes.
+    told = F.max((F.col("line").startswith("@@") & F.col("line").rlike(HUNK)).cast("int")).over(W.partitionBy("id", "file_no", "hunk_no"))
+    s = s.withColumn("_told", told).filter("hunk_no = 0 or _told = 1").drop("_told")
     kept = s.filter(~body | ~F.col("line").startswith("+") | match)
     kept = kept.withColumn("line", F.when(body & F.col("line").startswith("-"), F.concat(F.lit(" "), F.substring("line", 2, 1 << 30))).otherwise(F.col("line")))
     hunk = W.partitionBy("id", "file_no", "hunk_no")
@@ -97,11 +146,10 @@ def caret_range(line: Column) -> tuple[Column, Column]:
 def compile_errors(logs: DataFrame) -> DataFrame:
     """``id, pos, file, line_no, message, range_start, range_end`` of errors.
 
-    Errors of one log that agree in all of that but ``pos`` are told once, at the first.
+    A log of any length is read in parts.  Errors of one log that agree in all of that but ``pos`` are told once, at the first.
     """
-    after = F.lead("line", 2).over(W.partitionBy("id").orderBy("pos"))
     start, end = caret_range(F.col("_caret"))
-    hits = logs.withColumn("_caret", after).filter(F.regexp_extract("line", DIAGNOSTIC, 4) == "error")
+    hits = _second_next(logs).filter(F.regexp_extract("line", DIAGNOSTIC, 4) == "error")
     part = lambda n: F.regexp_extract("line", DIAGNOSTIC, n)
     found = hits.select("id", "pos", normalize_error_path(part(1)).alias("file"), part(2).cast("int").alias("line_no"), part(5).alias("message"), start.alias("range_start"), end.alias("range_end"))
     alike = ("id", "file", "line_no", "message", "range_start", "range_end")

@@ -60,6 +60,16 @@ def c12_compile_errors(spark, d):
     return _errors(spark, d)
 
 
+# All orders' logs, and all their diffs, as one text of many parts.
+
+_ONE = f"select cast(0 as bigint) as id, 100 * id + pos as pos, line from ({LOG}) l"
+
+
+@query("c12_one_log", with_ctes("select cast(0 as bigint) as id, min(100 * id + pos) as pos, file, line_no, message, range_start, range_end from e group by file, line_no, message, range_start, range_end", i=ITEMS, e=_ERRORS))
+def c12_one_log(spark, d):
+    return text.compile_errors(rows(spark, d, _ONE, i=ITEMS))
+
+
 @query("c8_caret_ranges", with_ctes("select line, case n % 4 when 0 then 3 when 1 then 2 end as range_start, case n % 4 when 0 then 6 when 1 then 5 end as range_end from c", i=ITEMS, c=f"select n, {_CARET} as line from i"))
 def c8_caret_ranges(spark, d):
     start, end = text.caret_range(F.col("line"))
@@ -117,6 +127,19 @@ def w2_diff_sections(spark, d):
     return text.diff_sections(_diff(spark, d)).select("id", "pos", "line", F.col("file_no").cast("long"), F.col("hunk_no").cast("long"), "file")
 
 
+@query(
+    "w2_one_diff",
+    with_ctes(
+        f"select 1000 * id + pos as pos, line, file_no, cast(case when pos % 20 < 3 then 0 when pos % 20 < 9 then 1 else 2 end as bigint) as hunk_no, {_FILE} as file "
+        "from (select k.id, k.n, x.pos, x.line, k.file_no from x join k on k.id = x.id and k.n = x.pos // 20) y",
+        i=ITEMS, x=DIFF, k="select id, n, row_number() over (order by id, n) as file_no from i",
+    ),
+)
+def w2_one_diff(spark, d):
+    one = rows(spark, d, f"select cast(0 as bigint) as id, 1000 * id + pos as pos, line from ({DIFF}) x", i=ITEMS)
+    return text.diff_sections(one).select("pos", "line", F.col("file_no").cast("long"), F.col("hunk_no").cast("long"), "file")
+
+
 @query("c10_added_includes", with_ctes(f"select id, {_HEADER} as header, {_FILE} as file, 20 * n + 5 as first_pos from i", i=ITEMS))
 def c10_added_includes(spark, d):
     return text.added_includes(_diff(spark, d))

@@ -129,6 +129,36 @@ def test_patch_for_header(spark):
     assert patch == 'diff --git a/f.cc b/f.cc\n--- a/f.cc\n+++ b/f.cc\n@@ -1,3 +1,4 @@ top\n one\n+#include "x.h"\n two\n three'
 
 
+@pytest.mark.parametrize("part_lines", [1, 2, 5, 1 << 16])
+def test_parts_of_long_diffs_and_logs(spark, monkeypatch, part_lines):
+    monkeypatch.setattr(text, "PART_LINES", part_lines)
+    rng = random.Random(part_lines)
+    texts = []
+    for k in range(12):
+        texts.append((k, "\n".join(rng.choice(["diff --git a/x b/y%d" % rng.randint(0, 9), "diff --git broken", "@@ -1 +1 @@", "+a", "b.cc:1:2: error: bad", " | ^~", "^"]) for _ in range(rng.randint(1, 25)))))
+    rows = text.lines(spark.createDataFrame(texts, "id long, text string"), "id", "text").filter("pos % 7 <> 3")
+    got = {(r["id"], r["pos"]): (r["file_no"], r["hunk_no"], r["file"]) for r in text.diff_sections(rows).collect()}
+    carets = {(r["id"], r["pos"]): r["_caret"] for r in text._second_next(rows).collect()}
+    for i, told in texts:
+        kept = [(pos, line) for pos, line in enumerate(told.split("\n")) if pos % 7 != 3]
+        file_no = hunk_no = 0
+        name = None
+        for k, (pos, line) in enumerate(kept):
+            if line.startswith("diff --git"):
+                file_no, hunk_no = file_no + 1, 0
+                name = line.split(" b/")[1] if " b/" in line else name
+            hunk_no += line.startswith("@@")
+            assert got.pop((i, pos)) == (file_no, hunk_no, name)
+            assert carets.pop((i, pos)) == (kept[k + 2][1] if k + 2 < len(kept) else None)
+    assert not got and not carets
+
+
+def test_a_hunk_without_numbers_goes(spark):
+    diff = DIFF.replace("@@ -1,3 +1,4 @@ top", "@@ odd @@") + '\n@@ -9,1 +9,2 @@\n+#include "x.h"\n q'
+    rows = text.lines(spark.createDataFrame([(1, diff)], "id long, text string"), "id", "text")
+    assert text.patch_for_header(rows, "x.h").first()["patch"].split("\n")[-3:] == ["@@ -9,1 +9,2 @@", '+#include "x.h"', " q"]
+
+
 def test_compile_errors(spark):
     log = "../../src/a/b.cc:12:5: error: no type 'X'\n  12 |   X y;\n     |   ^~~\n/w/src/a/b.cc:13:1: warning: hm\n../c.cc(7,2): error: bad"
     rows = text.compile_errors(text.lines(spark.createDataFrame([(1, log), (2, log)], "id long, text string"), "id", "text"))

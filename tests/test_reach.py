@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessaline.operators import closure, reach
@@ -86,7 +87,8 @@ def test_united_sets():
     rng = np.random.default_rng(1)
     for sizes in ((1, 1), (5, 3000, 2), (4000, 4000), (40_000, 7), (60_000, 50_000), (0, 0)):
         sets = [np.unique(rng.integers(0, 1 << 16, k)) for k in sizes]
-        told = [reach.packed(s) for s in sets]
-        want = np.unique(np.concatenate(sets))
-        assert (reach.unpacked(reach.united(told)) == want).all() and reach.size_of(reach.united(told)) == len(want)
-        assert all((reach.unpacked(t) == s).all() for t, s in zip(told, sets))
+        told = pa.table({"node": [1] * len(sets) + [2], "block": [0] * len(sets) + [5], "marks": [*(reach.packed(s) for s in sets), reach.packed(sets[0])]}, pa.schema([("node", pa.int64()), ("block", pa.int64()), ("marks", pa.binary())]))
+        got = reach.united(told).to_pylist()
+        want = [(1, 0, np.unique(np.concatenate(sets))), (2, 5, sets[0])]
+        assert [(r["node"], r["block"], r["n"]) for r in got] == [(a, b, len(m)) for a, b, m in want]
+        assert all((reach.unpacked(r["marks"]) == m).all() for r, (_, _, m) in zip(got, want))
