@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .filters import keep_filename
 
 METRICS = ("input_size", "expanded_size", "file_size", "prevalence", "centrality", "includer_size")
 
@@ -49,8 +50,12 @@ def edge_metric(edges: DataFrame, files: DataFrame, metric: str, n_roots: int, n
     return e.join(f, F.col(end) == F.col("_f"), "left").select("src", "dst", value.alias("weight"))
 
 
-def edge_metrics(edges: DataFrame, files: DataFrame, n_roots: int, n_files: int) -> DataFrame:
-    """``file, include, esize, prevalence_pct, tsize, centrality`` per edge (M9).
+def edge_metrics(
+    edges: DataFrame, files: DataFrame, n_roots: int, n_files: int, metric: str | None = None, threshold: float = 0.0, pattern: str | None = None, generated=False, mojom=False, third_party=False
+) -> DataFrame:
+    """``file, include, esize, prevalence_pct, tsize, centrality`` per edge of files that are
+    analysed (M9, F1), less those whose ``metric`` is below the threshold (F15: 0 filters
+    nothing, and an unknown value passes).
 
     What is known of a file, its degrees included, is put in one row first, so that
     edges are joined twice only.
@@ -59,20 +64,24 @@ def edge_metrics(edges: DataFrame, files: DataFrame, n_roots: int, n_files: int)
     f = stored(f.select(F.coalesce("file", "node").alias("file"), "prevalence", "tsize", "out", "into"), "file-metrics")
     src = f.select(F.col("file").alias("_s"), F.col("prevalence").alias("_p"), "into")
     dst = f.select(F.col("file").alias("_d"), "tsize", "out")
-    joined = edges.select("src", "dst", "esize").join(src, F.col("src") == F.col("_s"), "left").join(dst, F.col("dst") == F.col("_d"), "left")
-    return joined.select(
+    kept = edges.select("src", "dst", "esize").filter(keep_filename(F.col("src"), pattern, generated, mojom, third_party))
+    joined = kept.join(src, F.col("src") == F.col("_s"), "left").join(dst, F.col("dst") == F.col("_d"), "left")
+    out = joined.select(
         F.col("src").alias("file"), F.col("dst").alias("include"), "esize", (F.lit(100.0) * F.col("_p") / F.lit(n_roots)).alias("prevalence_pct"), "tsize",
         _centrality(F.col("out"), F.col("into"), n_files).alias("centrality"),
     )
+    return _reaching(out, {"input_size": "esize", "expanded_size": "tsize", "centrality": "centrality", "prevalence": "prevalence_pct"}.get(metric), threshold)
 
 
-def file_metrics(files: DataFrame, metric: str | None = None, threshold: float = 0.0, n_roots: int = 0) -> DataFrame:
-    """``file, asize, prevalence, tsize`` (M10); a threshold of 0 filters nothing."""
-    out = files
-    column = {"input_size": F.col("asize"), "expanded_size": F.col("tsize"), "file_size": F.col("size"), "prevalence": F.lit(100.0) * F.col("prevalence") / F.lit(n_roots or 1)}
-    if threshold and metric in column:
-        out = out.filter(column[metric] >= threshold)
-    return out.select("file", "asize", "prevalence", "tsize")
+def _reaching(rows: DataFrame, column: str | None, threshold: float) -> DataFrame:
+    return rows.filter(F.col(column).isNull() | (F.col(column) >= threshold)) if threshold and column else rows
+
+
+def file_metrics(files: DataFrame, metric: str | None = None, threshold: float = 0.0, pattern: str | None = None, generated=False, mojom=False, third_party=False) -> DataFrame:
+    """``file, asize, prevalence, tsize`` of files that are analysed (M10, F1); the prevalence
+    is a count of roots, and a threshold of 0 filters nothing (F15)."""
+    kept = files.filter(keep_filename(F.col("file"), pattern, generated, mojom, third_party)).select("file", "asize", "prevalence", "tsize")
+    return _reaching(kept, {"input_size": "asize", "expanded_size": "tsize", "prevalence": "prevalence"}.get(metric), threshold)
 
 
 def edge_stats(edges: DataFrame, roots: DataFrame, generated: str = "out/") -> DataFrame:

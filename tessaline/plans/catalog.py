@@ -490,11 +490,37 @@ def m9_edge_metrics(spark, d):
     return metrics.edge_metrics(edges(spark, d), files(spark, d), roots(spark, d).count(), files(spark, d).count())
 
 
+#: Files that are analysed at all, less generated, interface and third-party ones.
+_ANALYSED_ONLY = (
+    "not regexp_matches({c}, '^(?:buildtools|build|third_party/llvm-build)/') and not regexp_matches({c}, '^out/[\\w-]+/gen/.*$') and not regexp_matches({c}, '^(.*)\\.mojom[^\\.]*\\.h$') "
+    "and not ((starts_with({c}, 'third_party/') and not starts_with({c}, 'third_party/blink')) or starts_with({c}, 'v8'))"
+)
+
+
+@query(
+    "m9_filtered_edge_metrics",
+    with_ctes(
+        f"select e.src as file, e.dst as include, esize, 100.0::double * fs.prevalence / {N_ROOTS} as prevalence_pct, fd.tsize, c.c as centrality "
+        f"from e left join f fs on fs.file = e.src left join f fd on fd.file = e.dst join c on c.src = e.src and c.dst = e.dst where (fd.tsize is null or fd.tsize >= 300) and {_ANALYSED_ONLY.format(c='e.src')}",
+        **_DEGREES, c=_CENTRALITY,
+    ),
+)
+def m9_filtered_edge_metrics(spark, d):
+    flags = {"generated": True, "mojom": True, "third_party": True}
+    return metrics.edge_metrics(edges(spark, d), files(spark, d), roots(spark, d).count(), files(spark, d).count(), "expanded_size", 300, **flags)
+
+
 @query("m10_file_metrics", with_ctes("select file, asize, prevalence, tsize from f where asize >= 20", f=model.FILES))
 def m10_file_metrics(spark, d):
     return metrics.file_metrics(files(spark, d), "input_size", 20)
 
 
+@query("m10_filtered_file_metrics", with_ctes(f"select file, asize, prevalence, tsize from f where prevalence >= 30 and regexp_matches(file, '^(?:part|third)') and {_ANALYSED_ONLY.format(c='file')}", **_ANALYSED))
+def m10_filtered_file_metrics(spark, d):
+    """By the prevalence that the graph gives."""
+    return metrics.file_metrics(analysed(spark, d), "prevalence", 30, "part|third", generated=True, mojom=True, third_party=True)
+
+
 @query(
     "a1_edge_stats",
     with_ctes(
@@ -554,6 +580,28 @@ def f4_filter_changes(spark, d):
     return filters.filter_changes(_changes(spark, d), threshold=20000.0, generated=True, third_party=True, mojom=True)
 
 
+#: Changes of files of all path classes.
+CLASSED = f"""
+select {model.ORDERED}
+  case l_returnflag when 'R' then 'remove' when 'A' then 'add' else 'other' end as change_type, l_linenumber as line, {model.part('l_partkey')} as includer,
+  case l_linenumber % 2 when 0 then {model.part('l_suppkey')} else {model.SUPPLIER('l_suppkey')} end as header
+from {{lineitem}}
+"""
+
+
+@query(
+    "f8_path_classes",
+    with_ctes(
+        "select change_type, line, includer, header from c where change_type <> 'other' and not regexp_matches(includer, '^out/[\\w-]+/gen/.*$') "
+        "and not ((starts_with(includer, 'third_party/') and not starts_with(includer, 'third_party/blink')) or starts_with(includer, 'v8')) and not regexp_matches(header, '^(.*)\\.mojom[^\\.]*\\.h$')",
+        c=CLASSED,
+    ),
+)
+def f8_path_classes(spark, d):
+    classed = model.in_order(spark, d, CLASSED, "classed").withColumn("extra", F.array().cast("array<string>"))
+    return filters.filter_changes(classed, generated=True, third_party=True, mojom=True)
+
+
 _RULES = [("skip", "filename", "orders/3.cc", None), ("add", "header", None, "part/5.h"), ("remove", "edge", "orders/1.cc", "part/6.h"), ("add", "filename", "orders/7.cc", None)]
 
 

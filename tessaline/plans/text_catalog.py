@@ -413,6 +413,28 @@ def s2_analysis_files(spark, d):
     return analysis.files_of(analysis.parse_analysis(_raw(spark, d))).select("file_id", "file", "is_root", "size", "prevalence")
 
 
+# A snapshot for every nation, whose customers include the next; three of four are broken in some way.
+
+_BROKEN = "case k % 6 when 1 then 'file names repeat' when 2 then 'roots repeat' when 3 then 'included_by doesn''t agree with includes' when 4 then 'sizes don''t go with includes' when 5 then 'numbers name no file, included_by doesn''t agree with includes' else '' end"
+_OF_NATION = "select c_nationkey as k, count(*) as n from {customer} group by c_nationkey having count(*) >= 2"
+
+
+@query("s2_load_checks", with_ctes(f"select 'nation ' || cast(k as varchar(20)) as url, {_BROKEN} as problems from c", c=_OF_NATION))
+def s2_load_checks(spark, d):
+    one = "filter(array({x}), v -> v is not null)"
+    snapshots = rows(
+        spark, d,
+        "select 'nation ' || cast(k as varchar(20)) as url, 'r' as revision, '2024-05-01' as date, "
+        "transform(at, i -> 'f' || cast(case when k % 6 = 1 and i = 1 then 0 else i end as varchar(20))) as files, case when k % 6 = 2 then array(0, 0) else array(0) end as roots, "
+        f"transform(at, i -> {one.format(x='case when i + 1 < n then cast(i + 1 as int) when k % 6 = 5 then 9999999 end')}) as includes, "
+        f"transform(at, i -> {one.format(x='case when i > 0 and k % 6 <> 3 then cast(i - 1 as int) end')}) as included_by, "
+        "transform(at, i -> 1L) as sizes, transform(at, i -> 1L) as tsizes, transform(at, i -> 1L) as asizes, "
+        f"transform(at, i -> {one.format(x='case when i + 1 < n and (k % 6 <> 4 or i > 0) or (i + 1 = n and k % 6 = 5) then 5L end')}) as esizes, transform(at, i -> 1L) as prevalence "
+        f"from (select k, cast(n as int) as n, sequence(0, cast(n as int) - 1) as at from ({_OF_NATION}) c) x",
+    )
+    return analysis.load_problems(snapshots).select("url", F.array_join("problems", ", ").alias("problems"))
+
+
 @query("s3_prefixes", "select 'out/Debug/gen/' as gen_prefix, 'build/linux/s/' as sysroot, 'x86' as sysroot_platform")
 def s3_prefixes(spark, d):
     return analysis.prefixes_of(analysis.files_of(analysis.parse_analysis(_raw(spark, d)))).drop("url")
@@ -442,6 +464,14 @@ def s11_edge_lists(spark, d):
     return analysis.read_edge_lists(spark, analysis.listed_paths(spark, paths))
 
 
+@query("s12_plain_edge_lists", f"select distinct case l_returnflag when 'N' then '# ' else '' end || {N.format('l_orderkey')} as src, {N.format('l_partkey')} as dst from {{lineitem}}")
+def s12_plain_edge_lists(spark, d):
+    """Without comments: a row that starts with ``#`` is an edge."""
+    line = f"case l_returnflag when 'N' then '# ' else '' end || {N.format('l_orderkey')} || ',' || {N.format('l_partkey')}"
+    lists = written(spark, spark_sql(spark, d, f"select {line} as value from {{lineitem}} union all select ''"), "edges")
+    return analysis.read_edge_lists(spark, [lists], comments=False)
+
+
 @query("s16_header_results", "select c_name as header, c_custkey / 4.0::double as remaining_pct, 0.5::double as floor_pct, c_nationkey as dominated, c_custkey as tsize from {customer}")
 def s16_header_results(spark, d):
     lines = spark_sql(spark, d, "select c_name || ',' || cast(c_custkey / 4.0 as double) || ',0.5,' || c_nationkey || ',' || c_custkey as value from {customer}")

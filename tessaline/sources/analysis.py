@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The raw analysis: parallel arrays indexed by file number.
@@ -37,6 +37,55 @@ def parse_analysis(texts: DataFrame) -> DataFrame:
     return parsed.select("url", F.when(broken, F.raise_error(F.concat(F.lit("no analysis in "), F.col("url")))).otherwise(F.col("a")).alias("a")).select("url", "a.*")
 
 
+def _pairs_sum(lists: str, forward: bool) -> Column:
+    """How many pairs parallel lists hold and two sums of their hashes, in any order: equal for equal pairs."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("bits"))
+
+    def add(at, k, x):
+        h = F.xxhash64(*((k, x) if forward else (x, k)))
+        return F.struct((at["n"] + 1).alias("n"), (at["sum"] + h.bitwiseAND((1 << 36) - 1)).alias("sum"), at["bits"].bitwiseXOR(h).alias("bits"))
+
+    rows = F.flatten(F.transform(F.col(lists), lambda xs, k: F.transform(F.coalesce(xs, F.array().cast("array<int>")), lambda x: F.struct(k.alias("k"), x.alias("x")))))
+    return F.aggregate(rows, start, lambda at, p: add(at, p["k"], p["x"]))
+
+
+def load_problems(analyses: DataFrame) -> DataFrame:
+    """``analyses`` with ``problems``: what doesn't hold in each.
+
+    File names and roots are unique; lists by file number are as long as the files;
+    numbers name files; every list of sizes is as long as its list of includes; and
+    ``included_by`` says of every pair what ``includes`` says.
+    """
+    n = F.size("files")
+    known = lambda x: (x >= 0) & (x < n)
+    by_file = ("includes", "included_by", "sizes", "tsizes", "asizes", "esizes", "prevalence")
+    uneven = F.exists(F.arrays_zip("includes", "esizes"), lambda z: F.coalesce(F.size(z["includes"]), F.lit(0)) != F.coalesce(F.size(z["esizes"]), F.lit(0)))
+    checks = {
+        "file names repeat": F.size(F.array_distinct("files")) < n,
+        "roots repeat": F.size(F.array_distinct("roots")) < F.size("roots"),
+        "lists differ in length": F.greatest(*(F.coalesce((F.size(c) != n).cast("int"), F.lit(1)) for c in by_file)) == 1,
+        "numbers name no file": F.exists("roots", lambda x: ~known(x)) | F.exists(F.flatten("includes"), lambda x: ~known(x)) | F.exists(F.flatten("included_by"), lambda x: ~known(x)),
+        "sizes don't go with includes": uneven,
+        "included_by doesn't agree with includes": _pairs_sum("includes", True) != _pairs_sum("included_by", False),
+    }
+    return analyses.withColumn("problems", F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in checks.items()))))
+
+
+def checked(analyses: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """``analyses``, of which one with problems is an error that names it and them.
+
+    With an ``observation`` no one is: it counts the analyses and those with problems in
+    the pass that reads them, and those go on without the others.
+    """
+    told = load_problems(analyses)
+    broken = F.size("problems") > 0
+    if observation is not None:
+        told = told.observe(observation, F.count("*").alias("analyses"), F.count_if(broken).alias("broken"))
+        return told.filter(~broken).drop("problems")
+    error = F.raise_error(F.concat(F.lit("analysis "), F.col("url"), F.lit(": "), F.array_join("problems", ", ")))
+    return told.withColumn("url", F.when(broken, error).otherwise(F.col("url"))).drop("problems")
+
+
 def files_of(analyses: DataFrame) -> DataFrame:
     """``url, file_id, file, is_root, size, tsize, asize, prevalence``."""
     zipped = F.arrays_zip("files", "sizes", "tsizes", "asizes", "prevalence")

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tessaline.operators import filters, metrics, text, trends
@@ -80,6 +81,25 @@ def test_sources_are_read_edited_and_written(spark, tmp_path):
     assert [f.read_bytes() for f in (tmp_path / "out").glob("part-*")] == [b'"a,b",\r\n']
 
 
+def test_load_checks(spark):
+    good = ("g", "r", "d", ["a", "b", "c"], [0], [[1, 2], [2], []], [[], [0], [1, 0]], [1] * 3, [1] * 3, [1] * 3, [[4, 5], [6], []], [1] * 3)
+    at = ("url", "revision", "date", "files", "roots", "includes", "included_by", "sizes", "tsizes", "asizes", "esizes", "prevalence")
+    changed = lambda url, **k: tuple(k.get(n, v) if n != "url" else url for n, v in zip(at, good))
+    rows = [good, changed("names", files=["a", "b", "a"]), changed("roots", roots=[0, 0]), changed("pairs", included_by=[[], [0], [0, 0]]), changed("short", sizes=[1]), changed("none", tsizes=None), changed("far", roots=[3])]
+    df = spark.createDataFrame(rows, "url string, " + analysis.ANALYSIS)
+    got = {r["url"]: r["problems"] for r in analysis.load_problems(df).collect()}
+    assert got == {
+        "g": [], "names": ["file names repeat"], "roots": ["roots repeat"], "pairs": ["included_by doesn't agree with includes"], "short": ["lists differ in length"],
+        "none": ["lists differ in length"], "far": ["numbers name no file"],
+    }
+    assert analysis.checked(df.filter("url = 'g'")).count() == 1
+    for url in got.keys() - {"g"}:
+        with pytest.raises(Exception, match=f"analysis {url}: "):
+            analysis.checked(df.filter(F.col("url") == url)).collect()
+    seen = Observation("load")
+    assert [r["url"] for r in analysis.checked(df, seen).collect()] == ["g"] and seen.get == {"analyses": 7, "broken": 6}
+
+
 def test_missing_prefixes_are_errors(spark):
     files = spark.createDataFrame([("u", 0, "a.cc")], "url string, file_id int, file string")
     with pytest.raises(Exception, match="no generated files"):
