@@ -39,13 +39,21 @@ ROOT_BYTES = 32 << 20
 SCALE = 256
 
 
+#: Squared lengths of scaled vectors, and so their scores, go up to this.
+LONGEST2 = 2.0**61
+
+
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, v``: components x as ``floor(256 x)``; vectors null or with null or
-    non-finite components take no part, nor do rows without an id."""
+    non-finite components take no part, nor do rows without an id.  A vector whose squared
+    length exceeds ``LONGEST2`` is an error: its scores wouldn't fit 64 bits."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     bad = F.exists("_x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("_x")).filter(F.col("vec_id").isNotNull() & F.col("_x").isNotNull())
-    return rows.filter(~bad).select("vec_id", F.transform("_x", lambda x: F.floor(x * SCALE).cast("long")).alias("v"))
+    length2 = F.aggregate("_x", F.lit(0.0), lambda total, x: total + x * SCALE * x * SCALE)
+    too_long = F.raise_error(F.concat(F.lit("vector "), F.col("vec_id").cast("string"), F.lit(" is too long for scores of 64 bits")))
+    kept = rows.filter(~bad).withColumn("_x", F.when(length2 > LONGEST2, too_long).otherwise(F.col("_x")))
+    return kept.select("vec_id", F.transform("_x", lambda x: F.floor(x * SCALE).cast("long")).alias("v"))
 
 
 def _slice(first: int, last: int, wanted: np.ndarray):

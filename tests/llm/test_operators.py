@@ -203,6 +203,18 @@ def test_top_k(spark, monkeypatch):
     assert mtree.top_k(mtree.quantized(none), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_long_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=4) * 10.0 ** rng.integers(0, 7)]) for i in range(120)]
+    usable = [(i, np.floor(np.array(v) * 256).astype(np.int64)) for i, v in rows]
+    want = sorted((i, rank, j, s) for at, (i, q) in enumerate(usable) if i % 50 == 0 for rank, (s, j) in enumerate(best(q, usable, at), 1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, mtree.top_k(mtree.quantized(df), F.col("vec_id") % 50 == 0).collect())) == want
+    huge = spark.createDataFrame([(1, [1e9, 1.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="vector 1 is too long"):
+        mtree.top_k(mtree.quantized(huge), F.col("vec_id") % 50 == 0).collect()
+
+
 def test_mtree_skips_exactly():
     rng = np.random.default_rng(1)
     low = rng.integers(-40, 40, (5000, 3))
