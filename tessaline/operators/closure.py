@@ -163,34 +163,61 @@ def recalculated_size(edges: DataFrame, files: DataFrame, start: DataFrame, adds
     return own.join(summed, F.col("file") == F.col("key"), "left").select("file", F.least(total, F.coalesce("tsize", total)).alias("expanded_size"))
 
 
+def _step(front: DataFrame, seen: DataFrame, e: DataFrame, frm: str, to: str, level: int) -> DataFrame:
+    """``node, level``: what the front's edges lead to for the first time."""
+    found = front.select("node").join(e, F.col("node") == F.col(frm)).select(F.col(to).alias("_to")).distinct()
+    found = found.join(seen.select(F.col("node").alias("_seen")), F.col("_to") == F.col("_seen"), "left_anti")
+    return materialize(found.select(F.col("_to").alias("node"), F.lit(level).alias("level")), "chain-front")
+
+
 def shortest_chain(edges: DataFrame, start: str, end: str) -> DataFrame:
     """Edges ``step, src, dst`` of a shortest path (G11, W4); none if unreachable or equal.
 
-    Among shortest paths, every node has the smallest parent of its level.
+    Searched from both ends, always from the smaller front, until the fronts meet.  Among
+    shortest paths, every node has the smallest parent of its level, looked up by one join
+    a level over the nodes that lie on such paths.
     """
-    spark = edges.sparkSession
-    schema = f"step int, src {edges.schema['src'].dataType.simpleString()}, dst {edges.schema['dst'].dataType.simpleString()}"
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType.simpleString()
+    none = spark.createDataFrame([], f"step int, src {kind}, dst {kind}")
     if start == end:
-        return spark.createDataFrame([], schema)
+        return none
     e = stored(part_of(edges, edges.select("src", "dst")), "chain-edges")
-    front = seen = spark.createDataFrame([(0, None, start)], f"level int, parent {schema.split()[3].rstrip(',')}, node {schema.split()[3].rstrip(',')}")
-    level = 0
-    while True:
-        level += 1
-        found = front.select("node").join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("_to")).agg(F.min("src").alias("parent"))
-        front = found.join(seen.select("node"), F.col("_to") == F.col("node"), "left_anti").select(F.lit(level).alias("level"), "parent", F.col("_to").alias("node"))
-        front = materialize(front, "chain-front")
-        seen = seen.unionByName(front)
-        if not front.filter(F.col("node") == end).isEmpty():
-            break
-        if front.isEmpty():
-            return spark.createDataFrame([], schema)
-    path, node = [], end
-    for at in range(level, 0, -1):  # one lookup per step of the path
-        parent = seen.filter((F.col("level") == at) & (F.col("node") == node)).first()["parent"]
-        path.append((at, parent, node))
-        node = parent
-    return spark.createDataFrame(path[::-1], schema)
+    sides = [{"front": f, "seen": f, "level": 0, "n": 1} for f in (spark.createDataFrame([(x, 0)], f"node {kind}, level int") for x in (start, end))]
+    meeting = None
+    while meeting is None:
+        k = 0 if sides[0]["n"] <= sides[1]["n"] else 1
+        side, other = sides[k], sides[1 - k]
+        side["level"] += 1
+        side["front"] = _step(side["front"], side["seen"], e, *(("src", "dst") if k == 0 else ("dst", "src")), side["level"])
+        side["n"] = side["front"].count()
+        if not side["n"]:
+            return none
+        side["seen"] = side["seen"].unionByName(side["front"])
+        met = side["front"].select("node").join(other["front"].select("node"), "node")
+        if not met.isEmpty():
+            meeting = materialize(met, "chain-met")
+    # What lies on shortest paths, by its distance from the start: the meeting nodes, and on
+    # either side of them what leads there or where they lead, level by level.
+    steps, split = sides[0]["level"] + sides[1]["level"], sides[0]["level"]
+    on = {split: meeting}
+    at = lambda k, level: sides[k]["seen"].filter(F.col("level") == level).select("node")
+    for level in range(split - 1, -1, -1):
+        into = on[level + 1].join(e, F.col("node") == F.col("dst")).select(F.col("src").alias("_n")).distinct()
+        on[level] = materialize(at(0, level).join(into, F.col("node") == F.col("_n"), "left_semi"), "chain-on")
+    for level in range(split + 1, steps + 1):
+        out = on[level - 1].join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("_n")).distinct()
+        on[level] = materialize(at(1, steps - level).join(out, F.col("node") == F.col("_n"), "left_semi"), "chain-on")
+    # Backwards along the smallest parents, as a path of one node a level.
+    path, node = [], on[steps]
+    for level in range(steps, 0, -1):
+        parents = node.join(e, F.col("node") == F.col("dst")).join(on[level - 1].select(F.col("node").alias("_on")), F.col("src") == F.col("_on"), "left_semi")
+        edge = materialize(parents.groupBy("dst").agg(F.min("src").alias("src")).select(F.lit(level).alias("step"), "src", "dst"), "chain-edge")
+        path.append(edge)
+        node = edge.select(F.col("src").alias("node"))
+    out = path[-1]
+    for edge in path[-2::-1]:
+        out = out.unionByName(edge)
+    return out
 
 
 def entry_points(edges: DataFrame, roots: DataFrame, subset: DataFrame) -> DataFrame:

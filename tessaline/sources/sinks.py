@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import csv
 import os
+import uuid
+from collections.abc import Iterator
 from typing import TextIO
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import numbered
+from ..storage import materialize, numbered
 
 
 def write_csv_stream(df: DataFrame, out: TextIO) -> None:
@@ -80,12 +83,47 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered(read, ["_file", "_block", "_row"], "pos").select("pos", "line")
 
 
-def save_sources(texts: DataFrame, root: str, dry_run: bool = True) -> list[str]:
-    """Names of the ``file, text`` rows, which are written below ``root`` unless ``dry_run`` (K5)."""
-    names = []
-    for row in texts.toLocalIterator():  # one file at a time
-        names.append(row["file"])
-        if not dry_run:
-            with open(os.path.join(root, row["file"]), "w", encoding="utf-8", newline="") as f:
-                f.write(row["text"])
-    return sorted(names)
+def save_sources(texts: DataFrame, root: str, dry_run: bool = True) -> DataFrame:
+    """``file`` of the ``file, text`` rows, which are written below ``root`` unless ``dry_run`` (K5).
+
+    Tasks write every text beside its file, under a name of this run; only once all are
+    there do tasks put them in the files' place.  So a run that fails while it writes
+    leaves the files as they were, and one whose second half is repeated, after a lost
+    executor, ends the same.  ``root`` is a folder that all executors share.
+    """
+    if dry_run:
+        return texts.select("file")
+    stamp = f".{uuid.uuid4().hex}.new"
+
+    def stage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, text in zip(pdf["file"], pdf["text"]):
+                path = os.path.join(root, file)
+                if not os.path.isfile(path):
+                    raise FileNotFoundError(path)
+                with open(path + stamp, "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+            yield pdf[["file"]]
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file in pdf["file"]:
+                path = os.path.join(root, file)
+                if os.path.exists(path + stamp):  # else an earlier attempt has put it
+                    os.replace(path + stamp, path)
+            yield pdf
+
+    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file in pdf["file"]:
+                if os.path.exists(os.path.join(root, file) + stamp):
+                    os.remove(os.path.join(root, file) + stamp)
+            yield pdf
+
+    kind = "file string"
+    try:
+        staged = materialize(texts.select("file", "text").mapInPandas(stage, kind), "staged-sources")
+    except Exception:
+        texts.select("file").mapInPandas(drop, kind).write.format("noop").mode("overwrite").save()
+        raise
+    return materialize(staged.mapInPandas(put, kind), "saved-sources")

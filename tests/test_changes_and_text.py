@@ -74,9 +74,14 @@ def test_sources_are_read_edited_and_written(spark, tmp_path):
     (tmp_path / "d" / "a.cc").write_text('#include "x.h"\nint a;\n')
     c = spark.createDataFrame([(0, "remove", 0, "d/a.cc", "x.h"), (1, "other", 0, "d/a.cc", "z"), (2, "add", 1, "d/a.cc", "y.h")], "pos long, change_type string, line int, includer string, header string")
     texts = text.apply_changes(analysis.read_sources(spark, str(tmp_path), ["d/a.cc"]), text.first_changes(c, 1))
-    assert sinks.save_sources(texts, str(tmp_path)) == ["d/a.cc"] and "x.h" in (tmp_path / "d" / "a.cc").read_text()
-    sinks.save_sources(texts, str(tmp_path), dry_run=False)
+    named = lambda rows: [r["file"] for r in rows.collect()]
+    assert named(sinks.save_sources(texts, str(tmp_path))) == ["d/a.cc"] and "x.h" in (tmp_path / "d" / "a.cc").read_text()
+    assert named(sinks.save_sources(texts, str(tmp_path), dry_run=False)) == ["d/a.cc"]
     assert (tmp_path / "d" / "a.cc").read_text() == "int a;\n"
+    both = texts.select("file", F.lit("new").alias("text")).unionByName(spark.createDataFrame([("d/none.cc", "x")], "file string, text string"))
+    with pytest.raises(Exception, match="none.cc"):
+        sinks.save_sources(both, str(tmp_path), dry_run=False)
+    assert [f.name for f in (tmp_path / "d").iterdir()] == ["a.cc"] and (tmp_path / "d" / "a.cc").read_text() == "int a;\n"
     sinks.write_csv(spark.createDataFrame([("a,b", None)], "x string, y int").coalesce(1), str(tmp_path / "out"))
     assert [f.read_bytes() for f in (tmp_path / "out").glob("part-*")] == [b'"a,b",\r\n']
 

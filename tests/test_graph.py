@@ -105,6 +105,24 @@ def test_shortest_chain(spark, graph):
     assert closure.shortest_chain(graph, "r1.cc", "r1.cc").count() == 0
 
 
+def test_shortest_chains_of_random_graphs(spark):
+    rng = random.Random(13)
+    for n, m in ((12, 24), (16, 22), (9, 30)):
+        pairs = random_graph(rng, n, m)
+        depth = {0: 0}
+        for level in range(n):
+            for a, b in pairs:
+                if depth.get(a) == level and b not in depth:
+                    depth[b] = level + 1
+        e = spark.createDataFrame([(f"f{a:02}", f"f{b:02}") for a, b in pairs], "src string, dst string")
+        end = max(depth, key=lambda v: (depth[v], v))
+        want, node = [], end
+        while node:
+            parent = min(a for a, b in pairs if b == node and depth.get(a) == depth[node] - 1)
+            want, node = [(f"f{parent:02}", f"f{node:02}")] + want, parent
+        assert [(r["src"], r["dst"]) for r in closure.shortest_chain(e, "f00", f"f{end:02}").orderBy("step").collect()] == want
+
+
 def test_cut_reports(spark, graph):
     roots = nodes(spark, "r1.cc", "r2.cc", "out/g.cc")
     ignores = spark.createDataFrame([("b.h", "*")], "src string, dst string")
