@@ -136,6 +136,21 @@ def test_cut_reports(spark, graph):
     assert [(r["includer"], r["included"]) for r in cuts.min_edge_cut(graph, files, "r2.cc", "d.h", 3).collect()] == [("c.h", "d.h")]
 
 
+def test_dominated_roots_by_the_kernel(spark):
+    rng = random.Random(21)
+    for n, m in ((9, 20), (14, 30)):
+        pairs = random_graph(rng, n, m) + [(n + i, rng.randrange(n)) for i in range(6)] + [(n + 5, rng.randrange(n))]
+        back = [(b, a) for a, b in pairs]
+        inside = reach(back, 0) | {0}
+        pairs = sorted({(a, b) for a, b in pairs if a in inside and b in inside})
+        roots = [v for v in inside if v >= n or v % 3 == 1]
+        weight = [int(v in roots and v != 0) for v in range(n + 6)]
+        want = dict(zip(pairs, edge_dominated_weights(n + 6, [(b, a) for a, b in pairs], 0, weight)))
+        g = spark.createDataFrame([(f"f{a}", f"f{b}") for a, b in pairs], "src string, dst string")
+        got = cuts.dominated_roots(g, nodes(spark, *(f"f{v}" for v in roots)), "f0")
+        assert {(int(r["src"][1:]), int(r["dst"][1:])): r["dominated"] for r in got.collect()} == want
+
+
 def test_entry_points_need_outer_paths(spark, graph):
     got = closure.entry_points(graph, nodes(spark, "r1.cc", "r2.cc"), nodes(spark, "b.h", "c.h", "d.h"))
     assert sorted(r["node"] for r in got.collect()) == ["b.h", "c.h"]
