@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import materialize, numbered
+from ..storage import numbered, stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
@@ -95,7 +95,7 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     """A table that ``make`` returns, written once in a session, as a loaded analysis is."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
-        _kept[key] = materialize(make(), f"model-{name}")
+        _kept[key] = stored(make(), f"model-{name}")
     return _kept[key]
 
 

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import closure, cuts, filters, metrics, text, trends
-from ..sources import analysis, sinks
-from ..storage import shared_folder
+from ..sources import analysis, sinks, snapshot
+from ..storage import numbered, shared_folder
 from . import model
 from .model import spark_sql
 from .registry import query, with_ctes
@@ -413,6 +413,52 @@ def s2_analysis_files(spark, d):
     return analysis.files_of(analysis.parse_analysis(_raw(spark, d))).select("file_id", "file", "is_root", "size", "prevalence")
 
 
+# The whole graph as one snapshot, which many tasks read.
+
+_PLACED = "select cast(row_number() over (order by file) - 1 as int) as id, f.*, file like 'orders/%' as is_root from f"
+_PLACED_EDGES = "select x.id as src_id, y.id as dst_id, x.file as src, y.file as dst, cast(row_number() over (partition by x.id order by y.id) - 1 as int) as pos, esize from e join n x on x.file = e.src join n y on y.file = e.dst"
+
+
+def _elements(spark, d) -> DataFrame:
+    """The values of a snapshot of all files and edges, written to one file and read in ranges of a megabyte."""
+
+    def make() -> DataFrame:
+        files = numbered(spark_sql(spark, d, model.FILES), ["file"], "_n").withColumn("file_id", F.col("_n") - 1).withColumn("is_root", F.startswith(F.col("file"), F.lit("orders/")))
+        ids = [files.select(F.col("file").alias(end), F.col("file_id").alias(f"{end}_id")) for end in ("src", "dst")]
+        edges = spark_sql(spark, d, model.EDGES).join(ids[0], "src").join(ids[1], "dst")
+        edges = edges.withColumn("pos", F.row_number().over(Window.partitionBy("src_id").orderBy("dst_id")) - 1)
+        path = written_to(spark, "snapshot")
+        snapshot.write_snapshot(files, edges, path, "r1", "2024-05-01 03:04:05 UTC")
+        return snapshot.read_elements(spark, path, split_bytes=1 << 20)
+
+    return model.kept(spark, d, "elements", make)
+
+
+@query("s2_split_files", with_ctes("select id as file_id, file, is_root, size, tsize, asize, prevalence from n", f=model.FILES, n=_PLACED))
+def s2_split_files(spark, d):
+    return snapshot.files_of(_elements(spark, d)).drop("url")
+
+
+@query("s2_split_edges", with_ctes(_PLACED_EDGES, f=model.FILES, e=model.EDGES, n=_PLACED))
+def s2_split_edges(spark, d):
+    return snapshot.edges_of(_elements(spark, d)).drop("url")
+
+
+@query(
+    "s2_split_lists",
+    with_ctes(
+        "select k as key, case k when 'roots' then (select count(*) from {orders}) when 'revision' then 0 when 'date' then 0 else (select count(*) from f) end as entries, "
+        "case when k in ('includes', 'included_by', 'esizes') then (select count(*) from e) else 0 end as inner_values, '' as problems "
+        f"from (values {', '.join(f'({k!r})' for k in snapshot.KEYS)}) t(k)",
+        f=model.FILES, e=model.EDGES,
+    ),
+)
+def s2_split_lists(spark, d):
+    elements = _elements(spark, d)
+    counts = elements.groupBy("url", "key").agg(F.count_if(F.col("i").isNotNull() & F.col("j").isNull()).alias("entries"), F.count("j").alias("inner_values"))
+    return counts.join(snapshot.load_problems(elements), "url").select("key", "entries", "inner_values", F.array_join("problems", ", ").alias("problems"))
+
+
 # A snapshot for every nation, whose customers include the next; three of four are broken in some way.
 
 _BROKEN = "case k % 6 when 1 then 'file names repeat' when 2 then 'roots repeat' when 3 then 'included_by doesn''t agree with includes' when 4 then 'sizes don''t go with includes' when 5 then 'numbers name no file, included_by doesn''t agree with includes' else '' end"

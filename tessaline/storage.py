@@ -32,12 +32,13 @@ def _own_folder(spark: SparkSession):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: str | None = None, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage and outlives any executor.
 
-    The files go when the application ends, or at :func:`cleanup`.
+    The files go when the application ends, or at :func:`cleanup`.  ``spark`` reads them,
+    if not the session that writes.
     """
-    spark = df.sparkSession
+    spark = spark or df.sparkSession
     folder, files = _own_folder(spark)
     path = f"{folder.toString()}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
