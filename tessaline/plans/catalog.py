@@ -311,33 +311,65 @@ _TARGET_GRAPH = {
 }
 
 
-@query(
-    "g16_direct_cuts",
-    with_ctes(
-        f"select d.src as includer, d.dst as included, 100.0::double * f.prevalence / {N_ROOTS} as prevalence_pct, dominated from dominated d left join f on f.file = d.src "
-        f"where d.dst = '{TARGET}' and not ({' or '.join(f'starts_with(d.src, {chr(39)}{p}{chr(39)})' for p in cuts.UNCUTTABLE)})",
-        f=model.FILES, **_TARGET_GRAPH,
-    ),
-)
+_CANT = " or ".join(f"starts_with({{0}}, '{p}')" for p in cuts.UNCUTTABLE)
+_SHOWN = f"select d.src as includer, d.dst as included, 100.0::double * f.prevalence / {N_ROOTS} as prevalence_pct, dominated from dominated d left join f on f.file = d.src "
+_DIRECT = f"{_SHOWN} where d.dst = '{TARGET}' and not ({_CANT.format('d.src')})"
+# The only way on from a part is its edge to the target.  That is cut, or, where it can't be, all edges to the part.
+_INDIRECT = f"{_SHOWN} where d.dst <> '{TARGET}' and ({_CANT.format('d.dst')}) and d.src in (select node from cnt)"
+_RANKED = "select '{0}' as section, cast(row_number() over (order by dominated desc, includer, included) as int) as rank, * from {0}"
+
+
+@query("g16_direct_cuts", with_ctes(_DIRECT, f=model.FILES, **_TARGET_GRAPH))
 def g16_direct_cuts(spark, d):
     graph = materialize(cuts.target_graph(edges(spark, d), TARGET), "graph")
     return cuts.direct_cuts(graph, roots(spark, d), files(spark, d), TARGET, roots(spark, d).count())
 
 
-@query("g15_indirect_cuts")
+@query("g15_indirect_cuts", with_ctes(_INDIRECT, f=model.FILES, **_TARGET_GRAPH))
 def g15_indirect_cuts(spark, d):
     graph = cuts.target_graph(edges(spark, d), TARGET)
     return cuts.indirect_cuts(graph, roots(spark, d), files(spark, d), TARGET, roots(spark, d).count())
 
 
-@query("g27_cut_report")
+@query(
+    "g27_cut_report",
+    with_ctes(f"select * from ({_RANKED.format('direct')} union all {_RANKED.format('indirect')}) x where rank <= 10", f=model.FILES, **_TARGET_GRAPH, direct=_DIRECT, indirect=_INDIRECT),
+)
 def g27_cut_report(spark, d):
     return cuts.cut_report(edges(spark, d), files(spark, d), roots(spark, d), TARGET, roots(spark, d).count(), top=10)[1]
 
 
-@query("g12_min_edge_cut")
+# From an order's includes a way to the nation goes by a file beside it (a supplier of the part,
+# or the customer itself), each with one edge on, or by the nation's region, with one edge for all.
+# Whichever includes stay with the order, cheapest are the edges to the others and the last ones of theirs.
+_CUT_FROM, _CUT_TO, _CUT_REGION = "orders/1.cc", "nation/3.h", "region/3.h"
+_CUT_WAYS = {
+    "e": f"select distinct src, dst from ({model.EDGES}) x",
+    "f": model.FILES,
+    "child": f"select dst as c, cast(row_number() over (order by dst) - 1 as int) as b from e where src = '{_CUT_FROM}'",
+    "up(node)": f"select '{_CUT_REGION}' union select e.src from up join e on e.dst = up.node where e.src <> '{_CUT_TO}'",
+    "mid": "select c, b, c as m from child where c like 'customer/%' union all select c, b, e.dst from child join e on e.src = c where c like 'part/%' or c like '%/part/%'",
+    "last": f"select c, b, m as src from mid join e on e.src = m and e.dst = '{_CUT_TO}' union all select c, b, '{_CUT_REGION}' from mid where m in (select node from up)",
+}
+_CUT_SHOWN = f"select x.src as includer, x.dst as included, 100.0::double * f.prevalence / {N_ROOTS} as prevalence from ({{}}) x left join f on f.file = x.src"
+
+
+@query(
+    "g12_min_edge_cut",
+    with_ctes(
+        _CUT_SHOWN.format(f"select '{_CUT_FROM}' as src, c as dst from child where (select s from best) // (1 << b) % 2 = 0 union all select distinct src, '{_CUT_TO}' from last where (select s from best) // (1 << b) % 2 = 1"),
+        **_CUT_WAYS,
+        **{"kept(s)": "select 0 union all select s + 1 from kept where s + 1 < (1 << (select count(*) from child))"},
+        best="select s from (select s, bit_count(s) as n, (select count(*) from child) - bit_count(s) + count(distinct src) as cost from kept left join last on s // (1 << b) % 2 = 1 group by s) x order by cost, n desc limit 1",
+    ),
+)
 def g12_min_edge_cut(spark, d):
-    return cuts.min_edge_cut(edges(spark, d), files(spark, d), "orders/1.cc", "nation/3.h", roots(spark, d).count())
+    return cuts.min_edge_cut(edges(spark, d), files(spark, d), _CUT_FROM, _CUT_TO, roots(spark, d).count())
+
+
+@query("a7_cuts_from_includes", with_ctes(_CUT_SHOWN.format(f"select distinct src, '{_CUT_TO}' as dst from last"), **_CUT_WAYS))
+def a7_cuts_from_includes(spark, d):
+    return cuts.min_edge_cut(edges(spark, d), files(spark, d), _CUT_FROM, _CUT_TO, roots(spark, d).count(), start_from_source_includes=True)
 
 
 @query("g19_dominated_roots", with_ctes("select src, dst, dominated from dominated", **_TARGET_GRAPH))
