@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import closure, cuts, filters, metrics, text, trends
-from ..sources import analysis, sinks, snapshot
+from ..sources import analysis, reviews, sinks, snapshot
 from ..storage import numbered, shared_folder
 from . import model
 from .model import spark_sql
@@ -481,6 +481,22 @@ def s2_load_checks(spark, d):
     return analysis.load_problems(snapshots).select("url", F.array_join("problems", ", ").alias("problems"))
 
 
+# A change for every order, whose patchsets are its lines, told as a review server tells them.
+
+_REVISIONS = "select o_orderkey as id, o_orderstatus as f, cast(l_linenumber as int) as n from {orders} left join (select distinct l_orderkey, l_linenumber from {lineitem}) l on l_orderkey = o_orderkey"
+_BODY = f"""')]}}}}' || chr(39) || chr(10) || '{{{{"project": "p' || {N.format('id')} || '", "branch": "' || f || '", "owner": {{{{"id": [1]}}}}, "revisions": {{{{' """
+
+
+@query(
+    "s19_change_details",
+    with_ctes("select id, 'p' || cast(id as varchar(20)) as project, f as branch, coalesce(string_agg(cast(n as varchar(20)), ',' order by n), '') as numbers from r group by id, f", r=_REVISIONS),
+)
+def s19_change_details(spark, d):
+    entry = f"""'"s' || {N.format('n')} || '": {{{{"_number": ' || {N.format('n')} || '}}}}'"""
+    bodies = rows(spark, d, f"select id, {_BODY} || array_join(sort_array(collect_list({entry}), false), ', ') || '}}}}}}}}' as body from r group by id, f", r=_REVISIONS)
+    return reviews.change_details(bodies).select("id", "project", "branch", F.array_join("numbers", ",").alias("numbers"))
+
+
 @query("s3_prefixes", "select 'out/Debug/gen/' as gen_prefix, 'build/linux/s/' as sysroot, 'x86' as sysroot_platform")
 def s3_prefixes(spark, d):
     return analysis.prefixes_of(analysis.files_of(analysis.parse_analysis(_raw(spark, d)))).drop("url")
