@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, shared_folder
 
 SPLIT_BYTES = 32 << 20
 ELEMENTS = "url string, key string, i long, j long, value string"
@@ -314,7 +314,7 @@ def write_snapshot(files: DataFrame, edges: DataFrame, path: str, revision: str
 
     File numbers and the positions of a file's includes run from 0 without gaps, and a file
     includes another once.  Values are sorted over all tasks; one task streams them into the
-    file, holding a value at a time.
+    file, holding a value at a time.  The sorted values are a checkpoint.
     """
     quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
     n = files.count()
@@ -351,4 +351,6 @@ def write_snapshot(files: DataFrame, edges: DataFrame, path: str, revision: str
     out = sections[0]
     for more in sections[1:]:
         out = out.unionByName(more)
-    out.orderBy("k", "i", "j").select("text").coalesce(1).write.option("lineSep", ",").text(path)
+    shared_folder(spark)
+    ordered = out.orderBy("k", "i", "j").select("text").checkpoint()  # so that the task that writes sorts nothing
+    ordered.coalesce(1).write.option("lineSep", ",").text(path)
