@@ -288,3 +288,14 @@ def test_entry_imports_without_the_training_data_operators():
     import __spark_entry__
 
     assert "g23_reaching_roots" in __spark_entry__.queries() and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_includes_are_looked_up_once_a_folder(spark):
+    asked = spark.createDataFrame([(f"a/{k}.cc", "x.h") for k in range(50)] + [("b/1.cc", "x.h"), (None, "y.h"), ("a/1.cc", None)], "includer string, include string")
+    files = spark.createDataFrame([("a/x.h",), ("a/x.h",), ("y.h",)], "file string")
+    found = filters.resolve_includes(asked, files, [], "gen/", "s/", "p")
+    generate = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate posexplode" in line]
+    assert generate and not any("includer#" in line for line in generate)
+    got = {(r["includer"], r["include"]): r["resolved"] for r in found.collect()}
+    assert len(got) == 53 and all(got[f"a/{k}.cc", "x.h"] == "a/x.h" for k in range(50))
+    assert got["b/1.cc", "x.h"] == "x.h" and got[None, "y.h"] == "y.h" and got["a/1.cc", None] is None
