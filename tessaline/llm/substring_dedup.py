@@ -35,12 +35,23 @@ BAR = "|"
 LONG_SENTENCE = 40
 CUT_MASK = 3
 
+
+def longest_sentence(passage: int) -> int:
+    """The words that a sentence may have if nearly every passage of ``passage`` words is to hold a run.
+
+    A passage can begin and end within a sentence; what both leave must be long enough
+    for a run.  Pieces of cut sentences have lengths by hash, so a few passages still don't.
+    """
+    if passage <= MIN_WORDS:
+        raise ValueError(f"a run has {MIN_WORDS} words at least, so a passage needs more than {passage}")
+    return min(LONG_SENTENCE, max(1, (passage - MIN_WORDS) // 2))
+
 _ENDER, _CLOSER = np.zeros(256, bool), np.zeros(256, bool)
 _ENDER[[ord(c) for c in ENDERS]] = True
 _CLOSER[[ord(c) for c in CLOSERS]] = True
 
 
-def _sentences(c):
+def _sentences(c, longest):
     """Word ranges, rows and hashes, and for each sentence its first word."""
     data = LOWER[c.data]
     start, end = runs(~IS_SPACE[data], c.offsets)
@@ -58,14 +69,14 @@ def _sentences(c):
     ends[-1] = True
     sentence = np.cumsum(ends) - ends
     length = np.bincount(sentence)
-    ends |= (length[sentence] > LONG_SENTENCE) & ((h & np.uint64(CUT_MASK)) == 0)
+    ends |= (length[sentence] > longest) & ((h & np.uint64(CUT_MASK)) == 0)
     first = np.flatnonzero(np.concatenate([[True], ends[:-1]]))
     return start, end, row, h, first
 
 
-def _spans(c):
+def _spans(c, longest=LONG_SENTENCE):
     """For each sentence that starts a run: row, number in its row, sentences, two hashes."""
-    start, end, row, h, first = _sentences(c)
+    start, end, row, h, first = _sentences(c, longest)
     n = len(first)
     if not n:
         z = np.zeros(0, np.int64)
@@ -102,17 +113,17 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "span-rows")
 
 
-def spans(rows: DataFrame, mask=None) -> DataFrame:
+def spans(rows: DataFrame, mask=None, longest: int = LONG_SENTENCE) -> DataFrame:
     """``h1, h2, doc_id, row, at, n``: every run's 128-bit hash, place and length.
 
     ``rows``: ``row, doc_id, text``.  With ``mask``, runs whose hash it can't hold
-    are left out.
+    are left out.  Sentences of more than ``longest`` words are cut.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b.column(2)):
-                rows, at, n, h1, h2 = _spans(c)
+                rows, at, n, h1, h2 = _spans(c, longest)
                 if mask is not None:
                     kept = in_filter(mask.value, h1)
                     rows, at, n, h1, h2 = rows[kept], at[kept], n[kept], h1[kept], h2[kept]
@@ -122,20 +133,20 @@ def spans(rows: DataFrame, mask=None) -> DataFrame:
     return rows.select("row", "doc_id", "text").mapInArrow(releasing(make), "h1 long, h2 long, doc_id long, row long, at int, n int")
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
+def _repeated(rows: DataFrame, longest: int) -> DataFrame:
     """``h1, h2`` of the runs that occur more than once; counted per task before the shuffle."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b.column(0)):
-                _, _, _, h1, h2 = _spans(c)
+                _, _, _, h1, h2 = _spans(c, longest)
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2)], names=["h1", "h2"])
 
     found = rows.select("text").mapInArrow(releasing(make), "h1 long, h2 long")
     return found.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None) -> DataFrame:
     """``doc_id, text, n_sentences, n_removed, removed_words`` for every row.
 
     ``text`` lacks the removed sentences; the others keep their bytes and the white
@@ -147,14 +158,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     sentences or words for a run is left alone, as are null and empty texts.  Texts
     of any length are cut whole.  An empty table gives no rows, and other columns
     aren't read.
+
+    Sentences of more than LONG_SENTENCE words are cut in pieces; with ``passage``, so
+    are those that could keep a repeated passage of more words from holding a run,
+    wherever in a sentence it begins and ends (:func:`longest_sentence`).
     """
+    longest = LONG_SENTENCE if passage is None else longest_sentence(passage)
     rows = _numbered(docs, id_col, text_col)
-    repeated = materialize(_repeated(rows), "span-repeats")
+    repeated = materialize(_repeated(rows, longest), "span-repeats")
     if repeated.count() <= FILTER_MAX_BYTES * 2:  # four bits each at least
-        found = spans(rows, hash_filter(repeated.select("h1")))
+        found = spans(rows, hash_filter(repeated.select("h1")), longest)
     else:
         listed = repeated.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
-        found = spans(rows).join(listed, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left_semi")
+        found = spans(rows, longest=longest).join(listed, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left_semi")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
     # What the filter lets through besides occurs once.  Written, the first places are a
     # plain side of a join, whose other side can be dealt anew where one run is very common.
@@ -172,7 +188,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             cuts = b.column(2)
             n_sentences, n_removed, removed_words = (np.zeros(b.num_rows, np.int64) for _ in range(3))
             for c in chunks(b.column(1)):
-                start, _, row, _, first = _sentences(c)
+                start, _, row, _, first = _sentences(c, longest)
                 bounds = np.append(first, len(start))
                 n_sentences[c.first : c.first + c.n] = np.bincount(row[first], minlength=c.n)
                 begin = np.searchsorted(row[first], np.arange(c.n + 1))

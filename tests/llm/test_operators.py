@@ -180,6 +180,29 @@ def test_substring_dedup_keeps_first_places_where_ids_repeat(spark):
         assert left.count(inner) == 1
 
 
+def test_substring_dedup_finds_passages_that_begin_and_end_within_long_sentences(spark):
+    rng = random.Random(4)
+    said = lambda n, length: " ".join(prose(rng, 1, end=0) + ("." if (i + 1) % length == 0 else "") for i in range(n))
+    passages = [said(51, length) for length in (13, 17, 24, 35, 60) for _ in range(20)]
+    rows = [(2 * i + k, " ".join([said(33, 19), p, said(37, 23)])) for i, p in enumerate(passages) for k in (0, 1)]
+    rows += [(1000 + i, said(120, 21)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    cut = {r["doc_id"]: r["removed_words"] for r in substring_dedup.dedup(df, passage=50).collect() if r["n_removed"]}
+    assert len(cut) >= 0.95 * len(passages) and all(i % 2 and i < 1000 and cut[i] <= 51 for i in cut)
+    assert len([1 for r in substring_dedup.dedup(df).collect() if r["n_removed"]]) < 0.7 * len(passages)  # by sentences of 40 words
+    with pytest.raises(ValueError):
+        substring_dedup.dedup(df, passage=substring_dedup.MIN_WORDS)
+
+
+def test_substring_dedup_of_passages_by_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    passages = [prose(rng, n, end=0.04) for n in (51, 60, 80)]
+    rows = [(i, " ".join([prose(rng, 30, end=0.05), rng.choice(passages), prose(rng, 30, end=0.05)])) for i in range(40)]
+    got = sorted(map(tuple, substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), passage=50).collect()))
+    monkeypatch.setattr(substring_dedup, "LONG_SENTENCE", substring_dedup.longest_sentence(50))
+    assert got == sorted(deduped(rows)) and sum(r[3] > 0 for r in got) > 30
+
+
 def best(q, vectors, own, k=5):
     scores = sorted((-int(np.dot(q, v)), i) for j, (i, v) in enumerate(vectors) if j != own and len(v) == len(q))
     return [(-s, i) for s, i in scores[:k]]
