@@ -1,5 +1,6 @@
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessaline.operators import metrics
@@ -23,6 +24,27 @@ def test_names_that_are_small_on_disk_alone_are_not_sent_through_the_driver(spar
     assert session.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "10m"
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """A million roots, and an edge from each to one of two headers that include a third."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    name = F.concat(F.lit("orders/"), F.col("id").cast("string"), F.lit(".cc"))
+    roots = materialize(session.range(0, 1_000_000, 1, 2).select(name.alias("node")), "roots")
+    first = session.range(0, 1_000_000, 1, 2).select(name.alias("src"), F.concat(F.lit("h"), F.col("id") % 2).alias("dst"))
+    return materialize(first.unionByName(session.createDataFrame([("h0", "top"), ("h1", "top")], "src string, dst string")), "edges"), roots
+
+
+def broadcast_joins(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+
+
+def test_includes_of_many_roots_are_joined_without_a_broadcast(many):
+    found = metrics.included_by_roots(*many)
+    assert not broadcast_joins(found)
+    assert sorted(map(tuple, found.collect())) == [("h0", 500_000, 500_000), ("h1", 500_000, 500_000)]
+
+
 def test_a_lower_limit_on_broadcasts_stays(spark):
     session = spark.newSession()
     session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
