@@ -45,6 +45,12 @@ def test_includes_of_many_roots_are_joined_without_a_broadcast(many):
     assert sorted(map(tuple, found.collect())) == [("h0", 500_000, 500_000), ("h1", 500_000, 500_000)]
 
 
+def test_most_included_of_many_roots_is_found_without_a_broadcast(many):
+    found = metrics.most_included(*many, 1, 1_000_000)
+    assert not broadcast_joins(found)
+    assert list(map(tuple, found.collect())) == [("h0", 500_000, 50.0, 500_000)]
+
+
 def test_a_lower_limit_on_broadcasts_stays(spark):
     session = spark.newSession()
     session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
