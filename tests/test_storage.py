@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tessaline.operators import metrics
+from tessaline.operators import cuts, metrics
 from tessaline.storage import materialize
 
 
@@ -51,6 +51,15 @@ def test_most_included_of_many_roots_is_found_without_a_broadcast(many):
     assert list(map(tuple, found.collect())) == [("h0", 500_000, 50.0, 500_000)]
 
 
+def test_many_roots_are_counted_at_dominating_edges_without_a_broadcast(many):
+    edges, roots = many
+    graph = materialize(edges.filter("dst = 'top' or src in ('orders/4.cc', 'orders/5.cc', 'orders/7.cc')"), "graph")
+    found = cuts.dominated_roots(graph, roots, "top")
+    assert not [line for line in broadcast_joins(found) if "_r#" in line]
+    counts = {("h0", "top"): 1, ("h1", "top"): 2, ("orders/4.cc", "h0"): 1, ("orders/5.cc", "h1"): 1, ("orders/7.cc", "h1"): 1}
+    assert {(r["src"], r["dst"]): r["dominated"] for r in found.collect()} == counts
+
+
 def test_a_lower_limit_on_broadcasts_stays(spark):
     session = spark.newSession()
     session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
