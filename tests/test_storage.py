@@ -60,6 +60,15 @@ def test_many_roots_are_counted_at_dominating_edges_without_a_broadcast(many):
     assert {(r["src"], r["dst"]): r["dominated"] for r in found.collect()} == counts
 
 
+def test_direct_cuts_count_many_roots_without_a_broadcast(many):
+    edges, roots = many
+    graph = edges.filter("dst = 'top' or src in ('orders/4.cc', 'orders/5.cc', 'orders/7.cc')").withColumn("cuttable", F.col("src") != "h0")
+    files = roots.sparkSession.createDataFrame([("h1", 500_000)], "file string, prevalence long")
+    found = cuts.direct_cuts(materialize(graph, "graph"), roots, files, "top", 1_000_000)
+    assert not [line for line in broadcast_joins(found) if "_r#" in line]
+    assert list(map(tuple, found.collect())) == [("h1", "top", 50.0, 2)]
+
+
 def test_a_lower_limit_on_broadcasts_stays(spark):
     session = spark.newSession()
     session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
