@@ -31,15 +31,14 @@ def include_of(line: Column) -> Column:
 PART_LINES = 1 << 16
 
 
-def _parts(lines: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
-    """``lines`` with ``_part``, by ranges of ``pos``, and the key of a part."""
-    return lines.withColumn("_part", F.floor(F.col("pos") / PART_LINES)), ("id", "_part")
+def _parts(lines: DataFrame) -> tuple[DataFrame, tuple[str, ...], bool]:
+    """``lines`` with ``_part``, by ranges of ``pos``, the key of what is scanned together, and whether any text has more parts than one.
 
-
-def _onto_parts(lines: DataFrame, carried: DataFrame) -> DataFrame:
-    """``lines`` with what their parts carry, a row a part."""
-    carried = carried.withColumnRenamed("id", "_cid").withColumnRenamed("_part", "_cpart")
-    return lines.join(carried, F.col("id").eqNullSafe(F.col("_cid")) & (F.col("_part") == F.col("_cpart"))).drop("_cid", "_cpart")
+    Texts of one part are dealt by ``id`` alone, so that what is asked of a text after its scan isn't dealt again.
+    """
+    lines = lines.withColumn("_part", F.greatest(F.floor(F.col("pos") / PART_LINES), F.lit(0)))
+    longer = not lines.filter("_part > 0").select("_part").isEmpty()
+    return lines, ("id", "_part") if longer else ("id",), longer
 
 
 def diff_sections(diffs: DataFrame) -> DataFrame:
@@ -49,48 +48,63 @@ def diff_sections(diffs: DataFrame) -> DataFrame:
     header (hunk 0).  ``file`` is the new name that the last ``diff --git`` line gives;
     added lines that look like a header don't change it.
 
-    A diff of any length is scanned in parts: each counts its own files and hunks, what
-    the parts before it hold is summed over one row a part, and added.
+    A diff of any length is scanned in parts.  What the parts before one hold is summed over one row a part and goes
+    before its lines as a row of its own, so that lines are dealt and sorted once.
     """
     columns = diffs.columns
-    diffs, part = _parts(diffs)
+    diffs, part, longer = _parts(diffs)
     is_file, is_hunk = F.col("line").startswith("diff --git"), F.col("line").startswith("@@")
-    order = W.partitionBy(*part).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    within = W.partitionBy(*part, "_files").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     named = F.when(F.col("line").rlike(DIFF_FILE), F.regexp_extract("line", DIFF_FILE, 1))
-    own = diffs.withColumn("_files", F.sum(is_file.cast("int")).over(order)).withColumn("_name", F.last(named, ignorenulls=True).over(order))
-    own = own.withColumn("_hunks", F.sum(is_hunk.cast("int")).over(within))
+    files, hunks, name = is_file.cast("int"), is_hunk.cast("int"), named
+    if longer:
+        diffs = diffs.unionByName(_before_parts(diffs, part, is_file, is_hunk, named), allowMissingColumns=True)
+        files, hunks, name = F.coalesce("_files_before", files), F.coalesce("_hunks_before", hunks), F.coalesce("_name_before", named)
+    order = W.partitionBy(*part).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    own = diffs.withColumn("_files", F.sum(files).over(order)).withColumn("_hunks", F.sum(hunks).over(order)).withColumn("_name", F.last(name, ignorenulls=True).over(order))
+    # Hunks before the file that a line is in; those before a part's first file go on.
+    own = own.withColumn("_others", F.max(F.when(is_file, F.col("_hunks"))).over(order))
+    own = own.filter("_files_before is null") if longer else own
+    return own.select(*columns, F.col("_files").alias("file_no"), (F.col("_hunks") - F.coalesce("_others", F.lit(0))).alias("hunk_no"), F.col("_name").alias("file"))
+
+
+def _before_parts(diffs: DataFrame, part: tuple[str, ...], is_file: Column, is_hunk: Column, named: Column) -> DataFrame:
+    """``id, _part, _files_before, _hunks_before, _name_before`` of all parts but a diff's first."""
     # A part's files, its last name, and its hunks since the last of its files began, or in all if none does.
-    ended = diffs.groupBy(*part).agg(F.count_if(is_file).alias("_n"), F.max_by(named, F.when(named.isNotNull(), F.col("pos"))).alias("_last"), F.max(F.when(is_file, F.col("pos"))).alias("_at"), F.array_sort(F.collect_list(F.when(is_hunk, F.col("pos")))).alias("_all"))
+    ended = diffs.filter(is_file | is_hunk | (F.col("_part") > 0)).groupBy(*part).agg(F.count_if(is_file).alias("_n"), F.max_by(named, F.when(named.isNotNull(), F.col("pos"))).alias("_last"), F.max(F.when(is_file, F.col("pos"))).alias("_at"), F.array_sort(F.collect_list(F.when(is_hunk, F.col("pos")))).alias("_all"))
     ended = ended.withColumn("_tail", F.size(F.filter("_all", lambda p: F.col("_at").isNull() | (p > F.col("_at")))))
     before = W.partitionBy("id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     until = W.partitionBy("id").orderBy("_part").rowsBetween(W.unboundedPreceding, 0)
     ended = ended.withColumn("_since", F.sum((F.col("_n") > 0).cast("int")).over(until))
     ended = ended.withColumn("_open", F.sum("_tail").over(W.partitionBy("id", "_since").orderBy("_part").rowsBetween(W.unboundedPreceding, 0)))
     ended = ended.select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_files_before"), F.last("_last", ignorenulls=True).over(before).alias("_name_before"), F.coalesce(F.last("_open").over(before), F.lit(0)).alias("_hunks_before"))
-    out = _onto_parts(own, ended)
-    hunks = F.col("_hunks") + F.when(F.col("_files") == 0, F.col("_hunks_before")).otherwise(0)
-    return out.select(*columns, (F.col("_files") + F.col("_files_before")).alias("file_no"), hunks.alias("hunk_no"), F.coalesce("_name", "_name_before").alias("file"))
+    return ended.filter("_part > 0")
 
 
 def _second_next(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``_caret``: the line two after each, also where that is in a later part."""
-    lines, part = _parts(lines)
-    order = W.partitionBy(*part).orderBy("pos")
-    own = lines.withColumn("_caret", F.lead("line", 2).over(order)).withColumn("_left", F.row_number().over(W.partitionBy(*part).orderBy(F.desc("pos"))))
-    first = lines.withColumn("_k", F.row_number().over(order)).filter("_k <= 2").groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_first"))
-    # Two parts that follow, if there are so many, have two lines at least.
-    parts = W.partitionBy("id").orderBy("_part")
-    none = F.array().cast(first.schema["_first"].dataType)
-    follows = F.concat(F.coalesce(F.lead("_first", 1).over(parts), none), F.coalesce(F.lead("_first", 2).over(parts), none))
-    out = _onto_parts(own, first.select(*part, follows.alias("_follows")))
-    across = F.get("_follows", F.lit(2) - F.col("_left"))["line"]
-    return out.withColumn("_caret", F.when(F.col("_left") <= 2, across).otherwise(F.col("_caret"))).drop("_left", "_follows", "_part")
+    """``lines`` with ``_caret``: the line two after each, also where that is in a later part.
+
+    The two lines that follow a part are lent to it.
+    """
+    lines, part, longer = _parts(lines)
+    columns, order = lines.columns, W.partitionBy(*part).orderBy("pos")
+    if longer:
+        first = lines.select(*part, "pos", "line").withColumn("_k", F.row_number().over(order)).filter("_k <= 2").groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_first"))
+        # Two parts that follow, if there are so many, have two lines at least.
+        parts = W.partitionBy("id").orderBy("_part")
+        none = F.array().cast(first.schema["_first"].dataType)
+        follows = F.concat(F.coalesce(F.lead("_first", 1).over(parts), none), F.coalesce(F.lead("_first", 2).over(parts), none))
+        lent = first.select(*part, follows.alias("_f")).select(*part, F.explode(F.slice("_f", 1, 2)).alias("_l")).select(*part, "_l.pos", "_l.line", F.lit(True).alias("_lent"))
+        lines = lines.unionByName(lent, allowMissingColumns=True)
+    out = lines.withColumn("_caret", F.lead("line", 2).over(order))
+    out = out.filter("_lent is null") if longer else out
+    return out.select(*columns, "_caret").drop("_part")
 
 
 def added_includes(diffs: DataFrame) -> DataFrame:
     """``id, header, file, first_pos``: files in which a diff adds each header, in order."""
-    hits = diff_sections(diffs).filter(F.col("line").rlike(ADDED_INCLUDE) & F.col("file").isNotNull())
+    # Other lines than these don't change what file a line is in.
+    told = diffs.filter(F.col("line").rlike(DIFF_FILE) | F.col("line").rlike(ADDED_INCLUDE))
+    hits = diff_sections(told).filter(F.col("line").rlike(ADDED_INCLUDE) & F.col("file").isNotNull())
     header = F.regexp_extract("line", ADDED_INCLUDE, 2)
     return hits.groupBy("id", header.alias("header"), "file").agg(F.min("pos").alias("first_pos"))
 
@@ -110,6 +124,8 @@ def patch_for_header(diffs: DataFrame, header: str) -> DataFrame:
     s = diff_sections(diffs)
     body = (F.col("hunk_no") > 0) & ~F.col("line").startswith("@@")
     match = F.col("line").rlike(ADDED_INCLUDE) & (F.regexp_extract("line", ADDED_INCLUDE, 2) == header)
+    # Most files go at once; after that, lines are dealt by their file.
+    s = s.withColumn("_any", F.max((body & match).cast("int")).over(W.partitionBy("id", "file_no"))).filter("_any = 1").drop("_any")
     # A hunk whose header has no numbers can't be counted anew, and goes.
     told = F.max((F.col("line").startswith("@@") & F.col("line").rlike(HUNK)).cast("int")).over(W.partitionBy("id", "file_no", "hunk_no"))
     s = s.withColumn("_told", told).filter("hunk_no = 0 or _told = 1").drop("_told")

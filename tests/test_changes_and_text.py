@@ -299,3 +299,17 @@ def test_includes_are_looked_up_once_a_folder(spark):
     got = {(r["includer"], r["include"]): r["resolved"] for r in found.collect()}
     assert len(got) == 53 and all(got[f"a/{k}.cc", "x.h"] == "a/x.h" for k in range(50))
     assert got["b/1.cc", "x.h"] == "x.h" and got[None, "y.h"] == "y.h" and got["a/1.cc", None] is None
+
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+
+
+def small_diffs(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    return text.lines(session.createDataFrame([(1, DIFF), (2, DIFF)], "id long, text string"), "id", "text")
+
+
+def test_lines_of_diffs_are_dealt_once(spark):
+    assert len(exchanges(text.diff_sections(small_diffs(spark)))) == 1
