@@ -313,3 +313,7 @@ def small_diffs(spark):
 
 def test_lines_of_diffs_are_dealt_once(spark):
     assert len(exchanges(text.diff_sections(small_diffs(spark)))) == 1
+
+
+def test_lines_of_patches_are_dealt_once(spark):
+    assert len(exchanges(text.patch_for_header(small_diffs(spark), "x.h"))) == 1
