@@ -317,3 +317,8 @@ def test_lines_of_diffs_are_dealt_once(spark):
 
 def test_lines_of_patches_are_dealt_once(spark):
     assert len(exchanges(text.patch_for_header(small_diffs(spark), "x.h"))) == 1
+
+
+def test_lines_of_a_long_diff_are_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(text, "PART_LINES", 4)
+    assert "Join" not in text.diff_sections(small_diffs(spark))._jdf.queryExecution().executedPlan().toString()
