@@ -322,3 +322,10 @@ def test_lines_of_patches_are_dealt_once(spark):
 def test_lines_of_a_long_diff_are_not_joined(spark, monkeypatch):
     monkeypatch.setattr(text, "PART_LINES", 4)
     assert "Join" not in text.diff_sections(small_diffs(spark))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_names_and_includes_are_dealt_for_added_includes(spark):
+    found = text.added_includes(small_diffs(spark))
+    assert len(exchanges(found)) == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" in plan[plan.rindex("Exchange"):]  # below the exchange
