@@ -329,3 +329,7 @@ def test_only_names_and_includes_are_dealt_for_added_includes(spark):
     assert len(exchanges(found)) == 1
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "RLIKE" in plan[plan.rindex("Exchange"):]  # below the exchange
+
+
+def test_frequent_headers_deal_lines_once(spark):
+    assert len(exchanges(text.frequent_headers(text.added_includes(small_diffs(spark)), 2))) == 1
