@@ -333,3 +333,9 @@ def test_only_names_and_includes_are_dealt_for_added_includes(spark):
 
 def test_frequent_headers_deal_lines_once(spark):
     assert len(exchanges(text.frequent_headers(text.added_includes(small_diffs(spark)), 2))) == 1
+
+
+@pytest.mark.parametrize("part_lines", [1, 1 << 16])
+def test_lines_of_logs_are_not_joined(spark, monkeypatch, part_lines):
+    monkeypatch.setattr(text, "PART_LINES", part_lines)
+    assert "Join" not in text.compile_errors(small_diffs(spark))._jdf.queryExecution().executedPlan().toString()
