@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tessaline.operators import cuts, metrics
+from tessaline.operators import closure, cuts, metrics
 from tessaline.storage import materialize
 
 
@@ -69,6 +69,15 @@ def test_direct_cuts_count_many_roots_without_a_broadcast(many):
     assert list(map(tuple, found.collect())) == [("h1", "top", 50.0, 2)]
 
 
+def test_many_roots_above_a_target_are_counted_without_a_broadcast(many):
+    edges, roots = many
+    found = closure.root_count(edges, roots, roots.sparkSession.createDataFrame([("h1",)], "node string"))
+    assert not [line for line in broadcast_joins(found) if "_root#" in line]
+    assert list(map(tuple, found.collect())) == [("h1", 500_000)]
+    floors = cuts.floors(edges, roots, "h1").first()
+    assert (floors["original"], floors["remaining"], floors["direct_floor"], floors["root_direct"]) == (500_000, 500_000, 0, 500_000)
+
+
 def test_a_lower_limit_on_broadcasts_stays(spark):
     session = spark.newSession()
     session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
