@@ -339,3 +339,15 @@ def test_frequent_headers_deal_lines_once(spark):
 def test_lines_of_logs_are_not_joined(spark, monkeypatch, part_lines):
     monkeypatch.setattr(text, "PART_LINES", part_lines)
     assert "Join" not in text.compile_errors(small_diffs(spark))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_not_dealt_by_both_ends_for_degrees(spark):
+    e = spark.createDataFrame([("r", "a"), ("r", "a"), ("r", "b"), ("a", "b"), ("b", "a"), ("b", "c"), ("a", None)], "src string, dst string")
+    both = re.compile(r"hashpartitioning\(src#\d+, dst#\d+")
+    counted = metrics.degrees(e.filter("dst is not null"))
+    assert not both.search(counted._jdf.queryExecution().executedPlan().toString())
+    assert {r["node"]: (r["out"], r["into"]) for r in counted.collect()} == {"r": (2, 0), "a": (1, 2), "b": (2, 2), "c": (0, 1)}
+    shown = metrics.centrality(e, 11)
+    assert not both.search(shown._jdf.queryExecution().executedPlan().toString())
+    got = {(r["src"], r["dst"]): r["centrality"] for r in shown.collect()}
+    assert got == {("r", "a"): 0.0, ("r", "b"): 0.0, ("a", "b"): pytest.approx(4000.0), ("a", None): 0.0, ("b", "a"): pytest.approx(4000.0), ("b", "c"): 0.0}
