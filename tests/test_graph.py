@@ -183,3 +183,11 @@ def test_roots_that_nothing_includes_are_merged_in_cuts(spark):
     assert got == want
     indirect = {(r["includer"], r["included"]) for r in cuts.indirect_cuts(g, roots, files, "t.h", 8).collect()}
     assert indirect == {("r7.cc", "d.h")}
+
+
+def test_uncuttable_sources_need_no_graph_of_the_target(spark, graph, monkeypatch):
+    ignores = spark.createDataFrame([("b.h", "*"), ("r2.cc", "b.h")], "src string, dst string")
+    want = sorted(r["node"] for r in cuts.uncuttable_sources(cuts.target_graph(graph, "c.h", ignores=ignores), "c.h").collect())
+    monkeypatch.setattr(cuts, "target_graph", None)
+    got = cuts.uncuttable_sources(cuts.marked_edges(graph, ignores=ignores), "c.h")
+    assert sorted(r["node"] for r in got.collect()) == want and "b.h" in want
