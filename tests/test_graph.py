@@ -185,6 +185,29 @@ def test_roots_that_nothing_includes_are_merged_in_cuts(spark):
     assert indirect == {("r7.cc", "d.h")}
 
 
+@pytest.mark.parametrize("from_includes", [False, True])
+def test_cuts_of_a_source_leave_out_what_it_does_not_reach(spark, monkeypatch, from_includes):
+    pairs = [("r.cc", "a.h"), ("a.h", "m.h"), ("a.h", "n.h"), ("m.h", "t.h"), ("n.h", "t.h")] + [(f"q{i}.cc", "a.h") for i in range(100)]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    files = spark.createDataFrame([("m.h", 50)], "file string, prevalence int")
+    met = []
+
+    def closed(*a, f=closure.closure, **more):
+        found = f(*a, **more)
+        met.append(found.count())
+        return found
+
+    def cut(graph, *a, f=cuts.cut_edges):
+        met.append(graph.count())
+        return f(graph, *a)
+
+    monkeypatch.setattr(closure, "closure", closed)
+    monkeypatch.setattr(cuts, "cut_edges", cut)
+    found = cuts.min_edge_cut(e, files, "r.cc", "t.h", 100, start_from_source_includes=from_includes)
+    assert {(r["includer"], r["included"]) for r in found.collect()} == ({("m.h", "t.h"), ("n.h", "t.h")} if from_includes else {("r.cc", "a.h")})
+    assert max(met) <= 5
+
+
 def test_uncuttable_sources_need_no_graph_of_the_target(spark, graph, monkeypatch):
     ignores = spark.createDataFrame([("b.h", "*"), ("r2.cc", "b.h")], "src string, dst string")
     want = sorted(r["node"] for r in cuts.uncuttable_sources(cuts.target_graph(graph, "c.h", ignores=ignores), "c.h").collect())
