@@ -185,6 +185,27 @@ def test_roots_that_nothing_includes_are_merged_in_cuts(spark):
     assert indirect == {("r7.cc", "d.h")}
 
 
+def test_entry_points_are_found_by_one_search_of_all_roots(spark, graph, monkeypatch):
+    def unused(*_):
+        raise AssertionError("roots were told apart")
+
+    monkeypatch.setattr(closure, "reaching_roots", unused)
+    got = closure.entry_points(graph, nodes(spark, "r1.cc", "r2.cc"), nodes(spark, "b.h", "c.h", "d.h"))
+    assert sorted(r["node"] for r in got.collect()) == ["b.h", "c.h"]
+
+
+def test_entry_points_that_are_roots_need_another_root(spark):
+    rng = random.Random(5)
+    for n, m in ((8, 16), (10, 14)):
+        pairs = random_graph(rng, n, m) + [(0, 1), (1, 0)]
+        roots, subset = {0, 2, 3}, {0, 3, 4, 5}
+        outer = [p for p in pairs if not set(p) <= subset]
+        want = sorted(v for v in subset if any(v in reach(outer, r) for r in roots - {v}))
+        e = spark.createDataFrame([(f"f{a}", f"f{b}") for a, b in pairs], "src string, dst string")
+        got = closure.entry_points(e, nodes(spark, *(f"f{v}" for v in roots)), nodes(spark, *(f"f{v}" for v in subset)))
+        assert sorted(int(r["node"][1:]) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize("from_includes", [False, True])
 def test_cuts_of_a_source_leave_out_what_it_does_not_reach(spark, monkeypatch, from_includes):
     pairs = [("r.cc", "a.h"), ("a.h", "m.h"), ("a.h", "n.h"), ("m.h", "t.h"), ("n.h", "t.h")] + [(f"q{i}.cc", "a.h") for i in range(100)]
