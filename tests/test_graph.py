@@ -7,6 +7,7 @@ import pytest
 
 from tessaline.operators import closure, cuts
 from tessaline.operators.kernels import INFINITE, edge_dominated_weights, min_cut
+from tessaline.plans import catalog
 
 GRAPH = [
     ("r1.cc", "a.h"), ("r1.cc", "b.h"), ("r2.cc", "b.h"), ("a.h", "c.h"), ("b.h", "c.h"), ("c.h", "d.h"), ("d.h", "c.h"), ("d.h", "d.h"),
@@ -235,3 +236,30 @@ def test_uncuttable_sources_need_no_graph_of_the_target(spark, graph, monkeypatc
     monkeypatch.setattr(cuts, "target_graph", None)
     got = cuts.uncuttable_sources(cuts.marked_edges(graph, ignores=ignores), "c.h")
     assert sorted(r["node"] for r in got.collect()) == want and "b.h" in want
+
+
+def test_dominators_of_every_root(spark):
+    random.seed(11)
+    for trial in range(3):
+        n, n_roots = 7, 12
+        pairs = {(a, b) for a in range(n_roots, n_roots + n) for b in range(n_roots, n_roots + n) if random.random() < 0.25}
+        pairs |= {(r, random.randrange(n_roots, n_roots + n)) for r in range(n_roots - 1) for _ in range(2)}
+        pairs |= {(n_roots, 3)} if trial else set()  # a root that something includes
+        want = set()
+        for r in range(n_roots):
+            def reached(gone=None, root=r):
+                seen, todo = set(), [root] if root != gone else []
+                while todo:
+                    at = todo.pop()
+                    if at not in seen:
+                        seen.add(at)
+                        todo += [b for a, b in pairs if a == at and b != gone]
+                return seen
+            want |= {(r, v, x) for v in reached() for x in reached() if v not in reached(gone=x)}
+        got = cuts.dominators(spark.createDataFrame([(f"{a}", f"{b}") for a, b in pairs], "src string, dst string"), nodes(spark, *(str(r) for r in range(n_roots))))
+        assert sorted((int(a), int(b), int(c)) for a, b, c in got.collect()) == sorted(want)
+
+
+def test_the_query_asks_for_dominators_of_all_roots(spark):
+    sf = "/root/testdata/sf0.001"
+    assert catalog.QUERIES["g17_dominators"](spark, sf).select("key").distinct().count() == catalog.roots(spark, sf).count()
