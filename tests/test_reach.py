@@ -92,3 +92,15 @@ def test_united_sets():
         want = [(1, 0, np.unique(np.concatenate(sets))), (2, 5, sets[0])]
         assert [(r["node"], r["block"], r["n"]) for r in got] == [(a, b, len(m)) for a, b, m in want]
         assert all((reach.unpacked(r["marks"]) == m).all() for r, (_, _, m) in zip(got, want))
+
+
+def test_roots_are_counted_without_sets_of_roots(spark, monkeypatch):
+    """No set of roots goes along the edges between files: products of a block of roots and a block of files are."""
+    spread, seen = reach.spread, []
+    monkeypatch.setattr(reach, "spread", lambda dag, first: seen.append(first.agg({"n": "max"}).first()[0]) or spread(dag, first))
+    monkeypatch.setattr(reach, "PAIRS", 16)
+    edges = [(100 + i, i % 7) for i in range(300)] + [(i, 10 + j) for i in range(7) for j in range(i + 1)] + [(10, 20), (20, 21), (21, 20)]
+    roots = [100 + i for i in range(300)]
+    got = reach.reaching_roots(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(r,) for r in roots], "node long"))
+    assert {r["node"]: r["n_roots"] for r in got.collect()} == plain_counts(edges, roots)
+    assert seen == [1]
