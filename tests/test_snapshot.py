@@ -126,3 +126,14 @@ def test_written_snapshots_are_read_back(spark, tmp_path):
         assert [again] == whole.drop("url").collect()
         elements = snapshot.read_elements(spark, str(tmp_path / f"out{n}"), split_bytes=128)
         assert sorted(map(str, snapshot.edges_of(elements).drop("url").collect())) == sorted(map(str, edges.drop("url").collect()))
+
+
+def test_the_driver_gets_no_texts_of_ranges(spark, tmp_path, monkeypatch):
+    got, loads = [], snapshot.pickle.loads
+    monkeypatch.setattr(snapshot.pickle, "loads", lambda told: got.append(len(told)) or loads(told))
+    n = 20_000
+    data = graph(0) | {k: [[]] * n if k in ("includes", "included_by", "esizes") else list(range(n)) for k in snapshot.BY_FILE} | {"files": [f"f{k}" for k in range(n)]}
+    path = written(tmp_path, "long", [data])
+    elements = snapshot.read_elements(spark, path, split_bytes=1 << 16)
+    assert snapshot.files_of(elements).count() == n
+    assert 5 < len(got) and max(got) < 1000
